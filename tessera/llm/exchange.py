@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 MESSAGES = "g long, kind int, part long, data binary"
 BUCKETED = "part long, g long, kind int, data binary"
 

@@ -327,7 +327,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     triggers beyond open_limit is by 128-bit digests, all else by bytes.
     """
     groups, n = X.document_groups(df, id_col, text_col, group_bytes)
-    task = Repeats(length, max(1, n // 8), open_limit)
+    task = Repeats(length, max(1, n // 2), open_limit)
     known = X.answer(X.send(groups, task.round1), X.repeated_keys)
     known = known.unionByName(X.answer(X.send_again(groups, known, task.round2, X.BUCKETED, X.BUCKETED_ARROW), task.settle))
     known = known.unionByName(X.answer(X.send_again(groups, known, task.round3, X.BUCKETED, X.BUCKETED_ARROW), task.order))
