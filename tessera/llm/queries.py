@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dedup import op8_minhash_near_dedup
+from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_substring_dedup, op8_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
