@@ -36,6 +36,8 @@ CONTEXT = np.dtype([("a", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("many", "?")])
 #: What an open context brings to its trigger's bucket, before its bytes.
 OPEN = np.dtype([("a", "<u8"), ("ord", "<i4"), ("pos", "<i8"), ("left", "<i4"), ("right", "<i4"), ("single", "?")])
 STATE = np.dtype([("a", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("state", "u1")])
+#: Contexts ordered at a time.
+SLICE = 4096
 #: Bits of state.
 COPIED, SHIP, HOT = 1, 2, 4
 
@@ -206,34 +208,54 @@ class Repeats:
     def order(self, gs: list[int], kinds: list[int], blobs: list[bytes]) -> list[tuple]:
         """Combines the orders of phrases and parse suffixes; answers (document, first start, last start) of repeated windows of contexts met once."""
         out = [(gs[k], 2, r) for k, r in self.hot_windows([(i, b) for i, (k, b) in enumerate(zip(kinds, blobs, strict=True)) if k == 3])]
-        heads, lefts, rights, owner = [], [], [], []
+        heads, bodies, cuts, owners, at = [], [], [], [], 0
         for i, (kind, blob) in enumerate(zip(kinds, blobs, strict=True)):
             if kind == 2:
                 n = int.from_bytes(blob[:8], "little")
                 head = np.frombuffer(blob, OPEN, n, 8)
                 body = np.frombuffer(blob, np.uint8, offset=8 + n * OPEN.itemsize)
-                end = np.cumsum(head["left"] + head["right"])
-                cut = end - head["right"]
-                width = self.length
-                # padded to the window's length: phrases reversed, ending at the trigger
-                at = cut[:, None] - 1 - np.arange(width)
-                lefts.append(np.where(np.arange(width) < head["left"][:, None], body[np.maximum(at, 0)], 0).astype(np.uint8))
-                at = cut[:, None] + np.arange(width)
-                rights.append(np.where(np.arange(width) < head["right"][:, None], body[np.minimum(at, len(body) - 1)], 0).astype(np.uint8))
                 heads.append(head)
-                owner.append(np.full(n, i))
+                bodies.append(body)
+                cuts.append(at + np.cumsum(head["left"] + head["right"], dtype=np.int64) - head["right"])
+                owners.append(np.full(n, i))
+                at += len(body)
         if not heads:
             return out
-        head, left, right, owner = (np.concatenate(x) for x in (heads, lefts, rights, owner))
-        n = len(head)
+        head, body, cut, owner = (np.concatenate(x) for x in (heads, bodies, cuts, owners))
+        by_trigger = np.argsort(head["a"], kind="stable")
+        edges = np.append(np.flatnonzero(np.concatenate([[True], head["a"][by_trigger][1:] != head["a"][by_trigger][:-1]])), len(head))
+        found, i = [], 0
+        while i < len(edges) - 1:  # some triggers at a time, at least one
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + SLICE, "right")) - 1)
+            who = by_trigger[edges[i] : edges[j]]
+            found += [(who[x], e) for x, e in self.combined(head[who], cut[who], body)]
+            i = j
+        who = np.concatenate([x for x, _ in found])
+        start = head["pos"][who] - np.repeat([e for _, e in found], [len(x) for x, _ in found])
+        order = np.lexsort((start, head["ord"][who], owner[who]))
+        own, doc, start = owner[who][order], head["ord"][who][order], start[order]
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])) if len(own) else np.empty(0, np.int64)
+        runs = np.empty(len(first), RUN)
+        runs["ord"], runs["first"], runs["last"] = doc[first], start[first], start[np.append(first[1:], len(own)) - 1] if len(first) else 0
+        own = own[first]
+        for i in np.unique(own).tolist():
+            out.append((gs[i], 2, runs[own == i].tobytes()))
+        return out
+
+    def combined(self, head: np.ndarray, cut: np.ndarray, body: np.ndarray):
+        """(contexts met once whose window starting e bytes before the trigger repeats, e) for each e."""
+        width, n = self.length, len(head)
+        ahead = np.arange(width)
+        # padded to the window's length: phrases reversed, ending at the trigger, and parse suffixes
+        left = np.where(ahead < head["left"][:, None], body[np.maximum(cut[:, None] - 1 - ahead, 0)], 0).astype(np.uint8)
+        right = np.where(ahead < head["right"][:, None], body[np.minimum(cut[:, None] + ahead, len(body) - 1)], 0).astype(np.uint8)
         order_l, common_l = sorted_common(head["a"], left, head["left"])
         order_r, common_r = sorted_common(head["a"], right, head["right"])
         cls_l, cls_r = np.empty(n, np.int64), np.empty(n, np.int64)
-        hits: list[tuple[np.ndarray, int]] = []
         for e in range(int(head["left"].max()) + 1):
             cls_l[order_l] = np.cumsum(common_l < e)
-            cls_r[order_r] = np.cumsum(common_r < self.length - e)
-            live = np.flatnonzero((head["left"] >= e) & (head["right"] >= self.length - e))
+            cls_r[order_r] = np.cumsum(common_r < width - e)
+            live = np.flatnonzero((head["left"] >= e) & (head["right"] >= width - e))
             key = cls_l[live] * (n + 1) + cls_r[live]
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
@@ -241,20 +263,7 @@ class Repeats:
             again[order[1:]] |= same
             again[order[:-1]] |= same
             again = live[again]
-            hits.append((again[head["single"][again]], e))
-        who = np.concatenate([x for x, _ in hits])
-        start = head["pos"][who] - np.concatenate([np.full(len(x), e) for x, e in hits])
-        order = np.lexsort((start, head["ord"][who], owner[who]))
-        who, start = who[order], start[order]
-        own, doc = owner[who], head["ord"][who]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(who) else np.empty(0, bool)
-        first = np.flatnonzero(new)
-        runs = np.empty(len(first), RUN)
-        runs["ord"], runs["first"], runs["last"] = doc[first], start[first], start[np.append(first[1:], len(who)) - 1] if len(first) else 0
-        own = own[first]
-        for i in np.unique(own).tolist():
-            out.append((gs[i], 2, runs[own == i].tobytes()))
-        return out
+            yield again[head["single"][again]].astype(np.int32), e
 
     def hot_windows(self, sent: list[tuple[int, bytes]]):
         if sent:
@@ -319,7 +328,7 @@ def sorted_common(a: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple
     return order, np.concatenate([[-1], common]).astype(np.int64)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = X.GROUP_BYTES, open_limit: int = 20_000) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = X.GROUP_BYTES, open_limit: int = 4_000) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, maybe cut within a character).
 
     Null texts are empty; texts shorter than length keep all; rows that repeat (even with one doc_id) are copies of each
