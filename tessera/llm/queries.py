@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .mixing import op5_entropy_mixing
 from .near_dedup import op8_minhash_near_dedup
+from .packing import op10_slack_packing
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .warc import op6_warc_segments
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_substring_dedup, op8_minhash_near_dedup)}
+    named = (op1_suffix_dedup, op4_substring_dedup, op5_entropy_mixing, op6_warc_segments, op7_exact_dedup, op8_minhash_near_dedup, op10_slack_packing)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL}

@@ -1,27 +1,12 @@
-"""Where the operators cut lineage: written tables in the folder that the cluster shares."""
+"""Tables of a data folder, and written tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans.scratch import materialize, scratch_path
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and returns the reread table: the lineage ends there and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["documents_of", "materialize", "scratch_path"]
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
