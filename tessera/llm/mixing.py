@@ -30,6 +30,11 @@ def word_count(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def row_hash(id_col: str, text_col: str, seed: int = 17) -> Column:
+    """The order in which documents get an extra copy."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def targets_by_weight(totals: DataFrame, limit: float = 3.0, cycle: int = 3) -> DataFrame:
     """totals (source, source_size) -> with target: weights 1..cycle by source order share the whole, none above limit times its size.
 
@@ -83,7 +88,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     an empty table gives no rows; other columns are ignored. taken never exceeds limit times size, and a source's
     taken words differ from its target by rounding to whole words only.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_hash(id_col, text_col, seed).alias("h"))
     docs = materialize(docs.withColumn("bucket", F.shiftrightunsigned("h", 52)), "sizes")
     by_bucket = materialize(docs.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     totals = by_bucket.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -9,9 +9,10 @@ of links are groups, the smallest doc_id of a group stays.
 2. Documents with equal sets form one class, of which only the smallest doc_id goes on.
 3. Stars: each band bucket pairs its members with its smallest member, so a bucket of n gives n - 1 pairs.
    Pairs whose odd sketches are too far apart go; the rest is verified on the full sets.
-4. The rest, exactly: in buckets that still hold several components, all pairs across components are compared by odd
+4. More stars in buckets that still hold several components, each around a few members picked by hash.
+5. The rest, exactly: in buckets that still hold several components, all pairs across components are compared by odd
    sketch inside the join, and those that pass are verified. Pairs within a component need no test: they are grouped.
-5. Components over all links.
+6. Components over all links.
 
 With 32 bands of 4 rows a pair at J = 0.75 misses every band with probability (1 - 0.75^4)^32 = 5e-6; the sketch
 threshold lies five standard deviations below the expected agreement at J = 0.75.
@@ -136,7 +137,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 32, rows: int = 4, leaders: int = 6) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents without words or text have an empty set and are linked with nothing. doc_id is the documents' key: rows
@@ -166,11 +167,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     close = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(apart("x", "y") <= limit).select("a", "b")
     star_links = materialize(verified(close, texts, percent), "links")
 
-    label = components(star_links)
-    labelled = reps.join(label, reps.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-    keyed = labelled.select("doc_id", "label", *odd, F.explode("bands").alias("key"))
-    open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    still = materialize(keyed.join(open_keys, "key", "left_semi"), "open")
+    def still_open(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components: key, doc_id, label, odd sketch."""
+        label = components(links)
+        labelled = reps.join(label, reps.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+        keyed = labelled.select("doc_id", "label", *odd, F.explode("bands").alias("key"))
+        open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return materialize(keyed.join(open_keys, "key", "left_semi"), "open")
+
+    # more stars, around members that chance picks: one group's components grow together without its pairs being listed
+    still = still_open(star_links)
+    picks = [F.min_by(F.struct("doc_id", "label", *odd), F.xxhash64("doc_id", "key", F.lit(r))) for r in range(leaders)]
+    x, y = still.alias("x"), still.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*").alias("y")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (apart("x", "y") <= limit))
+    more = more.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    star_links = materialize(star_links.unionByName(verified(more, texts, percent)), "links")
+
+    still = still_open(star_links)
     x, y = still.alias("x"), still.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") > F.col("y.label")) & (apart("x", "y") <= limit))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()

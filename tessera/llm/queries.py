@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .license_scan import op9_license_scan, op9_sql
 from .mixing import op5_entropy_mixing
 from .near_dedup import op8_minhash_near_dedup
 from .packing import op10_slack_packing
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .toxicity import op3_toxicity
 from .warc import op6_warc_segments
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op4_substring_dedup, op5_entropy_mixing, op6_warc_segments, op7_exact_dedup, op8_minhash_near_dedup, op10_slack_packing)
+    named = (
+        op1_suffix_dedup, op2_embedding_dedup, op3_toxicity, op4_substring_dedup, op5_entropy_mixing,
+        op6_warc_segments, op7_exact_dedup, op8_minhash_near_dedup, op9_license_scan, op10_slack_packing,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_license_scan": op9_sql()}
