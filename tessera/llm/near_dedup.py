@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rolling import LOWER, U64, Roller, chunks, mix, utf8, words
-from .scratch import documents_of, materialize
+from .scratch import documents_of, free_shuffles, materialize
 
 WORDS, SKETCH_LONGS = 5, 8
 
@@ -166,6 +166,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     x, y = reps.select("doc_id", *odd).alias("x"), reps.select("doc_id", *odd).alias("y")
     close = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(apart("x", "y") <= limit).select("a", "b")
     star_links = materialize(verified(close, texts, percent), "links")
+    del pairs, close
+    free_shuffles(df.sparkSession)
 
     def still_open(links: DataFrame) -> DataFrame:
         """Members of buckets that hold several components: key, doc_id, label, odd sketch."""
@@ -182,12 +184,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (apart("x", "y") <= limit))
     more = more.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
     star_links = materialize(star_links.unionByName(verified(more, texts, percent)), "links")
+    del more
+    free_shuffles(df.sparkSession)
 
     still = still_open(star_links)
     x, y = still.alias("x"), still.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") > F.col("y.label")) & (apart("x", "y") <= limit))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     rest_links = materialize(verified(rest, texts, percent), "links")
+    del rest
+    free_shuffles(df.sparkSession)
 
     grouped = components(same.unionByName(star_links).unionByName(rest_links))
     out = sketched.select("doc_id", "n_shingles").join(grouped, F.col("doc_id") == F.col("node"), "left")

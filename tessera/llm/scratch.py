@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans.scratch import materialize, scratch_path
+from tessera.plans.scratch import free_shuffles, materialize, scratch_path
 
-__all__ = ["documents_of", "materialize", "scratch_path"]
+__all__ = ["documents_of", "free_shuffles", "materialize", "scratch_path"]
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
