@@ -63,31 +63,31 @@ def scan_licenses(df: DataFrame, notices: list[tuple[str, str]] = NOTICES, id_co
     for r in known:
         by_hash.setdefault(r["h"], []).append(r["k"])
 
-    words = F.array_remove(F.split(F.lower(F.col(text_col)), "[ \\t-\\r]+"), "")
-    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words.alias("w")).where(F.size("w") >= WORDS)
-
-    def hashed(first, last):
-        return F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.slice("w", i, WORDS)))
+    def once(frame: DataFrame, keep: list[str], value, name: str) -> DataFrame:
+        """Computes an array once per row: Spark would else put its expression into each element's lambda below."""
+        return frame.select(*keep, F.explode(F.array(value)).alias(name))
 
-    at = F.filter(F.sequence(F.lit(1), F.size("w") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS)).isin(list(by_hash)))
-    hits = docs.withColumn("at", at).where(F.size("at") > 0)
+    words = F.array_remove(F.split(F.lower(F.col(text_col)), "[ \\t-\\r]+"), "")
+    docs = once(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_col), ["doc_id"], words, "w").where(F.size("w") >= WORDS)
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS)))
+    hashed = once(docs, ["doc_id"], shingles, "h")
+    at = F.filter(F.transform("h", lambda x, i: F.when(x.isin(list(by_hash)), F.struct((i + 1).alias("i"), x.alias("x")))), lambda s: s.isNotNull())
+    hits = once(hashed, ["doc_id", "h"], at, "at").where(F.size("at") > 0)
     classes = F.create_map(*(F.lit(x) for h, ks in by_hash.items() for x in (h, F.array(*map(F.lit, ks)))))
-    hits = hits.withColumn("classes", classes)
 
-    def windows(i):
-        # the two windows of each class that hold shingle i (from 1)
+    def windows(hit):
+        # the two windows of each class that hold this shingle
         def of_class(k):
-            step = F.shiftleft(F.lit(1), k) if isinstance(k, int) else F.pow(F.lit(2), k).cast("int")
-            last = F.floor((i - 1) / step).cast("int")
+            last = F.floor((hit["i"] - 1) / F.pow(F.lit(2), k)).cast("int")
             return F.array(F.struct(k.alias("k"), last.alias("n")), F.struct(k.alias("k"), (last - 1).alias("n")))
 
-        return F.flatten(F.transform(F.element_at("classes", F.xxhash64(F.slice("w", i, WORDS))), of_class))
+        return F.flatten(F.transform(F.element_at(classes, hit["x"]), of_class))
 
-    found = hits.select("doc_id", "w", F.explode(F.array_distinct(F.flatten(F.transform("at", windows)))).alias("win")).where("win.n >= 0 or win.n = -1")
+    found = hits.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.transform("at", windows)))).alias("win"))
     step = F.pow(F.lit(2), F.col("win.k")).cast("int")
     first = F.greatest(F.col("win.n") * step + 1, F.lit(1))
-    last = F.least(F.col("win.n") * step + 2 * step, F.size("w") - (WORDS - 1))
-    found = found.select("doc_id", F.col("win.k").alias("k"), hashed(first, last).alias("own"))
+    last = F.least(F.col("win.n") * step + 2 * step, F.size("h"))
+    found = once(found.select("doc_id", "win.k", F.slice("h", first, last - first + 1).alias("s")), ["doc_id", "k"], F.col("s"), "own")
 
     def signature(values):
         return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform(values, lambda x: F.xxhash64(x, j))).alias("low")))
