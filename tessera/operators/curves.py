@@ -34,15 +34,16 @@ def roc(df: DataFrame, label: str, score: str, key: str, infinite: bool = False)
 
 def roc_summary(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:
     """AUC (staircase) and equal error rate (NaN where the curves don't meet), one row."""
-    counted = tp_fp(df, label, score, key, infinite)
-    ends = totals(df, label)
-    # with tp at a positive row, the step's height is its tnr; a row is positive if tp rose
-    steps = prefix_scan(counted, [F.asc("rank")], {}, {"last_tp": F.col("tp")})
-    rates = materialize(steps.crossJoin(F.broadcast(ends)).select("rank", "tp", (F.col("tp") / F.col("p")).alias("tpr"), (1 - F.col("fp") / F.col("n")).alias("tnr"), "p"), "rates")
-    # tp runs 1, 2, ...: the first row of each tp is where it rose
-    area = rates.where("tp > 0").groupBy("tp", "p").agg(F.min_by("tnr", "rank").alias("tnr")).agg(F.sum(F.col("tnr") / F.col("p")).alias("auc"))
-    after = rates.where("tpr > tnr").agg(F.min_by(1 - F.col("tnr"), "rank").alias("x"))
-    return area.crossJoin(after).select(F.coalesce("auc", F.lit(0.0)).alias("auc"), F.coalesce("x", F.lit(float("nan"))).alias("eer"))
+    rates = tp_fp(df, label, score, key, infinite).crossJoin(F.broadcast(totals(df, label)))  # one row
+    rates = materialize(rates.select("rank", "tp", "p", (F.col("tp") / F.col("p")).alias("tpr"), (1 - F.col("fp") / F.col("n")).alias("tnr")), "rates")
+    # tp runs 0, 1, 2, ...: the first row of each tp is where it rose
+    rises = rates.groupBy("tp", "p").agg(F.min_by("tnr", "rank").alias("tnr"), F.min("rank").alias("rank"))
+    area = rises.where("tp > 0").agg(F.sum(F.col("tnr") / F.col("p")).alias("auc"))
+    # the curves meet at a row that raises tpr or at one that lowers tnr
+    meet = rates.where("tpr >= tnr").agg(F.min_by(F.struct("rank", "tp", "tpr", "tnr"), "rank").alias("m")).select("m.*")
+    met = meet.join(rises.select(F.col("tp").alias("_tp"), F.col("rank").alias("_rank")), F.col("tp") == F.col("_tp"), "left")
+    met = met.agg(F.max(F.when(F.col("rank") == F.col("_rank"), 1 - F.col("tnr")).otherwise(1 - F.col("tpr"))).alias("x"))
+    return area.crossJoin(met).select(F.coalesce("auc", F.lit(0.0)).alias("auc"), F.coalesce("x", F.lit(float("nan"))).alias("eer"))
 
 
 def pr(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:

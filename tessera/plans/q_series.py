@@ -182,7 +182,7 @@ def _(t):
     return C.roc(scores(t), "label", "score", "doc_id").select("rank", F.round("tpr", 6).alias("tpr"), F.round("tnr", 6).alias("tnr"))
 
 
-@query("w18_roc_summary", f"WITH {COUNTED}, r AS (SELECT rank, tp / p AS tpr, 1 - fp / n AS tnr FROM c, t), d AS (SELECT *, tpr - lag(tpr) OVER (ORDER BY rank) AS step FROM r) SELECT round(sum(tnr * step), 6) AS auc, round(arg_min(1 - tnr, rank) FILTER (tpr > tnr), 6) AS eer FROM d")
+@query("w18_roc_summary", f"WITH {COUNTED}, r AS (SELECT rank, tp / p AS tpr, 1 - fp / n AS tnr FROM c, t), d AS (SELECT *, tpr - lag(tpr) OVER (ORDER BY rank) AS step FROM r) SELECT round(sum(tnr * step), 6) AS auc, round(arg_min(CASE WHEN step > 0 THEN 1 - tnr ELSE 1 - tpr END, rank) FILTER (tpr >= tnr), 6) AS eer FROM d")
 def _(t):
     return C.roc_summary(scores(t), "label", "score", "doc_id").select(F.round("auc", 6).alias("auc"), F.round("eer", 6).alias("eer"))
 
