@@ -163,3 +163,16 @@ def cropped_psnr(pairs: DataFrame, row: str, col: str, border: int, a: str = "a"
     inner = pairs.crossJoin(F.broadcast(ends)).where((F.col(row) >= F.col("_r0") + border) & (F.col(row) <= F.col("_r1") - border) & (F.col(col) >= F.col("_c0") + border) & (F.col(col) <= F.col("_c1") - border))
     d = F.col(a) - F.col(b)
     return inner.groupBy(*(by or [])).agg((10 * F.log10(F.lit(peak * peak) / F.avg(d * d))).alias("csnr"))
+
+
+def besov(df: DataFrame, key: str, value: str, levels: int = 3, beta: float = 4 / 9) -> DataFrame:
+    """Besov norm (p = 1) of rows in key order (0, 1, ...): Haar details of each level, weighed by 2^(beta · level), one row."""
+    low, parts = df.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v")), None
+    for level in range(1, levels + 1):
+        pair = F.floor(F.col("k") / 2)
+        odd = F.col("k") % 2 == 1
+        halves = low.groupBy(pair.alias("k")).agg(F.sum(F.when(odd, 0.0).otherwise(F.col("v"))).alias("x"), F.sum(F.when(odd, F.col("v")).otherwise(0.0)).alias("y"))
+        detail = halves.agg((F.lit(2.0 ** (beta * level)) * F.sum(F.abs(F.col("x") - F.col("y")) / F.sqrt(F.lit(2.0)))).alias("b"))
+        parts = detail if parts is None else parts.unionByName(detail)
+        low = halves.select("k", ((F.col("x") + F.col("y")) / F.sqrt(F.lit(2.0))).alias("v"))
+    return parts.unionByName(low.agg(F.sum(F.abs("v")).alias("b"))).agg(F.sum("b").alias("besov"))

@@ -182,3 +182,23 @@ def best_shift(df: DataFrame, key: str, column: str, reference: DataFrame, reach
     cost = F.aggregate(F.transform("_r", lambda r, i: F.pow(F.element_at("_x", (F.pmod(i + F.col("shift"), n) + 1).cast("int")).cast("double") - r.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
     rows = rows.select(key, "shift", cost.alias("cost"))
     return rows.groupBy(key).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.abs("shift").alias("size"), "shift")).alias("b")).select(key, "b.shift", "b.cost")
+
+
+def dominant_component(df: DataFrame, column: str, modes: int, low: float, high: float, rate: float) -> DataFrame:
+    """Adds component: of the leading principal components, the one whose scores along df's series have the largest amplitude in a band.
+
+    df: (series, seq, column array); one row per series with the component and its amplitude.
+    """
+    from .vectors import pca
+
+    projected, _modes, _values = pca(df, column, modes, "_p")
+    rows = projected.select("series", "seq", F.posexplode("_p").alias("component", "score"))
+    ordered = rows.groupBy("series", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "score"))), lambda r: r["score"]).alias("_s"))  # one series' scores
+
+    def amplitude(x: np.ndarray) -> tuple[np.ndarray]:
+        f = np.fft.rfftfreq(len(x), 1 / rate)
+        inside = np.abs(np.fft.rfft(x)[(f >= low) & (f <= high)])
+        return (np.array([inside.max() if len(inside) else 0.0]),)
+
+    scored = series_map(ordered, "_s", ["_a"], amplitude).withColumn("amplitude", F.element_at("_a", 1))
+    return scored.groupBy("series").agg(F.max_by(F.struct("component", "amplitude"), F.struct(F.round("amplitude", 9), -F.col("component"))).alias("b")).select("series", "b.*")

@@ -278,3 +278,33 @@ def roots(links: DataFrame, key: str, parent: str = "parent", rounds: int = 40)
             return after.select(F.col("k").alias(key), F.col("r").alias("root"))
         now = after.drop("moved")
     raise RuntimeError("pointer doubling isn't settled")
+
+
+def gmm_diag(df: DataFrame, vector: str, means: list[list[float]], variances: list[list[float]], weights: list[float], steps: int, floor: float = 1e-6) -> tuple[list[list[float]], list[list[float]], list[float], list[float]]:
+    """EM for a mixture of diagonal Gaussians from a given start: (means, variances, weights, log-likelihood before each step)."""
+    likelihood: list[float] = []
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"))
+    for _ in range(steps):
+        def task(batches: Iterator[pa.RecordBatch], m=np.array(means), s=np.array(variances), w=np.array(weights)) -> Iterator[pa.RecordBatch]:
+            k, d = m.shape
+            n, one, two, total = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0
+            for batch in batches:
+                x = np.array(batch["x"].to_pylist(), float)
+                if not len(x):
+                    continue
+                log = np.log(w) - 0.5 * (np.log(2 * np.pi * s).sum(1) + (((x[:, None] - m) ** 2) / s).sum(2))
+                top = log.max(1)
+                q = np.exp(log - top[:, None])
+                total += float((top + np.log(q.sum(1))).sum())
+                q /= q.sum(1)[:, None]
+                n, one, two = n + q.sum(0), one + q.T @ x, two + q.T @ (x * x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 + k + 2 * k * d), pa.int32()), pa.array(np.concatenate([[total], n, one.ravel(), two.ravel()]))], names=["at", "v"])
+
+        sums = {r["at"]: r["v"] for r in rows.mapInArrow(task, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}  # components x dims sums
+        v = np.array([sums[i] for i in range(len(sums))])
+        k, d = len(means), len(means[0])
+        n, one, two = np.maximum(v[1 : 1 + k], 1e-12), v[1 + k : 1 + k + k * d].reshape(k, d), v[1 + k + k * d :].reshape(k, d)
+        likelihood.append(float(v[0]))
+        m = one / n[:, None]
+        means, variances, weights = m.tolist(), np.maximum(two / n[:, None] - m * m, floor).tolist(), (n / n.sum()).tolist()
+    return means, variances, weights, likelihood

@@ -98,3 +98,8 @@ def _(t):
 @query("m29_cropped_psnr", f"WITH {PAIRS}, q AS (SELECT *, part % 3 AS channel FROM p), f AS (SELECT min(line) + 4 AS r0, max(line) - 4 AS r1, min(part) + 4 AS c0, max(part) - 4 AS c1 FROM p) SELECT channel, round(10 * log10(65025 / avg((a - b) * (a - b))), 5) AS csnr FROM q, f WHERE line BETWEEN r0 AND r1 AND part BETWEEN c0 AND c1 GROUP BY 1")
 def _(t):
     return M.cropped_psnr(pairs(t).withColumn("channel", F.col("part") % 3), "line", "part", 4, by=["channel"]).withColumn("csnr", F.round("csnr", 5))
+
+
+@query("m27_besov", f"WITH raw AS ({RAW}), l0 AS (SELECT line * 64 + part AS k, a AS v FROM raw), h1 AS (SELECT k // 2 AS k, sum(CASE WHEN k % 2 = 0 THEN v ELSE 0 END) AS x, sum(CASE WHEN k % 2 = 1 THEN v ELSE 0 END) AS y FROM l0 GROUP BY 1), h2 AS (SELECT k // 2 AS k, sum(CASE WHEN k % 2 = 0 THEN (x + y) / sqrt(2) ELSE 0 END) AS x, sum(CASE WHEN k % 2 = 1 THEN (x + y) / sqrt(2) ELSE 0 END) AS y FROM h1 GROUP BY 1) SELECT round((SELECT pow(2, 4 / 9.0) * sum(abs(x - y)) / sqrt(2) FROM h1) + (SELECT pow(2, 8 / 9.0) * sum(abs(x - y)) / sqrt(2) FROM h2) + (SELECT sum(abs(x + y)) / sqrt(2) FROM h2), 4) AS besov")
+def _(t):
+    return M.besov(raw(t).withColumn("key", F.col("line") * 64 + F.col("part")), "key", "a", levels=2).withColumn("besov", F.round("besov", 4))

@@ -264,3 +264,45 @@ def _(t):
 def _(t):
     e = t.embeddings.select("vec_id", *(F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(c) for i, c in enumerate("xy")))
     return V.roots(V.quick_shift(e.groupBy("x", "y").agg(F.min("vec_id").alias("id")), "id", "x", "y", sigma=0.5, reach=1.0), "id")
+
+
+@query("l4_gmm_diag")
+def _(t):
+    out, _modes, _values = V.pca(vectors(t), "vector", 4)
+    points = out.select("id", "projected")
+    start = [list(r[0]) for r in points.orderBy("id").limit(3).select("projected").collect()]  # 3 rows
+    means, variances, weights, _likelihood = V.gmm_diag(points, "projected", start, [[0.05] * 4] * 3, [1 / 3] * 3, steps=8)
+    rows = [(k, d, float(means[k][d]), float(variances[k][d]), float(weights[k])) for k in range(3) for d in range(4)]  # components x dims
+    return t.spark.createDataFrame(rows, "component int, dim int, mean double, variance double, weight double").select("component", "dim", *(F.round(c, 6).alias(c) for c in ("mean", "variance", "weight")))
+
+
+@query("x3_dominant_component")
+def _(t):
+    rows = t.embeddings.select(F.col("label").alias("series"), F.col("vec_id").alias("seq"), F.col("embedding").cast("array<double>").alias("v"))
+    return T.dominant_component(rows, "v", 4, 0.1, 0.3, 1.0).select("series", "component", F.round("amplitude", 6).alias("amplitude"))
+
+
+@query("s8_series_sink")
+def _(t):
+    """Each series in its own folder, read back."""
+    from tessera.operators import records as R
+    from tessera.plans.scratch import scratch_path
+
+    path = scratch_path(t.spark, "series")
+    named = t.documents.select("doc_id", "n_chars", R.path_safe(F.concat_ws(" ", "source", "lang"), F.substring("source", 4, 9)).alias("series"))
+    named.write.partitionBy("series").parquet(path)
+    return t.spark.read.parquet(path).groupBy("series").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("s5_mask_text_scan")
+def _(t):
+    """A mask written as text lines and scanned back."""
+    from tessera.operators import sampling as D
+    from tessera.plans.scratch import scratch_path
+
+    path = scratch_path(t.spark, "mask")
+    mask = t.lineitem.select((F.col("l_orderkey") % 64).alias("x"), (F.col("l_suppkey") % 64).alias("y")).distinct().withColumn("bit", ((F.col("x") + F.col("y")) % 3 == 0).cast("int"))
+    lines = D.mask_text(mask, "x", "y", "bit")
+    lines.select(F.format_string("%06d %s", F.col("row"), F.col("line")).alias("value")).orderBy("value").write.text(path)
+    text = t.spark.read.text(path)
+    return D.mask_rows(text.select(F.substring("value", 1, 6).cast("long").alias("row"), F.substring("value", 8, 1 << 20).alias("line")))
