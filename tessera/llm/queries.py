@@ -10,9 +10,9 @@ from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .license_scan import op9_license_scan, op9_sql
 from .mixing import op5_entropy_mixing
-from .near_dedup import op8_minhash_near_dedup
+from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .packing import op10_slack_packing
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op3_toxicity
 from .warc import op6_warc_segments
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_license_scan": op9_sql()}
+    return {"op2_embedding_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_license_scan": op9_sql()}

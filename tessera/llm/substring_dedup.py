@@ -159,3 +159,17 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .scratch import documents_of
 
     return remove_later_copies(documents_of(spark, sf_dir)).drop("kept")
+
+
+OP4_SQL = """
+WITH word AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+start AS (SELECT doc_id, list_transform(range(len(w) - 19), lambda i: array_to_string(w[i + 1 : i + 20], ' ')) AS keys FROM word WHERE len(w) >= 20),
+win AS (SELECT doc_id, unnest(keys) AS k, unnest(range(len(keys))) AS s FROM start),
+first AS (SELECT k, min((doc_id, s)) AS f FROM win GROUP BY k HAVING count(*) > 1),
+late AS (SELECT doc_id, s FROM win JOIN first USING (k) WHERE (doc_id, s) > f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + 1, s + 21)) AS i FROM late),
+place AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM word),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM place ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT word.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM word LEFT JOIN kept USING (doc_id)
+"""

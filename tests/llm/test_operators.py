@@ -265,7 +265,7 @@ def test_license_scan_awkward_rows(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op7_exact_dedup", "op9_license_scan"])
+@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op4_substring_dedup", "op7_exact_dedup", "op8_minhash_near_dedup", "op9_license_scan"])
 def test_query_equals_sql(spark, name):
     from tessera.llm import queries
 
