@@ -174,13 +174,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         label = components(links)
         labelled = reps.join(label, reps.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
         keyed = labelled.select("doc_id", "label", *odd, F.explode("bands").alias("key"))
-        open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return materialize(keyed.join(open_keys, "key", "left_semi"), "open")
+        open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        return materialize(keyed.join(open_keys, "key"), "open")
 
-    # more stars, around members that chance picks: one group's components grow together without its pairs being listed
+    # more stars, in each member's largest bucket and around members that chance picks: a group's components grow together
+    # without its pairs being listed
     still = still_open(star_links)
     picks = [F.min_by(F.struct("doc_id", "label", *odd), F.xxhash64("doc_id", "key", F.lit(r))) for r in range(leaders)]
-    x, y = still.alias("x"), still.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*").alias("y")
+    largest = still.groupBy("doc_id").agg(F.max_by(F.struct("key", "label", *odd), F.struct("n", "key")).alias("m")).select("doc_id", "m.*")
+    x, y = largest.alias("x"), still.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*").alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (apart("x", "y") <= limit))
     more = more.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
     star_links = materialize(star_links.unionByName(verified(more, texts, percent)), "links")
