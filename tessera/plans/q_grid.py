@@ -111,10 +111,10 @@ def _(t):
     return cells(t).groupBy("line", "part").agg(F.round(F.sqrt(F.sum(m)), 3).alias("size"), F.round(F.sum(m * F.atan2("im", "re")) / F.sum(m), 6).alias("phase"))
 
 
-@query("a4_repetition_average", f"SELECT line, part, channel, round(avg(re), 10) AS re, round(avg(im), 10) AS im FROM (SELECT line, part, channel, rep, avg(re) AS re, avg(im) AS im FROM ({CELLS}) GROUP BY ALL) GROUP BY line, part, channel")
+@query("a4_repetition_average", f"SELECT line, part, channel, round(avg(re), 8) AS re, round(avg(im), 8) AS im FROM (SELECT line, part, channel, rep, avg(re) AS re, avg(im) AS im FROM ({CELLS}) GROUP BY ALL) GROUP BY line, part, channel")
 def _(t):
     each = cells(t).groupBy("line", "part", "channel", "rep").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
-    return each.groupBy("line", "part", "channel").agg(F.round(F.avg("re"), 10).alias("re"), F.round(F.avg("im"), 10).alias("im"))
+    return each.groupBy("line", "part", "channel").agg(F.round(F.avg("re"), 8).alias("re"), F.round(F.avg("im"), 8).alias("im"))
 
 
 @query("a5_channel_select", "WITH c AS (SELECT user_id, event_type, sum(abs(value)) AS power, max(CASE WHEN hour(ts) BETWEEN 6 AND 12 THEN abs(value) END) AS peak FROM events GROUP BY ALL), b AS (SELECT *, max(peak / power) OVER (PARTITION BY user_id) AS best FROM c) SELECT user_id, event_type, round(peak / power, 6) AS share FROM b WHERE peak / power > 0.2 * best")
