@@ -177,13 +177,15 @@ def _(t):
 @query("j11_knn_approx")
 def _(t):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors(t).select("id", array_to_vector("vector").alias("vector"))
-    model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=0.5, numHashTables=12, seed=3).fit(v)
-    found = model.approxSimilarityJoin(asked(v), v, 1.2, "distance").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
-    best = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "b"))), 1, 5).alias("best"))
-    return best.select("a", F.explode("best").alias("r")).select("a", "r.b", F.round("r.distance", 6).alias("distance"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).where("vector is not null")
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    scale = float(f"{v.agg(F.sqrt(F.avg(square))).first()[0] or 1.0:.3g}")  # buckets are as wide for vectors of any length
+    v = v.withColumn("dense", array_to_vector(F.transform("vector", lambda x: x.cast("double") / scale)))
+    model = BucketedRandomProjectionLSH(inputCol="dense", outputCol="hashes", bucketLength=0.5, numHashTables=12, seed=3).fit(v)
+    v = model.transform(v).select("id", "vector", F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long")).alias("hashes"))
+    return V.nearest_in_buckets(asked(v), v, 5).select("a", "b", F.round(F.sqrt("distance"), 6).alias("distance"))
 
 
 def first_centres(t, k: int = 8) -> list[list[float]]:
