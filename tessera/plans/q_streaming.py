@@ -15,25 +15,29 @@ from .registry import query
 @query("t1_stream_accumulate", "SELECT event_id // 100 AS key, event_id % 10 AS cell, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def _(t):
     e = t.events.select("event_id", "value", F.floor(F.col("event_id") / 100).alias("m"), (F.col("event_id") % 10).alias("cell"), (F.col("event_id") % 100 == 99).alias("last"))
-    return S.drained(S.accumulate(S.replay(e, "event_id", 3), "m", "cell", "value", "event_id", "last")).drop("batch")
+    feed = S.replay(e, "event_id", 3, clock=True)
+    return S.drained(S.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).drop("batch")
 
 
 @query("t2_stream_reject_route", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'navigator' ELSE 'image' END AS route FROM events WHERE event_type IN ('view', 'click', 'purchase')")
 def _(t):
-    routed = S.reject_route(S.replay(t.events, "event_id", 3), "event_type", {"view": "image", "click": "image", "purchase": "navigator"})
-    return S.drained(routed.select("event_id", "route")).drop("batch")
+    feed = S.replay(t.events, "event_id", 3)
+    routed = S.reject_route(feed.stream, "event_type", {"view": "image", "click": "image", "purchase": "navigator"})
+    return S.drained(routed.select("event_id", "route"), feed).drop("batch")
 
 
 @query("t3_stream_stack", "SELECT event_id // 8 AS key, count(*) AS slots, round(sum(value), 6) AS total FROM events GROUP BY 1 HAVING count(*) = 8")
 def _(t):
     e = t.events.select(F.floor(F.col("event_id") / 8).alias("k"), (F.col("event_id") % 8).alias("slot"), "value", "event_id")
-    return S.drained(S.stack(S.replay(e, "event_id", 3), "k", "slot", "value", 8)).select("key", "slots", F.round("total", 6).alias("total"))
+    feed = S.replay(e, "event_id", 3)
+    return S.drained(S.stack(feed.stream, "k", "slot", "value", 8), feed).select("key", "slots", F.round("total", 6).alias("total"))
 
 
 @query("t5_stream_split_combine", "SELECT o_orderkey // 64 AS key, count(*) AS slots, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 HAVING count(*) = 64")
 def _(t):
     o = t.orders.select(F.floor(F.col("o_orderkey") / 64).alias("block"), F.col("o_orderkey").alias("part"), "o_totalprice")
-    return S.drained(S.stack(S.replay(o, "part", 3), "block", "part", "o_totalprice", 64)).select("key", "slots", F.round("total", 2).alias("total"))
+    feed = S.replay(o, "part", 3)
+    return S.drained(S.stack(feed.stream, "block", "part", "o_totalprice", 64), feed).select("key", "slots", F.round("total", 2).alias("total"))
 
 
 GATES = "SELECT gate, 10.0 + 20 * gate AS centroid, 12.0 AS tolerance FROM range(5) g(gate)"
@@ -41,13 +45,15 @@ GATES = "SELECT gate, 10.0 + 20 * gate AS centroid, 12.0 AS tolerance FROM range
 
 @query("t6_stream_gate_population", f"SELECT event_type, gate, round(sum(exp(-pow(value - centroid, 2) / 288) * value) / sum(exp(-pow(value - centroid, 2) / 288)), 6) AS value, count(*) AS n FROM events JOIN ({GATES}) g ON abs(value - centroid) < tolerance GROUP BY ALL")
 def _(t):
-    out = S.gate_population(S.replay(t.events, "event_id", 3), fixed_gates(t), "value", ["event_type"])
-    return S.latest(S.drained(out, "update"), ["event_type", "gate"]).select("event_type", "gate", F.round("value", 6).alias("value"), "n")
+    feed = S.replay(t.events, "event_id", 3)
+    out = S.gate_population(feed.stream, fixed_gates(t), "value", ["event_type"])
+    return S.latest(S.drained(out, feed, "update"), ["event_type", "gate"]).select("event_type", "gate", F.round("value", 6).alias("value"), "n")
 
 
 @query("t7_windowed_counter", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")
 def _(t):
-    return S.drained(S.windowed_counts(S.replay(t.events, "event_id", 3), "ts", "event_type", "1 day", "2 hours")).drop("batch")
+    feed = S.replay(t.events, "event_id", 3)
+    return S.drained(S.windowed_counts(feed.stream, "ts", "event_type", "1 day", "2 hours"), feed).drop("batch")
 
 
 @query("t8_chain_config", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id BETWEEN 10 AND 90) WHERE r > 5 OR n <= 5")

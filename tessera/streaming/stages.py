@@ -12,11 +12,51 @@ from pyspark.sql.streaming.state import GroupState
 from tessera.plans.scratch import scratch_path
 
 
-def replay(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """df as a stream of files in that order, one file a micro-batch."""
-    path = scratch_path(df.sparkSession, "stream")
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Feed:
+    """A table as a stream of files in a given order: each file is shown to the stream when those before it are done.
+
+    Spark orders files by modification time, which says little when parallel tasks write them; here only one new file is there at a time.
+    """
+
+    def __init__(self, df: DataFrame, order: str, parts: int, clock: bool = False) -> None:
+        """clock: adds a column _clock at START, and a last row at CLOSE, of which all else is null."""
+        self.spark = df.sparkSession
+        df = df.withColumn("_clock", F.timestamp_seconds(F.lit(START))) if clock else df
+        self.shown, ranges = scratch_path(self.spark, "stream"), scratch_path(self.spark, "ranges")
+        df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(ranges)
+        self.files = self.listed(ranges)
+        if clock:
+            close = scratch_path(self.spark, "close")
+            last = self.spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "_clock" else F.timestamp_seconds(F.lit(CLOSE)).alias("_clock") for f in df.schema))
+            last.coalesce(1).write.parquet(close)
+            self.files += self.listed(close)
+        self.path(self.shown).getFileSystem(self.conf()).mkdirs(self.path(self.shown))
+        self.stream = self.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(self.shown)
+
+    def conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def listed(self, folder: str) -> list[str]:
+        """The folder's files by the number of the range that each holds."""
+        found = self.path(folder).getFileSystem(self.conf()).listStatus(self.path(folder))
+        names = [f.getPath().toString() for f in found]
+        return sorted((n for n in names if "/part-" in n), key=lambda n: int(n.rsplit("/part-", 1)[1].split("-")[0]))
+
+    def show(self, file: str) -> None:
+        if not self.path(file).getFileSystem(self.conf()).rename(self.path(file), self.path(f"{self.shown}/{file.rsplit('/', 1)[1]}")):
+            raise OSError(f"{file} can't be moved to {self.shown}")
+
+
+#: Seconds on a stream's clock: of all rows, of the timers of open keys, and of the closing row. HELD is how far the watermark stays behind.
+START, TIMER, CLOSE, HELD = 7200, 10800, 36000, "1 hour"
+
+
+def replay(df: DataFrame, order: str, parts: int, clock: bool = False) -> Feed:
+    """df as a stream of files in that order, one file a micro-batch; to be run by drained()."""
+    return Feed(df, order, parts, clock)
 
 
 def append_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -28,12 +68,17 @@ def append_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns all that it wrote, with the batch that wrote it."""
+def drained(stream: DataFrame, feed: Feed, mode: str = "append") -> DataFrame:
+    """Runs a stream over its feed, file by file, and returns all that it wrote, with the batch that wrote it."""
     spark: SparkSession = stream.sparkSession
     out, checkpoint = scratch_path(spark, "sink"), scratch_path(spark, "progress")
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append_sink(out)).start()
-    run.awaitTermination()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(append_sink(out)).start()
+    try:
+        for file in feed.files:
+            feed.show(file)
+            run.processAllAvailable()
+    finally:
+        run.stop()
     return spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch int").parquet(out)
 
 
@@ -68,11 +113,14 @@ def stack(stream: DataFrame, key: str, slot: str, value: str, expected: int) ->
 
 
 def accumulate(stream: DataFrame, key: str, cell: str, value: str, order: str, end: str) -> DataFrame:
-    """(key, cell, value): buffers a measurement's records and emits its grid (a later record wins) when its end flag arrives."""
+    """(key, cell, value): buffers a measurement's records and emits its grid (a later record wins) when its end flag arrives, or at the stream's close.
+
+    The stream has the clock of replay(): its closing row moves the watermark past the timers of the measurements still open.
+    """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cells, values, orders = (list(x) for x in state.get) if state.exists else ([], [], [])
-        done = False
+        done = state.hasTimedOut
         for pdf in batches:
             cells += pdf[cell].tolist()
             values += pdf[value].tolist()
@@ -80,13 +128,15 @@ def accumulate(stream: DataFrame, key: str, cell: str, value: str, order: str, e
             done |= bool(pdf[end].any())
         if not done:
             state.update((cells, values, orders))
+            state.setTimeoutTimestamp(TIMER * 1000)
             return
         state.remove() if state.exists else None
         grid = pd.DataFrame({"cell": cells, "value": values, "order": orders}).sort_values("order").groupby("cell", as_index=False).last()
         yield pd.DataFrame({"key": keys[0], "cell": grid["cell"], "value": grid["value"]})
 
-    rows = stream.select(F.col(key).cast("long").alias(key), F.col(cell).cast("long").alias(cell), F.col(value).cast("double").alias(value), F.col(order).cast("long").alias(order), F.col(end).alias(end))
-    return rows.groupBy(key).applyInPandasWithState(step, "key long, cell long, value double", "cells array<long>, vals array<double>, orders array<long>", "append", "NoTimeout")
+    rows = stream.withWatermark("_clock", HELD).where(F.col("_clock") < F.timestamp_seconds(F.lit(CLOSE)))
+    rows = rows.select("_clock", F.col(key).cast("long").alias(key), F.col(cell).cast("long").alias(cell), F.col(value).cast("double").alias(value), F.col(order).cast("long").alias(order), F.col(end).alias(end))
+    return rows.groupBy(key).applyInPandasWithState(step, "key long, cell long, value double", "cells array<long>, vals array<double>, orders array<long>", "append", "EventTimeTimeout")
 
 
 def gate_population(stream: DataFrame, gates: DataFrame, value: str, keys: list[str]) -> DataFrame:

@@ -3,10 +3,12 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans.catalog import QUERIES
+from tessera.streaming import stages
 from tests import oracle
 
 
@@ -30,3 +32,26 @@ def test_approximate_neighbours_of_isolated_vectors(spark, tmp_path, scale):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     share, least = recall(spark, str(tmp_path))
     assert share >= 0.9 and least == 5
+
+
+def reversed_times(feed):
+    """Makes the first file the newest."""
+    for i, file in enumerate(feed.files):
+        os.utime(file.removeprefix("file:"), (1_600_000_000 - 60 * i,) * 2)
+
+
+def test_windows_survive_files_of_any_time(spark):
+    days = pd.date_range("2024-01-01", periods=240, freq="h")
+    df = spark.createDataFrame([(i, d.to_pydatetime(), "a") for i, d in enumerate(days)], "event_id long, ts timestamp, event_type string")
+    feed = stages.replay(df, "event_id", 3)
+    reversed_times(feed)
+    got = stages.drained(stages.windowed_counts(feed.stream, "ts", "event_type", "1 day", "2 hours"), feed)
+    assert sorted(r["start"].day for r in got.collect()) == list(range(1, 10)) and {r["n"] for r in got.collect()} == {24}
+
+
+def test_accumulate_keeps_cut_and_open_measurements(spark):
+    df = spark.range(250).selectExpr("id AS event_id", "CAST(id AS DOUBLE) AS value", "id DIV 100 AS m", "id % 10 AS cell", "id % 100 = 99 AS last")
+    feed = stages.replay(df, "event_id", 3, clock=True)
+    reversed_times(feed)
+    got = stages.drained(stages.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).collect()
+    assert sorted((r["key"], r["cell"], r["value"]) for r in got) == [(m, c, float(top - 10 + c)) for m, top in enumerate((100, 200, 250)) for c in range(10)]
