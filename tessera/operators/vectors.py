@@ -290,16 +290,16 @@ def kernel_map(values: Column, order: int = 1, period: float = 0.6) -> Column:
     return F.flatten(F.transform(values, of))
 
 
-def quick_shift(df: DataFrame, key: str, x: str, y: str, sigma: float, reach: float) -> DataFrame:
-    """(key, density, parent): Parzen density, and the nearest denser point within reach (null: a mode); a range join by cells."""
+def quick_shift(df: DataFrame, key: str, x: str, y: str, sigma: float, reach: float, weight: str | None = None) -> DataFrame:
+    """(key, density, parent): Parzen density (weighted by a column, if one is named), and the nearest denser point within reach (null: a mode); a range join by cells."""
     width = max(3 * sigma, reach)
     cell = [F.floor(F.col(c) / width) for c in (x, y)]
     own = df.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell[0].alias("i"), cell[1].alias("j"))
     around = F.array(*(F.struct((cell[0] + p).alias("i"), (cell[1] + q).alias("j")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
-    sent = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(around).alias("c")).select("b", "bx", "by", "c.*")
+    sent = df.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), (F.col(weight) if weight else F.lit(1)).alias("w"), F.explode(around).alias("c")).select("b", "bx", "by", "w", "c.*")
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    pairs = own.join(sent, ["i", "j"]).select("a", "b", d2.alias("d2")).where(F.col("d2") <= width * width)
-    density = materialize(pairs.groupBy("a").agg(F.round(F.sum(F.exp(-F.col("d2") / (2 * sigma * sigma))), 9).alias("density")), "density")
+    pairs = own.join(sent, ["i", "j"]).select("a", "b", "w", d2.alias("d2")).where(F.col("d2") <= width * width)
+    density = materialize(pairs.groupBy("a").agg(F.round(F.sum(F.col("w") * F.exp(-F.col("d2") / (2 * sigma * sigma))), 9).alias("density")), "density")
     ranked = pairs.where(F.col("d2") <= reach * reach).join(density, "a").join(density.select(F.col("a").alias("b"), F.col("density").alias("other")), "b")
     denser = ranked.where((F.col("other") > F.col("density")) | ((F.col("other") == F.col("density")) & (F.col("b") < F.col("a"))))
     parent = denser.groupBy("a").agg(F.min_by("b", F.struct("d2", "b")).alias("parent"))

@@ -33,6 +33,13 @@ def _(t):
     return G.dense_grid(some, {"line": (0, 63), "part": (0, 8)})
 
 
+@query("j2_dense_zero_fill_whole", f"WITH c AS (SELECT line, part, channel, round(sum(q), 2) AS q FROM ({CELLS}) GROUP BY ALL), g AS (SELECT l.line, p.part, h.channel FROM range(0, 64) l(line), range(0, 9) p(part), range(0, 8) h(channel)) SELECT g.line, g.part, g.channel, coalesce(c.q, 0) AS q FROM g LEFT JOIN c ON g.line = c.line AND g.part = c.part AND g.channel = c.channel")
+def _(t):
+    """j2_dense_zero_fill over all channels and lines; parts without records are the holes."""
+    every = cells(t).groupBy("line", F.col("part").cast("long").alias("part"), "channel").agg(F.round(F.sum("q"), 2).alias("q"))
+    return G.dense_grid(every, {"line": (0, 63), "part": (0, 8), "channel": (0, 7)})
+
+
 GATES = "SELECT gate, 10.0 + 20 * gate AS centroid, 12.0 AS tolerance FROM range(5) g(gate)"
 
 
@@ -235,9 +242,16 @@ def _(t):
     return r.groupBy("user_id", F.floor(F.col("i") / 8).alias("block")).agg(F.count("*").alias("n"), F.max(F.when(F.col("i") % 8 == 4, F.col("event_id"))).alias("middle")).where("n = 8").drop("n")
 
 
-@query("a25_density_compensation", "WITH g AS (SELECT DISTINCT l_orderkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT a.x, b.y, g.x IS NOT NULL AS hit, pow((a.x - 31.5) / 32, 2) + pow((b.y - 31.5) / 32, 2) <= 1 AS disc, abs(a.x - 31.5) < 8 AND abs(b.y - 31.5) < 8 AS box FROM range(64) a(x) CROSS JOIN range(64) b(y) LEFT JOIN g ON g.x = a.x AND g.y = b.y), r AS (SELECT avg(CASE WHEN disc AND NOT box THEN hit::INT END) AS share FROM c) SELECT x, y, round(CASE WHEN box THEN 1 ELSE 1 / share END, 6) AS weight FROM c, r WHERE hit")
-def _(t):
-    hits = t.lineitem.where("l_orderkey % 5 = 0").select((F.col("l_orderkey") % 64).alias("x"), (F.col("l_suppkey") % 64).alias("y")).distinct().withColumn("hit", F.lit(1))
+A25 = "WITH g AS (SELECT DISTINCT l_orderkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT a.x, b.y, g.x IS NOT NULL AS hit, pow((a.x - 31.5) / 32, 2) + pow((b.y - 31.5) / 32, 2) <= 1 AS disc, abs(a.x - 31.5) < 8 AND abs(b.y - 31.5) < 8 AS box FROM range(64) a(x) CROSS JOIN range(64) b(y) LEFT JOIN g ON g.x = a.x AND g.y = b.y), r AS (SELECT avg(CASE WHEN disc AND NOT box THEN hit::INT END) AS share FROM c) SELECT x, y, round(CASE WHEN box THEN 1 ELSE 1 / share END, 6) AS weight FROM c, r WHERE hit"
+
+
+def sampled(rows):
+    """The cells (x, y) that rows hit."""
+    return rows.select((F.col("l_orderkey") % 64).alias("x"), (F.col("l_suppkey") % 64).alias("y")).distinct().withColumn("hit", F.lit(1))
+
+
+def density_weights(hits):
+    """(x, y, weight) of the cells hit: 1 in the inner box, else one over the sampled share of the disc around it."""
     g = G.dense_grid(hits, {"x": (0, 63), "y": (0, 63)})
     disc = F.pow((F.col("x") - 31.5) / 32, F.lit(2)) + F.pow((F.col("y") - 31.5) / 32, F.lit(2)) <= 1
     g = g.withColumn("box", (F.abs(F.col("x") - 31.5) < 8) & (F.abs(F.col("y") - 31.5) < 8)).withColumn("outer", disc & ~F.col("box"))
@@ -245,6 +259,17 @@ def _(t):
     return g.where("hit = 1").crossJoin(F.broadcast(share)).select("x", "y", F.round(F.when(F.col("box"), 1.0).otherwise(1 / F.col("share")), 6).alias("weight"))  # one row
 
 
+@query("a25_density_compensation", A25)
+def _(t):
+    return density_weights(sampled(t.lineitem.where("l_orderkey % 5 = 0")))
+
+
+@query("a25_density_compensation_whole", A25.replace(" WHERE l_orderkey % 5 = 0", ""))
+def _(t):
+    """a25_density_compensation over all rows."""
+    return density_weights(sampled(t.lineitem))
+
+
 @query("c4_group_threshold", f"WITH c AS (SELECT line, part, channel, sum(re) AS re FROM ({CELLS}) GROUP BY ALL), n AS (SELECT *, sqrt(sum(re * re) OVER (PARTITION BY line, part)) AS norm FROM c) SELECT line, part, channel, round(re * greatest(1 - 1e6 / norm, 0), 3) AS soft, round(CASE WHEN norm > 1e6 THEN re ELSE 0 END, 3) AS hard FROM n")
 def _(t):
     c = cells(t).groupBy("line", "part", "channel").agg(F.sum("re").alias("re"))

@@ -85,8 +85,9 @@ def _(t):
 def _(t):
     from tessera.plans.scratch import materialize
 
-    rows = materialize(t.embeddings.select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("y")), "rows")
-    w, history = L.fit(rows, [*(f"x{i}" for i in range(16)), "y"], L.squared_hinge, 0.0, prox=lambda x, s: x, ridge=0.1, steps=12)
+    n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    rows = materialize(t.embeddings.select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("y")), "rows")
+    w, history = L.fit(rows, [*(f"x{i}" for i in range(n)), "y"], L.squared_hinge, 0.0, prox=lambda x, s: x, ridge=0.1, steps=12)
     return t.spark.createDataFrame([(f"w{i}", round(float(v), 4)) for i, v in enumerate(w)] + [("objective", round(float(history[-1]), 5))], "name string, value double")
 
 

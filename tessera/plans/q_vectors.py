@@ -10,6 +10,7 @@ from tessera.operators import transforms as T
 from tessera.operators import vectors as V
 
 from .registry import query
+from .scratch import materialize
 
 E = "CAST(embedding AS DOUBLE[])"
 
@@ -72,6 +73,14 @@ def _(t):
     return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
 
 
+@query("x1_dft_whole", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings) SELECT vec_id, k, round(list_sum(list_transform(e, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))), 6) AS re, round(-list_sum(list_transform(e, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))), 6) AS im FROM e, range(64) g(k)")
+def _(t):
+    """All coefficients of x1_dft."""
+    out = T.dft(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e")
+    rows = out.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+    return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
+
+
 @query("x2_band_power", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings), k AS (SELECT vec_id, pow(list_sum(list_transform(e, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))), 2) + pow(list_sum(list_transform(e, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))), 2) AS p FROM e, range(13, 22) g(k)) SELECT vec_id, round(sum(p), 6) AS power FROM k GROUP BY 1")
 def _(t):
     out = T.band_power(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", 0.2, 1 / 3, 1.0)
@@ -262,10 +271,24 @@ def _(t):
     return V.quick_shift(p, "id", "x", "y", sigma=0.5, reach=1.0).withColumn("density", F.round("density", 6))
 
 
+def pca_links(t):
+    """(id, density, parent) of all vectors in their plane of two principal components; vectors at one place are shifted once, with their number as weight."""
+    e, _modes, _values = V.pca(vectors(t).where("vector is not null"), "vector", 2)
+    e = e.select("id", *(F.round(F.col("projected")[i] * 10, 2).alias(c) for i, c in enumerate("xy")))
+    p = materialize(e.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("n")), "places")
+    links = V.quick_shift(p, "first", "x", "y", sigma=0.5, reach=1.0, weight="n")
+    every = e.join(p.join(links, "first"), ["x", "y"])
+    return every.select("id", F.round("density", 6).alias("density"), F.when(F.col("id") == F.col("first"), F.col("parent")).otherwise(F.col("first")).alias("parent"))
+
+
+@query("l16_quick_shift_pca")
+def _(t):
+    return pca_links(t)
+
+
 @query("l16_quick_shift_roots")
 def _(t):
-    e = t.embeddings.select("vec_id", *(F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(c) for i, c in enumerate("xy")))
-    return V.roots(V.quick_shift(e.groupBy("x", "y").agg(F.min("vec_id").alias("id")), "id", "x", "y", sigma=0.5, reach=1.0), "id")
+    return V.roots(pca_links(t), "id")
 
 
 @query("l4_gmm_diag")

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import q_grid
 from tessera.plans.catalog import QUERIES
 from tessera.streaming import stages
 from tests import oracle
@@ -55,3 +56,44 @@ def test_accumulate_keeps_cut_and_open_measurements(spark):
     reversed_times(feed)
     got = stages.drained(stages.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).collect()
     assert sorted((r["key"], r["cell"], r["value"]) for r in got) == [(m, c, float(top - 10 + c)) for m, top in enumerate((100, 200, 250)) for c in range(10)]
+
+
+def test_all_coefficients(spark):
+    got = QUERIES["x1_dft_whole"](spark, oracle.DATA).groupBy("vec_id").agg(F.count("*").alias("n"), F.count_distinct("k").alias("k")).agg(F.min("n"), F.max("n"), F.min("k")).first()
+    assert tuple(got) == (64, 64, 64)
+
+
+def test_zero_fill_of_all_rows(spark):
+    got = QUERIES["j2_dense_zero_fill_whole"](spark, oracle.DATA)
+    total = spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+    n, q, holes = got.agg(F.count("*"), F.sum("q"), F.count_if(F.col("q") == 0)).first()
+    assert n == 64 * 9 * 8 and float(q) == pytest.approx(float(total)) and holes >= 64 * 2 * 8
+
+
+def test_density_weights_with_holes(spark):
+    cells = [(x, y) for x in range(64) for y in range(64) if x % 2 == 0]
+    got = {(r["x"], r["y"]): r["weight"] for r in q_grid.density_weights(spark.createDataFrame(cells, "x long, y long").withColumn("hit", F.lit(1))).collect()}
+    assert set(got) == set(cells) and got[32, 32] == 1 and got[2, 32] == pytest.approx(2)
+
+
+def test_svm_has_a_weight_for_each_component(spark):
+    names = [r["name"] for r in QUERIES["l7_linear_svm"](spark, oracle.DATA).collect()]
+    assert names == [*(f"w{i}" for i in range(65)), "objective"]
+
+
+def test_quick_shift_of_all_vectors(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(60, 6)) * [0.3, 0.2, 0.01, 0.01, 0.01, 0.01]
+    x = np.concatenate([x[:, ::-1], x[:5, ::-1]])  # the two wide components last, and five copies
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = x - x.mean(0)
+    p = np.round(c @ np.linalg.svd(c)[2][:2].T * 10, 2)
+    d2 = ((p[:, None] - p) ** 2).sum(2)
+    density = np.round(np.where(d2 <= 2.25, np.exp(-d2 / 0.5), 0).sum(1), 9)
+    want = []
+    for a in range(len(x)):
+        denser = [b for b in range(len(x)) if d2[a, b] <= 1 and (density[b] > density[a] or density[b] == density[a] and b < a)]
+        want.append(min(denser, key=lambda b: (d2[a, b], b), default=None))
+    got = {r["id"]: r for r in QUERIES["l16_quick_shift_pca"](spark, str(tmp_path)).collect()}
+    assert [got[i]["parent"] for i in range(len(x))] == want
+    assert np.allclose([got[i]["density"] for i in range(len(x))], density, atol=1e-6)
+    assert QUERIES["l16_quick_shift_roots"](spark, str(tmp_path)).count() == len(x)
