@@ -184,6 +184,13 @@ def best_shift(df: DataFrame, key: str, column: str, reference: DataFrame, reach
     return rows.groupBy(key).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.abs("shift").alias("size"), "shift")).alias("b")).select(key, "b.shift", "b.cost")
 
 
+def align(df: DataFrame, key: str, column: str, shifts: DataFrame) -> DataFrame:
+    """df with each series moved circularly by its shift of best_shift (key, shift, ...)."""
+    n = F.size(column)
+    moved = F.transform(column, lambda _, i: F.element_at(column, (F.pmod(i + F.col("shift"), n) + 1).cast("int")))
+    return df.join(shifts.select(key, "shift"), key).withColumn(column, moved)
+
+
 def dominant_component(df: DataFrame, column: str, modes: int, low: float, high: float, rate: float) -> DataFrame:
     """Adds component: of the leading principal components, the one whose scores along df's series have the largest amplitude in a band.
 

@@ -175,6 +175,34 @@ def kmeans_l2(df: DataFrame, vector: str, centres: list[list[float]], steps: int
     return centres, energies
 
 
+def absolute_distance(x: Column, centre: list[float]) -> Column:
+    c = F.array(*map(F.lit, centre))
+    return F.aggregate(F.zip_with(x, c, lambda p, q: F.abs(p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v)
+
+
+def assign_l1(df: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
+    """Adds cluster (nearest centre by L1, smallest number on ties) and its L1 distance."""
+    best = F.array_min(F.array(*(F.struct(absolute_distance(F.col(vector), c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))
+    return df.withColumn("_b", best).withColumns({"cluster": F.col("_b.i"), "distance": F.col("_b.d")}).drop("_b")
+
+
+def kmeans_l1(df: DataFrame, vector: str, centres: list[list[float]], steps: int, tolerance: float = 1e-9) -> tuple[list[list[float]], list[float]]:
+    """k-medians steps from given centres: (centres, energy at each step). A new centre is the median of each dimension; empty clusters keep theirs."""
+    energies: list[float] = []
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"))
+    for _ in range(steps):
+        own = assign_l1(rows, "x", centres)
+        energies.append(own.agg(F.sum("distance")).first()[0] or 0.0)
+        medians = own.select("cluster", F.posexplode("x").alias("dim", "v")).groupBy("cluster", "dim").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()  # clusters x dims
+        new = [list(c) for c in centres]
+        for r in medians:
+            new[r["cluster"]][r["dim"]] = r["m"]
+        if max(abs(a - b) for x, y in zip(new, centres, strict=True) for a, b in zip(x, y, strict=True)) < tolerance:
+            break
+        centres = new
+    return centres, energies
+
+
 def plus_plus(df: DataFrame, vector: str, key: str, k: int, seed: int = 1) -> list[list[float]]:
     """k starting centres: each next one drawn with weight of its squared distance to those before (largest of weighted seeded hashes)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
@@ -276,9 +304,16 @@ def pca(df: DataFrame, vector: str, k: int, out: str = "projected") -> tuple[Dat
     return df.withColumn(out, projected), modes, values
 
 
-def kernel_map(values: Column, order: int = 1, period: float = 0.6) -> Column:
-    """Features whose inner products approximate the χ² kernel: 2·order + 1 for each value; negative values map oddly."""
-    spectrum = [period / math.cosh(math.pi * j * period) for j in range(order + 1)]
+SPECTRA = {
+    "chi2": lambda f: 1 / math.cosh(math.pi * f),
+    "intersection": lambda f: 2 / (math.pi * (1 + 4 * f * f)),
+    "js": lambda f: 2 / math.log(4) / math.cosh(math.pi * f) / (1 + 4 * f * f),
+}
+
+
+def kernel_map(values: Column, order: int = 1, period: float = 0.6, kernel: str = "chi2") -> Column:
+    """Features whose inner products approximate a kernel of SPECTRA: 2·order + 1 for each value; negative values map oddly."""
+    spectrum = [period * SPECTRA[kernel](j * period) for j in range(order + 1)]
     def of(v: Column) -> Column:
         size, sign = F.abs(v.cast("double")), F.signum(v.cast("double"))
         parts = [sign * F.sqrt(size * spectrum[0])]

@@ -136,6 +136,14 @@ def _(t):
     return T.best_shift(e, "vec_id", "e", e.orderBy(F.desc("vec_id")).limit(1), 4).withColumn("cost", F.round("cost", 6))
 
 
+@query("x10_shift_align")
+def _(t):
+    """The vectors of x10_shift_match, each moved by its shift."""
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    shifts = T.best_shift(e, "vec_id", "e", e.orderBy(F.desc("vec_id")).limit(1), 4)
+    return T.align(e, "vec_id", "e", shifts).select("vec_id", "shift", weighed(F.col("e")).alias("y"))
+
+
 POINTS = f"v AS (SELECT vec_id AS id, {E} AS v, label FROM embeddings)"
 METRICS = {
     "l2": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: pow(p[1] - p[2], 2)))",
@@ -223,6 +231,14 @@ def _(t):
     return V.assign(v, "vector", centres).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
+@query("l1_kmeans_median")
+def _(t):
+    """l1_kmeans by L1 distance, with medians as centres."""
+    v = vectors(t)
+    centres, _energy = V.kmeans_l1(v, "vector", V.plus_plus(v, "vector", "id", 10), steps=10)
+    return V.assign_l1(v, "vector", centres).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
 @query("l2_hierarchical_kmeans")
 def _(t):
     return V.hierarchical(vectors(t), "vector", "id", branch=3, depth=2).select("id", F.array_join("path", "/").alias("path"))
@@ -262,6 +278,13 @@ def _(t):
     return vectors(t).select("id", weighed(V.kernel_map(F.col("vector"), 2)).alias("y"))
 
 
+for kernel in ("intersection", "js"):
+
+    @query(f"c11_kernel_map_{kernel}")
+    def _(t, kernel=kernel):
+        return vectors(t).select("id", weighed(V.kernel_map(F.col("vector"), 2, kernel=kernel)).alias("y"))
+
+
 
 
 @query("l16_quick_shift", "WITH p AS (SELECT min(vec_id) AS id, round(embedding[1]::DOUBLE * 10, 2) AS x, round(embedding[2]::DOUBLE * 10, 2) AS y FROM embeddings GROUP BY 2, 3), d AS (SELECT a.id AS a, b.id AS b, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2 FROM p a, p b), k AS (SELECT a, round(sum(exp(-d2 / 0.5)) FILTER (d2 <= 2.25), 9) AS density FROM d GROUP BY 1), m AS (SELECT d.a, arg_min(d.b, (d2, d.b)) AS parent FROM d JOIN k x ON x.a = d.a JOIN k y ON y.a = d.b WHERE d2 <= 1 AND (y.density > x.density OR (y.density = x.density AND d.b < d.a)) GROUP BY 1) SELECT k.a AS id, round(k.density, 6) AS density, parent FROM k LEFT JOIN m ON m.a = k.a")

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import transforms, vectors
 from tessera.plans import q_grid
 from tessera.plans.catalog import QUERIES
 from tessera.streaming import stages
@@ -97,3 +98,28 @@ def test_quick_shift_of_all_vectors(spark, tmp_path):
     assert [got[i]["parent"] for i in range(len(x))] == want
     assert np.allclose([got[i]["density"] for i in range(len(x))], density, atol=1e-6)
     assert QUERIES["l16_quick_shift_roots"](spark, str(tmp_path)).count() == len(x)
+
+
+def test_kmeans_by_medians(spark):
+    x = [0.0, 1.0, 8.0, 20.0, 21.0, 90.0]
+    df = spark.createDataFrame([(i, [v, -v]) for i, v in enumerate(x)], "id long, v array<double>")
+    centres, energy = vectors.kmeans_l1(df, "v", [[0.0, 0.0], [30.0, -30.0]], 5)
+    assert centres == [[1.0, -1.0], [21.0, -21.0]]
+    assert all(b <= a + 1e-9 for a, b in zip(energy, energy[1:], strict=False))
+
+
+@pytest.mark.parametrize("kernel", ["intersection", "js"])
+def test_kernel_maps(spark, kernel):
+    x, y = 0.3, 0.8
+    want = min(x, y) if kernel == "intersection" else x / 2 * np.log2((x + y) / x) + y / 2 * np.log2((x + y) / y)
+    df = spark.createDataFrame([([x], [y])], "x array<double>, y array<double>")
+    a, b = df.select(*(vectors.kernel_map(F.col(c), 60, 0.3, kernel) for c in "xy")).first()
+    assert np.dot(a, b) == pytest.approx(want, abs=0.02)
+
+
+def test_aligned_series_have_the_matched_cost(spark):
+    r = np.random.default_rng(9).normal(size=16)
+    df = spark.createDataFrame([(0, np.roll(r, 3).tolist()), (1, np.roll(r, -2).tolist())], "id long, e array<double>")
+    reference = spark.createDataFrame([(r.tolist(),)], "e array<double>")
+    got = transforms.align(df, "id", "e", transforms.best_shift(df, "id", "e", reference, 4)).collect()
+    assert len(got) == 2 and all(np.allclose(g["e"], r) for g in got)
