@@ -151,7 +151,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     reps = whole.join(classes, (whole.set_hash == classes.set_hash) & (whole.doc_id == classes.rep), "left_semi")
-    reps = reps.select("doc_id", "bands", *(F.col("odd")[i].alias(f"s{i}") for i in range(SKETCH_LONGS))).dropDuplicates(["doc_id"])
+    reps = reps.dropDuplicates(["doc_id", "set_hash"])  # an id with several texts may represent several classes, each with its own bands
+    reps = reps.select("doc_id", "bands", *(F.col("odd")[i].alias(f"s{i}") for i in range(SKETCH_LONGS)))
     reps = materialize(reps, "representatives")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     limit = sketch_limit(bands * rows, percent / 100)
