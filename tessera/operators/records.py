@@ -70,9 +70,16 @@ def random_subset(df: DataFrame, n: int, key: list[str], seed: int) -> DataFrame
 
 
 def natural_key(text: Column, width: int = 20) -> Column:
-    """A string whose order puts digit runs in numeric order."""
+    """A string whose order puts digit runs in numeric order: runs are padded to width; a longer run follows a colon
+    (which is above all digits) and its length, leading zeros apart, so that none is cut."""
     parts = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+    def numeric(run):
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        longer = F.concat(F.lit(":"), F.lpad(F.char_length(digits).cast("string"), 10, "0"), digits)
+        return F.when(F.char_length(digits) <= width, F.lpad(digits, width, "0")).otherwise(longer)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), numeric(p)).otherwise(p)), "")
 
 
 def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:

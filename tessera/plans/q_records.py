@@ -232,12 +232,16 @@ def _(t):
 
 
 @query("c10_complex_ops", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1000 AS a, l_discount * l_extendedprice / 1000 AS b, l_quantity AS c, l_tax * 100 + 1 AS d FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, round(a * c - b * d, 9) AS mul_re, round(a * d + b * c, 9) AS mul_im, round((a * c + b * d) / (c * c + d * d) + 3e-11, 9) AS div_re, round((b * c - a * d) / (c * c + d * d) + 3e-11, 9) AS div_im, round(pow(sqrt(a * a + b * b), 1.5), 6) AS size FROM c""")
+SELECT l_orderkey, l_linenumber, l_partkey, round(a * c - b * d, 9) AS mul_re, round(a * d + b * c, 9) AS mul_im, floor((a * c + b * d) / (c * c + d * d) * 1e9 + 0.5) / 1e9 AS div_re, floor((b * c - a * d) / (c * c + d * d) * 1e9 + 0.5) / 1e9 AS div_im, round(pow(sqrt(a * a + b * b), 1.5), 6) AS size FROM c""")
 def _(t):
     x = (F.col("l_extendedprice") / 1000, F.col("l_discount") * F.col("l_extendedprice") / 1000)
     y = (F.col("l_quantity"), F.col("l_tax") * 100 + 1)
     mul, div = complexes.multiply(x, y), complexes.divide(x, y)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(mul[0], 9).alias("mul_re"), F.round(mul[1], 9).alias("mul_im"), F.round(div[0] + 3e-11, 9).alias("div_re"), F.round(div[1] + 3e-11, 9).alias("div_im"), F.round(complexes.magnitude(x, 1.5), 6).alias("size"))
+
+    def nearest(value):  # half up in doubles, which both engines compute alike
+        return F.floor(value * 1e9 + 0.5) / F.lit(1e9)
+
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(mul[0], 9).alias("mul_re"), F.round(mul[1], 9).alias("mul_im"), nearest(div[0]).alias("div_re"), nearest(div[1]).alias("div_im"), F.round(complexes.magnitude(x, 1.5), 6).alias("size"))
 
 
 @query("c10_complex_dot", "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity + l_discount * l_extendedprice * l_tax), 2) AS re, round(sum(l_discount * l_extendedprice * l_quantity - l_extendedprice * l_tax), 2) AS im FROM lineitem GROUP BY 1")

@@ -67,6 +67,15 @@ def test_natural_order(spark):
     assert [r[0] for r in df.orderBy(records.natural_key(F.col("s"))).collect()] == ["A1", "A2", "A12", "B1", "B2", "B12"]
 
 
+def test_natural_order_of_runs_longer_than_the_width(spark):
+    want = ["v2", "v" + "0" * 30 + "3", "v" + "9" * 20, "v1" + "0" * 20, "v1" + "0" * 19 + "1x", "v2" + "0" * 20, "v1" + "0" * 25]
+    df = spark.createDataFrame([(s,) for s in reversed(want)], "s string")
+    got = [r[0] for r in df.orderBy(records.natural_key(F.col("s"))).collect()]
+    number = {s: int(s[1:].rstrip("x")) for s in want}
+    assert got == sorted(want, key=lambda s: (number[s], s))
+
+
+
 def test_prefix_scan_equals_running_sum(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(100)) for i in range(500)]

@@ -7,7 +7,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup
 from tessera.operators import transforms, vectors
 from tessera.plans import q_grid
 from tessera.plans.catalog import QUERIES
@@ -124,11 +123,3 @@ def test_aligned_series_have_the_matched_cost(spark):
     reference = spark.createDataFrame([(r.tolist(),)], "e array<double>")
     got = transforms.align(df, "id", "e", transforms.best_shift(df, "id", "e", reference, 4)).collect()
     assert len(got) == 2 and all(np.allclose(g["e"], r) for g in got)
-
-
-def test_near_copies_of_both_texts_of_an_id(spark):
-    one, two = ([f"{kind}{i}" for i in range(60)] for kind in "pq")
-    texts = [(1, one), (1, two), (2, [*one, "end"]), (3, [*two, "end"]), (4, [f"r{i}" for i in range(60)])]
-    df = spark.createDataFrame([(i, " ".join(words)) for i, words in texts], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_groups(df).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
