@@ -9,7 +9,7 @@ from .scratch import materialize
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links (a, b) -> (node, component): the smallest id reachable, for every node with a link.
+    """links (a, b) -> (node, component): the smallest id reachable, for every node with a link but the component itself.
 
     Large-star and small-star rounds: each hooks neighbours to the smallest one, so a path of n links needs about log n
     rounds and no node's links are collected. A round aggregates before it shuffles and ends in a written table. Loops and

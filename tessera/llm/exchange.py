@@ -1,7 +1,7 @@
 """Groups of documents and packed messages between them.
 
 Text operators that must find equal strings anywhere in the corpus work in rounds. Documents are dealt once into
-groups of bounded size by a hash of doc_id. A round's sender reduces a group to packed arrays of 64- or 128-bit
+groups of bounded size by a hash of doc_id and text. A round's sender reduces a group to packed arrays of 64- or 128-bit
 fingerprints, each distinct one once, dealt to buckets by fingerprint. A bucket sees a fingerprint at most once
 from each group, however often it occurs, and answers each group that sent it. So no task ever holds all rows of
 a hot string, what is shuffled is 8 to 32 bytes a fingerprint, and texts are shuffled once: every round reads the
@@ -27,10 +27,19 @@ BUCKETED = "part long, g long, kind int, data binary"
 
 
 def document_groups(df: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, g) and the number of groups, which follows the size of all texts. Null text is empty."""
+    """(doc_id, text, g) and the number of groups, which follows the size of all texts. Null text is empty.
+
+    Rows without id or of one id are dealt by their texts. Groups are dealt to partitions once, for all rounds.
+    """
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, math.ceil(total / group_bytes))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("g")), n
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return spread(docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), "g", n), n
+
+
+def spread(df: DataFrame, key: str, groups: int, each: int = 16) -> DataFrame:
+    """Partitions by key, each of some groups, so that tasks don't grow with the input; the session's number of partitions is the least."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / each)), key)
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -87,8 +96,8 @@ def send(groups: DataFrame, fn: Callable[[int, pa.Table], list[tuple]]) -> DataF
     return groups.groupBy("g").applyInArrow(task, BUCKETED)
 
 
-def send_again(groups: DataFrame, messages: DataFrame, fn: Callable[[int, pa.Table, "Inbox"], list[tuple]], schema: str, arrow: list) -> DataFrame:
-    """fn(g, ordered documents, answers so far) -> rows; groups without documents have nothing to say."""
+def send_again(groups: DataFrame, n: int, messages: DataFrame, fn: Callable[[int, pa.Table, "Inbox"], list[tuple]], schema: str, arrow: list) -> DataFrame:
+    """fn(g, ordered documents, answers so far) -> rows; groups (n of them) without documents have nothing to say."""
 
     def task(key, docs, mail):
         g = key[0].as_py()
@@ -97,11 +106,11 @@ def send_again(groups: DataFrame, messages: DataFrame, fn: Callable[[int, pa.Tab
         release()
         return out
 
-    return groups.groupBy("g").cogroup(messages.groupBy("g")).applyInArrow(task, schema)
+    return groups.groupBy("g").cogroup(spread(messages, "g", n).groupBy("g")).applyInArrow(task, schema)
 
 
-def answer(sent: DataFrame, fn: Callable[[list[int], list[int], list[bytes]], list[tuple]]) -> DataFrame:
-    """fn(groups, kinds, packed records of one bucket, ascending by group) -> rows of MESSAGES without part."""
+def answer(sent: DataFrame, buckets: int, fn: Callable[[list[int], list[int], list[bytes]], list[tuple]]) -> DataFrame:
+    """fn(groups, kinds, packed records of one of the buckets, ascending by group) -> rows of MESSAGES without part."""
 
     def task(key, table):
         part = key[0].as_py()
@@ -110,7 +119,7 @@ def answer(sent: DataFrame, fn: Callable[[list[int], list[int], list[bytes]], li
         release()
         return rows(MESSAGES_ARROW, [(g, kind, part, data) for g, kind, data in out])
 
-    return sent.groupBy("part").applyInArrow(task, MESSAGES)
+    return spread(sent, "part", buckets, 4).groupBy("part").applyInArrow(task, MESSAGES)
 
 
 class Inbox:
@@ -125,12 +134,10 @@ class Inbox:
     def get(self, kind: int, dtype) -> np.ndarray:
         return np.frombuffer(b"".join(self.found.get(kind, [])), dtype)
 
-    def parts(self, kind: int) -> list[bytes]:
-        return self.found.get(kind, [])
-
 
-def repeated_keys(gs: list[int], _: list[int], blobs: list[bytes]) -> list[tuple]:
-    """Bucket rule for records (key, times in the group): each group hears which of its keys occur twice or more in all."""
+def repeated_keys(gs: list[int], _: list[int], blobs: list[bytes], hot_from: int = 64) -> list[tuple]:
+    """Bucket rule for records (key, many in the group): each group hears which of its keys occur twice or more in all (kind 0),
+    and which of those hot_from groups or more hold (kind 9)."""
     record = np.dtype([("key", "<u8"), ("many", "?")])
     sent = [np.frombuffer(b, record) for b in blobs]
     if not sent:
@@ -142,14 +149,17 @@ def repeated_keys(gs: list[int], _: list[int], blobs: list[bytes]) -> list[tuple
     again = many.copy()
     again[1:] |= same
     again[:-1] |= same
-    flags = np.empty(len(key), bool)
-    flags[order] = again
+    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(key) else np.empty(0, np.int64)
+    holders = np.diff(np.append(first, len(key)))
+    flags, hot = np.empty(len(key), bool), np.empty(len(key), bool)
+    flags[order], hot[order] = again, np.repeat(holders >= hot_from, holders)
     out, at = [], 0
     for g, s in zip(gs, sent, strict=True):
-        keep = s["key"][flags[at : at + len(s)]]
+        for kind, kept in ((0, flags), (9, hot)):
+            keep = s["key"][kept[at : at + len(s)]]
+            if len(keep):
+                out.append((g, kind, keep.tobytes()))
         at += len(s)
-        if len(keep):
-            out.append((g, 0, keep.tobytes()))
     return out
 
 

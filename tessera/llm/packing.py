@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import Roller, chunks, member, utf8, words
+from .rolling import chunks, member, utf8, word_hashes, words
 from .scratch import documents_of, materialize
 
-GROUP = 100_000
+GROUP = 1_000
 CACHE_WORDS = 2_000_000
 
 #: Printable ASCII and Latin letters that NFC and lower-casing leave alone or map one to one; other words take the tokenizer's whole path.
@@ -42,19 +42,19 @@ def byte_letters() -> list[str]:
 
 
 class WordTokens:
-    """ids of words, remembered by a 64-bit hash. The tokenizer drops white space, so a text's ids are those of its words in a row."""
+    """ids of words, remembered by a 128-bit hash. The tokenizer drops white space, so a text's ids are those of its words in a row."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.letters, self.roller = self.whole.model, byte_letters(), Roller(41)
+        self.model, self.letters = self.whole.model, byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool, self.pieces = np.empty(0, np.uint16), {}
+        self.keys, self.checks, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool, self.pieces = np.empty(0, np.uint32), {}
 
     def piece(self, text: str) -> list[int]:
         found = self.pieces.get(text)
@@ -68,13 +68,14 @@ class WordTokens:
             return self.piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.piece(p)]
         return self.whole.encode(word, add_special_tokens=False).ids
 
-    def learn(self, keys: np.ndarray, spans: Iterator[bytes]) -> None:
+    def learn(self, keys: np.ndarray, checks: np.ndarray, spans: Iterator[bytes]) -> None:
         ids = [self.word(w.decode()) for w in spans]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.pool) + np.concatenate([[0], np.cumsum(count)[:-1]]) if len(ids) else count
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.count = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
         if len(self.pieces) > CACHE_WORDS // 4:
             self.pieces = {}
 
@@ -83,12 +84,15 @@ class WordTokens:
         if len(self.keys) > CACHE_WORDS:
             self.clear()
         s, e, at = words(data, offsets)
-        h = self.roller.spans(self.roller.prefix(data), s, e)
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
+        first, second = word_hashes(data, s, e)
+        keys, where, back = np.unique(first, return_index=True, return_inverse=True)
         new = ~member(keys, self.keys)
         view = memoryview(data)
-        self.learn(keys[new], (bytes(view[s[i] : e[i]]) for i in where[new].tolist()))
+        self.learn(keys[new], second[where[new]], (bytes(view[s[i] : e[i]]) for i in where[new].tolist()))
         slot = np.searchsorted(self.keys, keys)[back]
+        if (self.checks[slot] != second).any():  # two words share 64 bits: without the memory
+            ids = [self.word(bytes(view[b:x]).decode()) for b, x in zip(s.tolist(), e.tolist(), strict=True)]
+            return np.array([i for x in ids for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)[at]
         count = self.count[slot]
         end = np.cumsum(count)
         take = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[slot] - (end - count), count)
@@ -189,7 +193,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are their end id alone; rows that repeat are documents of their own; an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. Ranks follow all columns of a piece, so pieces of one place are equal rows.
     """
     pieces = materialize(cut(df, id_col, text_col, tokenizer, end_id, window), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most window rows
@@ -200,7 +204,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     sizes = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
     ranked = ranked.join(sizes, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

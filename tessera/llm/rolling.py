@@ -1,4 +1,4 @@
-"""Polynomial rolling hashes and word spans over Arrow string batches, with numpy. Pure helpers used inside tasks.
+"""Rolling and word hashes and word spans over Arrow string batches, with numpy. Pure helpers used inside tasks.
 
 Texts are their UTF-8 bytes. Words are maximal runs of bytes other than space and \\x09-\\x0D; in UTF-8 no
 byte of a longer character falls in that set, so bytes and characters give the same words.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 CHUNK = 1 << 20
@@ -31,7 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Roller:
-    """h(x[s:e]) = sum of table[x[i]] * base^(i-s) modulo 2^64, for any spans of one buffer at once."""
+    """h(x[s:s+size]) = sum of table[x[i]] * base^(i-s) modulo 2^64, for all windows of one buffer at once.
+
+    It picks places; it doesn't tell strings apart: some long strings (Thue-Morse words) share a value for every base.
+    """
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
@@ -47,22 +51,62 @@ class Roller:
             np.cumprod(self.power, out=self.power)
             np.cumprod(self.inverse, out=self.inverse)
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """values: bytes, looked up in the table, or 64-bit hashes, taken as they are."""
-        n = len(values)
-        self.grow(n)
-        out = np.zeros(n + 1, U64)
-        np.cumsum((self.table[values] if values.dtype == np.uint8 else values) * self.power[:n], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.inverse[start])
-
-    def windows(self, prefix: np.ndarray, size: int) -> np.ndarray:
+    def windows(self, data: np.ndarray, size: int) -> np.ndarray:
+        self.grow(len(data))
+        prefix = np.zeros(len(data) + 1, U64)
+        np.cumsum(self.table[data] * self.power[: len(data)], out=prefix[1:])
         n = len(prefix) - size
         return mix((prefix[size:] - prefix[:n]) * self.inverse[:n]) if n > 0 else np.empty(0, U64)
 
 
+#: Odd multipliers of the two lanes of 128-bit hashes.
+LANES = np.random.default_rng(23).integers(0, 2**64, (2, 4), dtype=U64) | U64(1)
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span, 128 bits together: eight bytes at a time, each step a bijective mix of the state.
+
+    Spans longer than LONG_WORD are hashed by xxh3-128.
+    """
+    blocks = np.zeros(len(data) // 8 + 3, U64)
+    blocks.view(np.uint8)[: len(data)] = data
+    size = end - start
+    first, second = (mix((size.astype(U64) + U64(1)) * lane[0]) for lane in LANES)
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = start[live], size[live]
+    while len(live):
+        i, shift = at >> 3, ((at & 7) << 3).astype(U64)
+        value = (blocks[i] >> shift | blocks[i + 1] << U64(1) << (U64(63) - shift)) & MASKS[np.minimum(left, 8)]
+        first[live] = mix((first[live] ^ value) * LANES[0, 1])
+        second[live] = mix(second[live] * LANES[1, 1] + value * LANES[1, 2])
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    view = memoryview(data)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        x = xxhash.xxh3_128_intdigest(view[int(start[i]) : int(end[i])])
+        first[i], second[i] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
+    return first, second
+
+
+def run_hashes(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of every run of size hashes, by doubling: runs of 1, 2, 4, ... are joined pairwise and mixed."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.empty(0, U64)
+    a, b = LANES[lane, 2], LANES[lane, 3]
+    out, done, power, width = None, 0, values, 1
+    while True:
+        if size & width:
+            out = power[:n] if out is None else mix(out[:n] * a + (power[done : done + n] ^ U64(width)) * b)
+            done += width
+        width *= 2
+        if width > size:
+            return out
+        power = mix(power[: len(power) - width // 2] * a + (power[width // 2 :] ^ U64(width)) * b)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -109,6 +153,18 @@ def unique_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether the pair there is new) so that equal pairs are neighbours, ascending by first."""
+    order = np.argsort(first, kind="stable")
+    x, y = first[order], second[order]
+    same, differ = x[1:] == x[:-1], y[1:] != y[:-1]
+    if (same & differ).any():
+        order = np.lexsort((second, first))
+        x, y = first[order], second[order]
+        same, differ = x[1:] == x[:-1], y[1:] != y[:-1]
+    return order, np.concatenate([[True], ~same | differ]) if len(order) else np.empty(0, bool)
+
+
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values occur in the sorted array."""
     if not len(ordered):
@@ -116,11 +172,3 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.searchsorted(ordered, values)
     at[at == len(ordered)] = 0
     return ordered[at] == values
-
-
-def covered(length: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of length positions lie in a window of that size starting at one of starts."""
-    delta = np.zeros(length + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, np.minimum(starts + size, length), -1)
-    return np.cumsum(delta)[:length] > 0

@@ -9,7 +9,7 @@ hashing only cover positions (4 of 13 for 20 words) misses no match. An anchor s
 stay inside the window whatever the shift.
 
 Rounds (see exchange.py): 1. anchors at cover positions; buckets answer which repeat anywhere. 2. windows over a
-repeated anchor extend it to the whole window: their 128-bit digests travel with the group's earliest place, and
+repeated anchor extend it to the whole window: their 128-bit digests (two independent mixes of two word hashes) travel with the group's earliest place, and
 buckets answer which group holds the earliest of all. 3. each group drops what is covered by windows that aren't it.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .rolling import U64, Roller, chunks, member, utf8, words
+from .rolling import U64, chunks, member, run_hashes, utf8, word_hashes, words
 
 #: Perfect difference sets by modulus: every residue is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -46,13 +46,12 @@ class Earliest:
     def scan(self, docs: pa.Table):
         """Words of the whole group: (bytes, starts, ends, first word of each document, two 64-bit hashes of each word)."""
         data, offsets = utf8(docs["text"])
-        rollers = Roller(11), Roller(12)
         parts, total = [], 0
         for first, last in chunks(offsets):
             begin = int(offsets[first])
             piece = data[begin : int(offsets[last])]
             s, e, at = words(piece, offsets[first : last + 1] - begin)
-            parts.append((s + begin, e + begin, at[:-1] + total, *(r.spans(r.prefix(piece), s, e) for r in rollers)))
+            parts.append((s + begin, e + begin, at[:-1] + total, *word_hashes(piece, s, e)))
             total += len(s)
         if not parts:
             empty = np.empty(0, np.int64)
@@ -60,10 +59,10 @@ class Earliest:
         s, e, at, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
         return data, s, e, np.append(at, total), h1, h2
 
-    def windows(self, h: np.ndarray, size: int, seed: int) -> np.ndarray:
+    def windows(self, h: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
         """The hash of each run of size words, by start; runs across documents are there too."""
-        roller, step = Roller(seed), 1 << 19
-        return np.concatenate([roller.windows(roller.prefix(h[i : i + step + size - 1]), size) for i in range(0, max(len(h) - size + 1, 1), step)])
+        step = 1 << 16
+        return np.concatenate([run_hashes(h[i : i + step + size - 1], size, lane) for i in range(0, max(len(h) - size + 1, 1), step)])
 
     def anchors(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, hash) of anchors at cover positions, in documents of a window's length or more."""
@@ -73,7 +72,7 @@ class Earliest:
         place = np.arange(len(h)) - at[doc]
         size = np.diff(at)[doc]
         pos = np.flatnonzero(self.in_cover[place % self.modulus] & (place + self.anchor <= size) & (size >= self.window))
-        return pos, self.windows(h, self.anchor, 13)[pos]
+        return pos, self.windows(h, self.anchor)[pos]
 
     def round1(self, g: int, docs: pa.Table):
         *_, at, h, _ = self.scan(docs)
@@ -95,7 +94,7 @@ class Earliest:
         live = np.cumsum(delta)[:n] > 0
         doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
         start = np.flatnonzero(live & (np.arange(n) + self.window <= at[1:][doc]))
-        d = np.column_stack([self.windows(h1, self.window, 14)[start], self.windows(h2, self.window, 15)[start]])
+        d = np.column_stack([self.windows(h, self.window, lane)[start] for lane, h in enumerate((h1, h2))])
         order = np.lexsort((start, d[:, 1], d[:, 0]))
         new = np.concatenate([[True], (d[order][1:] != d[order][:-1]).any(1)]) if len(order) else np.empty(0, bool)
         return data, s, e, at, start, d, order[new], doc
@@ -144,15 +143,15 @@ class Earliest:
 def remove_later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group_bytes: int = X.GROUP_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (remaining words joined by one space).
 
-    Null texts have no words; documents of fewer words than window keep all; rows with one doc_id are ordered by text
-    (null ids first), so repeated rows are later copies of the first; an empty table gives no rows; other columns are ignored.
+    Null texts have no words; documents of fewer words than window keep all; null ids come first; rows with one
+    doc_id are ordered by a hash of their text, so repeated rows are later copies of the first; an empty table gives no rows; other columns are ignored.
     """
     groups, n = X.document_groups(df, id_col, text_col, group_bytes)
     task = Earliest(window, max(1, n // 4))
-    known = X.answer(X.send(groups, task.round1), X.repeated_keys)
-    known = known.unionByName(X.answer(X.send_again(groups, known, task.round2, X.BUCKETED, X.BUCKETED_ARROW), task.decide))
+    known = X.answer(X.send(groups, task.round1), task.buckets, X.repeated_keys)
+    known = known.unionByName(X.answer(X.send_again(groups, n, known, task.round2, X.BUCKETED, X.BUCKETED_ARROW), task.buckets, task.decide))
     arrow = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
-    return X.send_again(groups, known, task.round3, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", arrow)
+    return X.send_again(groups, n, known, task.round3, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", arrow)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,12 +14,14 @@ Nothing deeper than ``length`` is sorted, and only triggers that occur twice are
 Rounds (see exchange.py): 1. trigger fingerprints; buckets answer which repeat. 2. 128-bit digests of the whole context
 of repeated triggers; equal contexts are settled as a class, and only triggers with two or more different contexts stay
 open. 3. one context of each class of open triggers travels to the trigger's bucket, where the two orders are built and
-combined. A trigger with over ``open_limit`` contexts is not brought together: its windows travel as 128-bit digests,
-dealt by digest, which is exact too and has no hot bucket. 4. each group applies the answers.
+combined. Triggers that many groups hold, or with over ``open_limit`` contexts, are not brought together: their contexts
+are dealt by digest, and their windows travel as 128-bit digests, each once from a group, dealt by digest too. 4. each
+group applies the answers.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -38,6 +40,7 @@ OPEN = np.dtype([("a", "<u8"), ("ord", "<i4"), ("pos", "<i8"), ("left", "<i4"),
 STATE = np.dtype([("a", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("state", "u1")])
 #: Contexts ordered at a time.
 SLICE = 4096
+WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("many", "?")])
 #: Bits of state.
 COPIED, SHIP, HOT = 1, 2, 4
 
@@ -75,7 +78,7 @@ class Parser:
         n, w = len(data), self.length
         if n < w:
             return (np.empty(0, U64), *[np.empty(0, np.int64)] * 4)
-        grams = self.roller.windows(self.roller.prefix(data), self.gram)
+        grams = self.roller.windows(data, self.gram)
         key = grams & ~TIES
         key |= TIES - np.arange(len(grams), dtype=U64)
         key = least(key, w - self.gram + 1)
@@ -135,21 +138,26 @@ class Repeats:
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]).any(1)])) if len(a) else np.empty(0, np.int64)
         out = np.empty(len(new), CONTEXT)
         out["a"], out["d1"], out["d2"], out["many"] = a[new], d[new, 0], d[new, 1], np.diff(np.append(new, len(a))) > 1
-        return X.packed(g, 1, out, out["a"], self.buckets)
-
-    def settle(self, gs: list[int], _: list[int], blobs: list[bytes]) -> list[tuple]:
-        """Which contexts are copied; of triggers with several contexts, one group ships each."""
+        hot = member(out["a"], np.sort(mail.get(9, "<u8")))
+        yield from X.packed(g, 1, out[~hot], out["a"][~hot], self.buckets)
+        out = out[hot]
+        out = out[np.argsort(out["d1"], kind="stable")]
+        yield from X.packed(g, 5, out, out["d1"], self.buckets)
+
+    def settle(self, gs: list[int], kinds: list[int], blobs: list[bytes]) -> list[tuple]:
+        """Which contexts are copied; of triggers with several contexts (and of hot ones), one group ships each."""
         sent = [np.frombuffer(b, CONTEXT) for b in blobs]
         c = np.concatenate(sent)
         owner = np.repeat(np.arange(len(gs)), [len(s) for s in sent])
+        hot = np.repeat([k == 5 for k in kinds], [len(s) for s in sent])
         order = np.lexsort((owner, c["d2"], c["d1"], c["a"]))
-        c, owner = c[order], owner[order]
+        c, owner, hot = c[order], owner[order], hot[order]
         new_a = np.concatenate([[True], c["a"][1:] != c["a"][:-1]])
         new = new_a | np.concatenate([[True], (c["d1"][1:] != c["d1"][:-1]) | (c["d2"][1:] != c["d2"][:-1])])
         cls, trigger = np.cumsum(new) - 1, np.cumsum(new_a) - 1
         copied = (np.bincount(cls) > 1) | (np.bincount(cls, c["many"]) > 0)
         contexts = np.bincount(trigger[new])[trigger]
-        state = copied[cls] * COPIED + (new & (contexts > 1)) * (SHIP + (contexts > self.open_limit) * HOT)
+        state = copied[cls] * COPIED + (new & (hot | (contexts > 1))) * (SHIP + (hot | (contexts > self.open_limit)) * HOT)
         out = np.empty(len(c), STATE)
         out["a"], out["d1"], out["d2"], out["state"] = c["a"], c["d1"], c["d2"], state
         keep = out["state"] > 0
@@ -193,21 +201,27 @@ class Repeats:
             head["right"], head["single"] = sl[i] + self.length - pos[i], state[i] & COPIED == 0
             body = b"".join(view[b + f : b + t + self.length] for b, f, t in zip(base[i].tolist(), sf[i].tolist(), sl[i].tolist(), strict=True))
             yield int(bucket[s]), g, 2, len(i).to_bytes(8, "little") + head.tobytes() + body
-        hot = np.flatnonzero(state & HOT)
-        if len(hot):
-            record = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("ord", "<i4"), ("start", "<i8"), ("single", "?")])
-            out = []
-            for i in hot.tolist():
-                for s in range(int(sf[i]), int(sl[i]) + 1):
-                    x = xxhash.xxh3_128_intdigest(view[base[i] + s : base[i] + s + self.length])
-                    out.append((x >> 64, x & 0xFFFFFFFFFFFFFFFF, doc[i], s, not state[i] & COPIED))
-            out = np.array(out, record)
-            out = out[np.argsort(out["d1"], kind="stable")]
+        _, d = self.hot_windows(data, base, pos, sf, sl, state)
+        if len(d):
+            order = np.lexsort((d[:, 1], d[:, 0]))
+            d = d[order]
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(1)]))
+            out = np.empty(len(new), WINDOW)
+            out["d1"], out["d2"], out["many"] = d[new, 0], d[new, 1], np.diff(np.append(new, len(d))) > 1
             yield from X.packed(g, 3, out, out["d1"], self.buckets)
 
+    def hot_windows(self, data, base, pos, sf, sl, state) -> tuple[np.ndarray, np.ndarray]:
+        """(context and start of each window, its digest) of the hot contexts that this group ships."""
+        hot = np.flatnonzero(state & HOT)
+        n = (sl - sf + 1)[hot]
+        who = np.repeat(hot, n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + sf[who]
+        begin = base[who] + start
+        return np.column_stack([who, start]), digests(data, begin, begin, begin + self.length)
+
     def order(self, gs: list[int], kinds: list[int], blobs: list[bytes]) -> list[tuple]:
         """Combines the orders of phrases and parse suffixes; answers (document, first start, last start) of repeated windows of contexts met once."""
-        out = [(gs[k], 2, r) for k, r in self.hot_windows([(i, b) for i, (k, b) in enumerate(zip(kinds, blobs, strict=True)) if k == 3])]
+        out = self.repeated_windows([(g, b) for g, k, b in zip(gs, kinds, blobs, strict=True) if k == 3])
         heads, bodies, cuts, owners, at = [], [], [], [], 0
         for i, (kind, blob) in enumerate(zip(kinds, blobs, strict=True)):
             if kind == 2:
@@ -265,32 +279,40 @@ class Repeats:
             again = live[again]
             yield again[head["single"][again]].astype(np.int32), e
 
-    def hot_windows(self, sent: list[tuple[int, bytes]]):
-        if sent:
-            record = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("ord", "<i4"), ("start", "<i8"), ("single", "?")])
-            arrays = [np.frombuffer(b, record) for _, b in sent]
-            every, owner = np.concatenate(arrays), np.repeat([i for i, _ in sent], [len(x) for x in arrays])
-            order = np.lexsort((every["d2"], every["d1"]))
-            every, owner = every[order], owner[order]
-            same = (every["d1"][1:] == every["d1"][:-1]) & (every["d2"][1:] == every["d2"][:-1])
-            again = np.zeros(len(every), bool)
-            again[1:] |= same
-            again[:-1] |= same
-            again &= every["single"]
-            for i in np.unique(owner[again]).tolist():
-                x = every[again & (owner == i)]
-                runs = np.empty(len(x), RUN)
-                runs["ord"], runs["first"], runs["last"] = x["ord"], x["start"], x["start"]
-                yield i, runs.tobytes()
+    def repeated_windows(self, sent: list[tuple[int, bytes]]) -> list[tuple]:
+        """Each group hears which of its hot windows occur twice or more in all."""
+        arrays = [np.frombuffer(b, WINDOW) for _, b in sent]
+        if not arrays:
+            return []
+        every = np.concatenate(arrays)
+        order = np.lexsort((every["d2"], every["d1"]))
+        x = every[order]
+        same = (x["d1"][1:] == x["d1"][:-1]) & (x["d2"][1:] == x["d2"][:-1])
+        found = x["many"].copy()
+        found[1:] |= same
+        found[:-1] |= same
+        again = np.empty(len(x), bool)
+        again[order] = found
+        edges = np.cumsum([0, *map(len, arrays)])
+        kept = [every[edges[i] : edges[i + 1]][again[edges[i] : edges[i + 1]]] for i in range(len(sent))]
+        return [(g, 3, k.tobytes()) for (g, _), k in zip(sent, kept, strict=True) if len(k)]
 
     def round4(self, g: int, docs: pa.Table, mail: X.Inbox) -> pa.Table:
         data, base, a, doc, pos, sf, sl, state = self.stated(docs, mail)
         offsets = utf8(docs["text"])[1]
         copied = state & COPIED > 0
         runs = mail.get(2, RUN)
-        doc = np.concatenate([doc[copied], runs["ord"]]).astype(np.int64)
-        first = np.concatenate([sf[copied], runs["first"]])
-        last = np.concatenate([sl[copied], runs["last"]])
+        where, d = self.hot_windows(data, base, pos, sf, sl, np.where(copied, 0, state))
+        known = np.sort(mail.get(3, WINDOW), order=("d1", "d2"))
+        if len(known) and len(d):  # both ranked together
+            alls = np.concatenate([np.column_stack([known["d1"], known["d2"]]), d])
+            rank = np.unique(alls[:, 0], return_inverse=True)[1].astype(np.int64) * len(alls) + np.unique(alls[:, 1], return_inverse=True)[1]
+            where = where[np.isin(rank[len(known) :], rank[: len(known)])]
+        else:
+            where = where[:0]
+        doc = np.concatenate([doc[copied], runs["ord"], doc[where[:, 0]]]).astype(np.int64)
+        first = np.concatenate([sf[copied], runs["first"], where[:, 1]])
+        last = np.concatenate([sl[copied], runs["last"], where[:, 1]])
         delta = np.zeros(len(data) + 1, np.int32)
         np.add.at(delta, offsets[doc] + first, 1)
         np.add.at(delta, offsets[doc] + last + self.length, -1)
@@ -328,21 +350,21 @@ def sorted_common(a: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple
     return order, np.concatenate([[-1], common]).astype(np.int64)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = X.GROUP_BYTES, open_limit: int = 4_000) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = X.GROUP_BYTES, open_limit: int = 4_000, hot_from: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, maybe cut within a character).
 
     Null texts are empty; texts shorter than length keep all; rows that repeat (even with one doc_id) are copies of each
     other; an empty table gives no rows; other columns are ignored. Equality of whole contexts and of windows of
-    triggers beyond open_limit is by 128-bit digests, all else by bytes.
+    triggers beyond open_limit, or that hot_from groups hold, is by 128-bit digests, all else by bytes.
     """
     groups, n = X.document_groups(df, id_col, text_col, group_bytes)
     task = Repeats(length, max(1, n // 2), open_limit)
-    known = X.answer(X.send(groups, task.round1), X.repeated_keys)
-    known = known.unionByName(X.answer(X.send_again(groups, known, task.round2, X.BUCKETED, X.BUCKETED_ARROW), task.settle))
-    known = known.unionByName(X.answer(X.send_again(groups, known, task.round3, X.BUCKETED, X.BUCKETED_ARROW), task.order))
+    known = X.answer(X.send(groups, task.round1), task.buckets, functools.partial(X.repeated_keys, hot_from=hot_from))
+    known = known.unionByName(X.answer(X.send_again(groups, n, known, task.round2, X.BUCKETED, X.BUCKETED_ARROW), task.buckets, task.settle))
+    known = known.unionByName(X.answer(X.send_again(groups, n, known, task.round3, X.BUCKETED, X.BUCKETED_ARROW), task.buckets, task.order))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     arrow = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
-    return X.send_again(groups, known, task.round4, schema, arrow)
+    return X.send_again(groups, n, known, task.round4, schema, arrow)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
