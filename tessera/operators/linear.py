@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .transforms import taut_string
+
 Prox = Callable[[np.ndarray, float], np.ndarray]
 
 
@@ -64,19 +66,8 @@ def l1_ball(radius: float) -> Prox:
 
 
 def fused(lam: float, lam2: float) -> Prox:
-    """Prox of lam·‖x‖₁ + lam2·Σ|x_i+1 - x_i|: total variation on its dual box, then shrinking."""
-
-    def prox(x: np.ndarray, step: float) -> np.ndarray:
-        n, t = len(x), lam2 * step
-        z = np.zeros(n - 1)
-        for _ in range(2000):
-            new = np.clip(z + 0.25 * np.diff(x - (np.concatenate([[0], z]) - np.concatenate([z, [0]]))), -t, t)
-            if np.abs(new - z).max() < 1e-12:
-                break
-            z = new
-        return shrink(x - (np.concatenate([[0], z]) - np.concatenate([z, [0]])), lam * step)
-
-    return prox
+    """Prox of lam·‖x‖₁ + lam2·Σ|x_i+1 - x_i|: the taut string, then shrinking."""
+    return lambda x, step: shrink(taut_string(x, lam2 * step), lam * step)
 
 
 def nonconvex(kind: str, lam: float, theta: float) -> Prox:
@@ -228,3 +219,199 @@ def sparse_precision(cov: np.ndarray, lam: float, rounds: int = 200) -> np.ndarr
         out[j, j] = 1 / (w[j, j] - w[rest, j] @ betas[j])
         out[rest, j] = -betas[j] * out[j, j]
     return (out + out.T) / 2
+
+
+#: Loss of a row by its margin f and label y: (value, slope, curvature). hinge and l1 are rounded off over a width; their
+#: curvature is that of a parabola over the loss which touches it at f, as the second derivative is 0 almost everywhere.
+LOSSES: dict[str, Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+
+def _loss(name: str):
+    def register(fn):
+        LOSSES[name] = fn
+        return fn
+
+    return register
+
+
+@_loss("logistic")
+def _(f, y, _):
+    p = 1 / (1 + np.exp(np.clip(y * f, -500, 500)))
+    return np.logaddexp(0, -y * f), -y * p, p * (1 - p)
+
+
+@_loss("hinge2")
+def _(f, y, _):
+    gap = np.maximum(1 - y * f, 0)
+    return gap * gap, -2 * y * gap, 2.0 * (gap > 0)
+
+
+@_loss("l2")
+def _(f, y, _):
+    return (f - y) ** 2, 2 * (f - y), np.full(len(f), 2.0)
+
+
+@_loss("hinge")
+def _(f, y, width):
+    gap = 1 - y * f
+    value = np.where(gap <= 0, 0, np.where(gap < width, gap * gap / (2 * width), gap - width / 2))
+    return value, -y * np.clip(gap / width, 0, 1), 1 / np.maximum(2 * np.abs(gap), width)
+
+
+@_loss("l1")
+def _(f, y, width):
+    r = f - y
+    return np.where(np.abs(r) < width, r * r / (2 * width), np.abs(r) - width / 2), np.clip(r / width, -1, 1), 1 / np.maximum(np.abs(r), width)
+
+
+def partial_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, own: np.ndarray, w: np.ndarray, loss: str, mode: str, width: float) -> np.ndarray:
+    """Total weight, loss, gradients and Hessians of some rows, in a row."""
+    k, p = w.shape
+    x, value, g, h = np.column_stack([x, np.ones(len(x))]), 0.0, np.zeros((k, p)), np.zeros((k, p, p))
+    for b in range(k):
+        rows = own == b if mode == "task" else slice(None)
+        xb, cb = x[rows], c[rows]
+        yb = np.where(y == b, 1.0, -1.0) if mode == "class" else y[rows]
+        v, d, s = LOSSES[loss](xb @ w[b], yb, width)
+        value += float(cb @ v)
+        g[b] = xb.T @ (cb * d)
+        h[b] = (xb * (cb * s)[:, None]).T @ xb
+    return np.concatenate([[c.sum(), value], g.ravel(), h.ravel()])
+
+
+def unpacked(sums: np.ndarray, k: int, p: int) -> tuple[float, np.ndarray, np.ndarray, float]:
+    return sums[1], sums[2 : 2 + k * p].reshape(k, p), sums[2 + k * p :].reshape(k, p, p), sums[0]
+
+
+def second_order(df: DataFrame, features: list[str], target: str, loss: str, w: np.ndarray, mode: str = "one", weight: str | None = None, width: float = 1.0) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """(loss, gradient, Hessian blocks, total weight) over all rows in one pass, one partial sum a task.
+
+    w: a row of weights and intercept for each block. mode: 'one' (labels as they are), 'class' (block k tells label k from
+    the others), 'task' (target is a struct of task number and label, a block each).
+    """
+    k, p = w.shape
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros(2 + k * p + k * p * p)
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            flat += partial_sums(np.column_stack(columns[: p - 1]), *columns[p - 1 :], w, loss, mode, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["at", "v"])
+
+    own = F.col(target)["task"] if mode == "task" else F.lit(0)
+    label = F.col(target)["label"] if mode == "task" else F.col(target)
+    rows = df.select(*(F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)), label.cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("c"), own.cast("double").alias("own"))
+    sums = np.zeros(2 + k * p + k * p * p)
+    for r in rows.mapInArrow(task, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # one row a weight and pair of weights
+        sums[r["at"]] = r["v"]
+    return unpacked(sums, k, p)
+
+
+def newton_fit(df: DataFrame, features: list[str], target: str, loss: str = "logistic", prox: Prox | None = None, penalty: Callable[[np.ndarray], float] = lambda w: 0.0, ridge: float = 0.0, mode: str = "one", blocks: int = 1, weight: str | None = None, start: np.ndarray | None = None, steps: int = 60, widths: tuple[float, ...] = (1.0, 0.3, 0.1, 0.03, 0.01)) -> tuple[np.ndarray, list[float]]:
+    """Mean loss + ½ridge‖w‖² + penalty by proximal Newton steps: (weights and intercepts, a row a block; objectives).
+
+    A step reads the table once; its penalised quadratic is solved on the driver, over as many numbers as there are weights.
+    prox and penalty take the weights of all blocks in a row, without intercepts, which are free. hinge and l1 are rounded
+    off less and less; their objective is that of the last width, at most half of it below the true one.
+    """
+    p = len(features) + 1
+    w = np.zeros((blocks, p)) if start is None else start.copy()
+    inner = np.ones((blocks, p), bool)
+    inner[:, -1] = False
+    flat = inner.ravel()
+    pull = ridge * inner.astype(float).ravel()
+
+    def objective(value: float, total: float, w: np.ndarray) -> float:
+        own = w[:, :-1]
+        return value / total + ridge / 2 * float((own * own).sum()) + penalty(own.ravel())
+
+    def free_intercepts(x: np.ndarray, step: float) -> np.ndarray:
+        out = x.copy()
+        out[flat] = prox(x[flat], step)
+        return out
+
+    history: list[float] = []
+    for width in widths if loss in ("hinge", "l1") else widths[:1]:
+        value, g, h, total = second_order(df, features, target, loss, w, mode, weight, width)
+        total = total or 1.0
+        now = objective(value, total, w)
+        for _ in range(steps):
+            full = np.zeros((blocks * p,) * 2)
+            for b in range(blocks):
+                full[b * p : (b + 1) * p, b * p : (b + 1) * p] = h[b] / total
+            full += np.diag(pull) + 1e-9 * np.eye(blocks * p)
+            slope = g.ravel() / total + pull * w.ravel()
+            if prox is None:
+                new = w.ravel() - np.linalg.solve(full, slope)
+            else:
+                new = solve(full, full @ w.ravel() - slope, free_intercepts, start=w.ravel(), steps=4000)
+            d, share = new.reshape(blocks, p) - w, 1.0
+            while True:
+                at = w + share * d
+                value, g, h, _ = second_order(df, features, target, loss, at, mode, weight, width)
+                after = objective(value, total, at)
+                if after <= now + 1e-12 or share < 1e-3:
+                    break
+                share /= 2
+            moved, w, gain, now = np.abs(share * d).max(), at, now - after, after
+            history.append(now)
+            if moved < 1e-7 or abs(gain) < 1e-11 * max(1.0, abs(now)):
+                break
+    return w, history
+
+
+def lasso_penalty(lam: float, nonnegative: bool = False) -> tuple[Prox, Callable[[np.ndarray], float]]:
+    return (lambda x, s: np.maximum(x - lam * s, 0) if nonnegative else shrink(x, lam * s)), lambda w: lam * float(np.abs(w).sum())
+
+
+def nonnegative_ball(radius: float) -> Prox:
+    """Projection on weights of 0 or more whose sum is radius at most."""
+    onto = l1_ball(radius)
+    return lambda x, s: onto(np.maximum(x, 0), s)
+
+
+def rows_together(lam: float, blocks: int) -> tuple[Prox, Callable[[np.ndarray], float]]:
+    """lam·Σ over features of the norm of its weights in all blocks."""
+
+    def prox(x: np.ndarray, step: float) -> np.ndarray:
+        m = x.reshape(blocks, -1)
+        norm = np.linalg.norm(m, axis=0)
+        return (m * np.maximum(1 - lam * step / np.maximum(norm, 1e-300), 0)).ravel()
+
+    return prox, lambda w: lam * float(np.linalg.norm(w.reshape(blocks, -1), axis=0).sum())
+
+
+def rows_ball(radius: float, blocks: int) -> Prox:
+    """Projection on weights whose features' norms over all blocks sum to radius at most."""
+    onto = l1_ball(radius)
+
+    def prox(x: np.ndarray, step: float) -> np.ndarray:
+        m = x.reshape(blocks, -1)
+        norm = np.linalg.norm(m, axis=0)
+        return (m * (onto(norm, step) / np.maximum(norm, 1e-300))).ravel()
+
+    return prox
+
+
+def newton_path(df: DataFrame, features: list[str], target: str, loss: str, lams: list[float]) -> list[tuple[float, np.ndarray]]:
+    """Solutions for falling λ, each started at the one before."""
+    out, w = [], None
+    for lam in sorted(lams, reverse=True):
+        prox, penalty = lasso_penalty(lam)
+        w, _ = newton_fit(df, features, target, loss, prox, penalty, start=w)
+        out.append((lam, w[0]))
+    return out
+
+
+def nonconvex_penalty(kind: str, lam: float, theta: float) -> Callable[[np.ndarray], float]:
+    def value(w: np.ndarray) -> float:
+        a = np.abs(w)
+        if kind == "capped":
+            return float((lam * np.minimum(a, theta)).sum())
+        if kind == "log":
+            return float((lam * np.log1p(a / theta)).sum())
+        if kind == "mcp":
+            return float(np.where(a <= theta * lam, lam * a - a * a / (2 * theta), theta * lam * lam / 2).sum())
+        return float(np.where(a <= lam, lam * a, np.where(a <= theta * lam, (-a * a + 2 * theta * lam * a - lam * lam) / (2 * (theta - 1)), (theta + 1) * lam * lam / 2)).sum())
+
+    return value

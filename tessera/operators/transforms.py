@@ -88,26 +88,86 @@ def _synthesis(low: np.ndarray, high: np.ndarray, taps: np.ndarray) -> np.ndarra
     return out
 
 
-def wavelet_denoise(df: DataFrame, column: str, levels: int = 3, factor: float = 3.0, hard: bool = False, out: str = "denoised") -> DataFrame:
-    """Shrinks details at factor · median|finest detail| / 0.67, keeps the approximation; lengths must be multiples of 2^levels."""
+def threshold(high: np.ndarray, t: float, hard: bool) -> np.ndarray:
+    return np.where(np.abs(high) > t, high, 0) if hard else np.sign(high) * np.maximum(np.abs(high) - t, 0)
+
+
+def wavelet_denoise(df: DataFrame, column: str, levels: int = 3, factor: float = 3.0, hard: bool = False, out: str = "denoised", undecimated: bool = False) -> DataFrame:
+    """Shrinks details at factor · median|finest detail| / 0.67, keeps the approximation.
+
+    Series are mirrored at their end to a multiple of 2^levels and cut back. undecimated: every level keeps all places
+    (filters with holes instead of halving), so that the result moves along with the series.
+    """
     taps = np.array(DAUBECHIES4)
+    high_taps = taps[::-1] * (-1.0) ** np.arange(len(taps))
 
-    def fn(x: np.ndarray) -> tuple[np.ndarray]:
-        if len(x) % (1 << levels):
-            return (x,)
+    def decimated(x: np.ndarray) -> np.ndarray:
         details, low = [], x
         for _ in range(levels):
             low, high = _analysis(low, taps)
             details.append(high)
         t = factor * np.median(np.abs(details[0])) / 0.67
         for high in reversed(details):
-            high = np.where(np.abs(high) > t, high, 0) if hard else np.sign(high) * np.maximum(np.abs(high) - t, 0)
-            low = _synthesis(low, high, taps)
-        return (low,)
+            low = _synthesis(low, threshold(high, t, hard), taps)
+        return low
+
+    def everywhere(x: np.ndarray) -> np.ndarray:
+        n, details, low = len(x), [], x
+        for level in range(levels):
+            at = (np.arange(n)[:, None] + np.arange(len(taps)) * 2**level) % n
+            low, high = low[at] @ taps, low[at] @ high_taps
+            details.append(high)
+        t = factor * np.median(np.abs(details[0])) / 0.67
+        for level in reversed(range(levels)):
+            back = (np.arange(n)[:, None] - np.arange(len(taps)) * 2**level) % n
+            low = (low[back] @ taps + threshold(details[level], t, hard)[back] @ high_taps) / 2
+        return low
+
+    def fn(x: np.ndarray) -> tuple[np.ndarray]:
+        padded = np.pad(x, (0, -len(x) % (1 << levels)), mode="symmetric")
+        return ((everywhere if undecimated else decimated)(padded)[: len(x)],)
 
     return series_map(df, column, [out], fn)
 
 
+def wavelet_2d(df: DataFrame, column: str, width: int, levels: int = 1, inverse: bool = False, out: str = "coefficients") -> DataFrame:
+    """Periodised 2-D wavelet transform of each series, read as rows of that width (or back): each level filters rows, then columns, of the block of approximations before it."""
+    taps = np.array(DAUBECHIES4)
+
+    def along(m: np.ndarray) -> np.ndarray:
+        return np.stack([np.concatenate(_analysis(r, taps)) for r in m])
+
+    def back(m: np.ndarray) -> np.ndarray:
+        return np.stack([_synthesis(r[: len(r) // 2], r[len(r) // 2 :], taps) for r in m])
+
+    def fn(x: np.ndarray) -> tuple[np.ndarray]:
+        m = x.reshape(-1, width).copy()
+        if width % (1 << levels) or len(m) % (1 << levels):
+            raise ValueError(f"{len(m)} rows of {width} can't be halved {levels} times")
+        for level in reversed(range(levels)) if inverse else range(levels):
+            h, w = len(m) >> level, width >> level
+            m[:h, :w] = back(back(m[:h, :w].T).T) if inverse else along(along(m[:h, :w]).T).T
+        return (m.ravel(),)
+
+    return series_map(df, column, [out], fn)
+
+
+def wavelet_inverse(low: Column, high: Column, taps: tuple[float, ...] = DAUBECHIES4) -> Column:
+    """The array of which wavelet_step gives (low, high), as an expression."""
+    half = F.size(low)
+    high_taps = [(-1) ** j * h for j, h in enumerate(reversed(taps))]
+
+    def value(i: Column) -> Column:
+        total = F.lit(0.0)
+        for j in range(len(taps)):
+            place = (F.pmod((i - j) / 2, half) + 1).cast("int")
+            part = F.element_at(low, place) * taps[j] + F.element_at(high, place) * high_taps[j]
+            total = total + F.when((i - j) % 2 == 0, part).otherwise(0.0)
+        return total
+
+    return F.transform(F.sequence(F.lit(0), 2 * half - 1), value)
+
+
 def bandpass(df: DataFrame, column: str, low: float, high: float, rate: float = 1.0, out: str = "filtered") -> DataFrame:
     """First-order Butterworth band-pass, run forward and backward: no phase shift."""
     w0, w1 = (math.tan(math.pi * f / rate) for f in (low, high))
@@ -127,38 +187,54 @@ def bandpass(df: DataFrame, column: str, low: float, high: float, rate: float =
     return series_map(df, column, [out], lambda x: (once(once(x)[::-1])[::-1],))
 
 
-def tv_denoise(df: DataFrame, column: str, lam: float, out: str = "denoised") -> DataFrame:
+def taut_string(x: np.ndarray, lam: float) -> np.ndarray:
     """Exact minimiser of ½‖z - x‖² + lam Σ|z_i+1 - z_i|: the taut string through the tube around the running sum."""
+    n = len(x)
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    upper, lower = total + lam, total - lam
+    upper[0] = lower[0] = 0.0
+    upper[n] = lower[n] = total[n]
+    upper, lower = upper.tolist(), lower.tolist()
+    z, start, level = np.empty(n), 0, 0.0
+    while start < n:
+        # the string leaves (start, level): follow the narrowest cone until it closes
+        hi, lo, at_hi, at_lo, i = math.inf, -math.inf, start + 1, start + 1, start + 1
+        while True:
+            up, down = (upper[i] - level) / (i - start), (lower[i] - level) / (i - start)
+            if down > hi:
+                end, value = at_hi, upper[at_hi]
+                break
+            if up < lo:
+                end, value = at_lo, lower[at_lo]
+                break
+            if up <= hi:
+                hi, at_hi = up, i
+            if down >= lo:
+                lo, at_lo = down, i
+            if i == n:
+                end, value = n, upper[n]
+                break
+            i += 1
+        z[start:end] = (value - level) / (end - start)
+        start, level = end, value
+    return z
+
+
+def tv_denoise(df: DataFrame, column: str, lam: float, out: str = "denoised") -> DataFrame:
+    """The taut string of each series."""
+    return series_map(df, column, [out], lambda x: (taut_string(x, lam),))
+
+
+def tv_denoise_2d(df: DataFrame, column: str, width: int, lam: float, out: str = "denoised") -> DataFrame:
+    """Of each series, read as rows of that width, the mean of the taut strings along rows and along columns."""
 
     def fn(x: np.ndarray) -> tuple[np.ndarray]:
-        n = len(x)
-        total = np.concatenate([[0.0], np.cumsum(x)])
-        upper, lower = total + lam, total - lam
-        upper[0] = lower[0] = 0.0
-        upper[n] = lower[n] = total[n]
-        z, start, level = np.empty(n), 0, 0.0
-        while start < n:
-            # the string leaves (start, level): follow the narrowest cone until it closes
-            hi, lo, at_hi, at_lo, i = math.inf, -math.inf, start + 1, start + 1, start + 1
-            while True:
-                up, down = (upper[i] - level) / (i - start), (lower[i] - level) / (i - start)
-                if down > hi:
-                    end, value = at_hi, upper[at_hi]
-                    break
-                if up < lo:
-                    end, value = at_lo, lower[at_lo]
-                    break
-                if up <= hi:
-                    hi, at_hi = up, i
-                if down >= lo:
-                    lo, at_lo = down, i
-                if i == n:
-                    end, value = n, total[n]
-                    break
-                i += 1
-            z[start:end] = (value - level) / (end - start)
-            start, level = end, value
-        return (z,)
+        if len(x) % width:
+            raise ValueError(f"{len(x)} values aren't rows of {width}")
+        m = x.reshape(-1, width)
+        rows = np.stack([taut_string(r, lam) for r in m])
+        columns = np.stack([taut_string(c, lam) for c in m.T], axis=1)
+        return (((rows + columns) / 2).ravel(),)
 
     return series_map(df, column, [out], fn)
 
