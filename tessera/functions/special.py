@@ -27,8 +27,25 @@ def raised_cosine(x: Column) -> Column:
     return F.when(F.abs(x) < 1, (1 + F.cos(math.pi * x)) / 2).otherwise(0.0)
 
 
-def taper(kind: str, i: Column, n: int) -> Column:
-    """Weight of position i (0-based) in a symmetric window of n positions."""
+def bessel0(x: Column, terms: int = 30) -> Column:
+    """The modified Bessel function of order 0 by its power series; for arguments up to about 20."""
+    quarter = x * x / 4
+    out = F.lit(1.0)
+    for k in range(terms, 0, -1):
+        out = 1 + out * quarter / (k * k)
+    return out
+
+
+def taper_nd(kind: str, places: list[tuple[Column, int]], beta: float = 8.6) -> Column:
+    """Product of the windows along some axes, each (position, length)."""
+    out = taper(kind, *places[0], beta=beta)
+    for i, n in places[1:]:
+        out = out * taper(kind, i, n, beta=beta)
+    return out
+
+
+def taper(kind: str, i: Column, n: int, beta: float = 8.6) -> Column:
+    """Weight of position i (0-based) in a symmetric window of n positions; beta is kaiser's."""
     last = max(n - 1, 1)
     turn, centred = 2 * math.pi * i / last, 2 * i / last - 1
     if kind == "rect":
@@ -52,4 +69,6 @@ def taper(kind: str, i: Column, n: int) -> Column:
     if kind == "tukey":
         edge = F.abs(centred)
         return F.when(edge <= 0.5, 1.0).otherwise(0.5 + 0.5 * F.cos(2 * math.pi * (edge - 0.5)))
+    if kind == "kaiser":
+        return bessel0(beta * F.sqrt(F.greatest(1 - centred * centred, F.lit(0.0)))) / bessel0(F.lit(beta))
     raise ValueError(kind)

@@ -22,14 +22,15 @@ def tp_fp(df: DataFrame, label: str, score: str, key: str, infinite: bool = Fals
     return zero.unionByName(scanned.select("rank", "tp", "fp"))
 
 
-def totals(df: DataFrame, label: str) -> DataFrame:
-    """One row: positives p and negatives n."""
-    return df.agg(F.count_if(F.col(label) > 0).alias("p"), F.count_if(F.col(label) < 0).alias("n"))
+def totals(df: DataFrame, label: str, positives: float | None = None, negatives: float | None = None) -> DataFrame:
+    """One row: positives p and negatives n; surrogate totals replace the counted ones (say of items that were never scored)."""
+    p, n = (F.count_if(c) if given is None else F.lit(given) for c, given in ((F.col(label) > 0, positives), (F.col(label) < 0, negatives)))
+    return df.agg(F.count("*").alias("_"), p.alias("p"), n.alias("n")).drop("_")
 
 
-def roc(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:
-    """rank, tpr, tnr."""
-    return tp_fp(df, label, score, key, infinite).crossJoin(F.broadcast(totals(df, label))).select("rank", (F.col("tp") / F.col("p")).alias("tpr"), (1 - F.col("fp") / F.col("n")).alias("tnr"))  # one row
+def roc(df: DataFrame, label: str, score: str, key: str, infinite: bool = False, positives: float | None = None, negatives: float | None = None) -> DataFrame:
+    """rank, tpr, tnr; by surrogate totals where they are given."""
+    return tp_fp(df, label, score, key, infinite).crossJoin(F.broadcast(totals(df, label, positives, negatives))).select("rank", (F.col("tp") / F.col("p")).alias("tpr"), (1 - F.col("fp") / F.col("n")).alias("tnr"))  # one row
 
 
 def roc_summary(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:
@@ -46,10 +47,14 @@ def roc_summary(df: DataFrame, label: str, score: str, key: str, infinite: bool
     return area.crossJoin(met).select(F.coalesce("auc", F.lit(0.0)).alias("auc"), F.coalesce("x", F.lit(float("nan"))).alias("eer"))
 
 
-def pr(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:
-    """rank, recall, precision (1 at rank 0)."""
-    counted = tp_fp(df, label, score, key, infinite).crossJoin(F.broadcast(totals(df, label)))
-    return counted.select("rank", "tp", (F.col("tp") / F.col("p")).alias("recall"), F.when(F.col("rank") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+def pr(df: DataFrame, label: str, score: str, key: str, infinite: bool = False, prior: float | None = None, positives: float | None = None, negatives: float | None = None) -> DataFrame:
+    """rank, recall, precision (1 at rank 0).
+
+    prior: precision as it would be if positives were that share of all, tp·prior/p over itself plus fp·(1 - prior)/n.
+    """
+    counted = tp_fp(df, label, score, key, infinite).crossJoin(F.broadcast(totals(df, label, positives, negatives)))
+    good, bad = (F.col("tp"), F.col("fp")) if prior is None else (F.col("tp") * prior / F.greatest("p", F.lit(1e-300)), F.col("fp") * (1 - prior) / F.greatest("n", F.lit(1e-300)))
+    return counted.select("rank", "tp", (F.col("tp") / F.col("p")).alias("recall"), F.when(F.col("rank") == 0, 1.0).otherwise(good / (good + bad)).alias("precision"))
 
 
 def pr_summary(df: DataFrame, label: str, score: str, key: str, infinite: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.prefix import global_row_number
@@ -47,21 +48,29 @@ def trim_trailing_zeros(df: DataFrame, series: str, order: str, value: str) -> D
     return df.withColumn("_last", last).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
-def subset(df: DataFrame, how: str, n: int, order: list[str]) -> DataFrame:
-    """n rows: first, last, uniform, largest or smallest by a total order; in that order."""
+def subset(df: DataFrame, how: str, n: float, order: list[str], place: list[str] | None = None) -> DataFrame:
+    """n rows: first, last, uniform, largest or smallest by a total order; in that order, or by place (the rows' own order).
+
+    n below 1 is a share of the rows, rounded up.
+    """
+    if 0 < n < 1:
+        n = math.ceil(df.count() * n)
+    n = int(n)
     if how in ("first", "smallest"):
-        return df.orderBy(*order).limit(n)
-    if how in ("last", "largest"):
-        return df.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)
-    if how == "uniform":
+        out = df.orderBy(*order).limit(n)
+    elif how in ("last", "largest"):
+        out = df.orderBy(*(F.desc(c) for c in order)).limit(n)
+    elif how == "uniform":
         total = df.count()
         if not total or n <= 0:
             return df.limit(0)
         picks = {round(1 + i * (total - 1) / max(n - 1, 1)) for i in range(min(n, total))}
         numbered = global_row_number(df, [F.col(c) for c in order], "_row")
         wanted = df.sparkSession.createDataFrame([(p,) for p in sorted(picks)], "_pick long")  # at most n rows
-        return numbered.join(F.broadcast(wanted), F.col("_row") == F.col("_pick"), "left_semi").drop("_row").orderBy(*order)
-    raise ValueError(how)
+        out = numbered.join(F.broadcast(wanted), F.col("_row") == F.col("_pick"), "left_semi").drop("_row")
+    else:
+        raise ValueError(how)
+    return out.orderBy(*(place or order))
 
 
 def random_subset(df: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
@@ -101,3 +110,14 @@ def djb2(text: Column) -> Column:
     """33-multiplier string hash, seed 5381, modulo 2³² - 1, over characters."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % F.lit(4294967295))
+
+
+def folder_manifest(spark: SparkSession, folder: str, pattern: str, series: str) -> DataFrame:
+    """(folder, series, files, bytes, first, last) of the files under a folder, at any depth; only names are read, no content.
+
+    pattern: file names that count (a glob); series: the part of a name that tells its series, a regular expression's group 1.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_extract(name, series, 1).alias("series"), name.alias("name"), "length")
+    return parts.groupBy("folder", "series").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.min("name").alias("first"), F.max("name").alias("last"))

@@ -14,13 +14,25 @@ def uniform(seed: int, *keys: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
 
 
-def density(cells: DataFrame, x: str, y: str, centre: tuple[float, float], core: float, radius: float, power: float = 2.0) -> DataFrame:
-    """Adds density: distance to the centre over the largest; -1 in the fully sampled core, -2 outside the ellipse."""
+def density(cells: DataFrame, x: str, y: str, centre: tuple[float, float], core: float, radius: float, power: float = 2.0, kind: str = "ellipse", given: str | None = None) -> DataFrame:
+    """Adds density: distance to the centre over the largest; -1 where fully sampled, -2 outside.
+
+    kind: ellipse (core block inside, nothing beyond radius), block (core block, no outside), point (only the cells
+    nearest to the centre are fully sampled), none (distances only), given (a column of densities, core block applied).
+    """
     dx, dy = F.abs(F.col(x) - centre[0]), F.abs(F.col(y) - centre[1])
     d = F.pow(F.pow(dx, F.lit(power)) + F.pow(dy, F.lit(power)), F.lit(1 / power))
-    top = cells.agg(F.max(d).alias("_top"))  # one row
-    value = F.when((dx < core) & (dy < core), -1.0).when(d > radius, -2.0).otherwise(d / F.col("_top"))
-    return cells.crossJoin(F.broadcast(top)).withColumn("density", value).drop("_top")
+    top = cells.agg(F.max(d).alias("_top"), F.min(d).alias("_low"))  # one row
+    inside = (dx < core) & (dy < core)
+    scaled = d / F.col("_top")
+    value = {
+        "ellipse": F.when(inside, -1.0).when(d > radius, -2.0).otherwise(scaled),
+        "block": F.when(inside, -1.0).otherwise(scaled),
+        "point": F.when(d <= F.col("_low"), -1.0).otherwise(scaled),
+        "none": scaled,
+        "given": F.when(inside, -1.0).otherwise(F.col(given or x).cast("double")),
+    }[kind]
+    return cells.crossJoin(F.broadcast(top)).withColumn("density", value).drop("_top", "_low")
 
 
 def weighted_sample(cells: DataFrame, keys: list[str], density_col: str, n: int, seed: int, phase: str | None = None) -> DataFrame:
@@ -85,10 +97,12 @@ def acceleration(mask: DataFrame, bit: str) -> DataFrame:
 
 
 def calibration_box(mask: DataFrame, x: str, y: str, bit: str, width: int, height: int, outliers: float = 0.0) -> DataFrame:
-    """(low_x, high_x, low_y, high_y): the largest centred box that is sampled but for a share of outliers.
+    """(low_x, high_x, low_y, high_y): the largest centred box that is sampled but for a share of outliers; a negative share gives the full extent.
 
     Both axes grow by one cell in turn until that fails; each test reads one aggregate of the mask by distance from the centre.
     """
+    if outliers < 0:
+        return mask.sparkSession.createDataFrame([(0, width - 1, 0, height - 1)], "low_x int, high_x int, low_y int, high_y int")
     ring = mask.where(F.col(bit) == 1).select(F.greatest(F.ceil(F.abs(F.col(x) - (width - 1) / 2) + 0.5), F.lit(1)).cast("int").alias("i"), F.greatest(F.ceil(F.abs(F.col(y) - (height - 1) / 2) + 0.5), F.lit(1)).cast("int").alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
     counts = np.zeros((width + 2, height + 2))
     for r in ring.collect():  # a quarter of the grid

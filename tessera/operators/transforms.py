@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,13 @@ def series_map(df: DataFrame, column: str, outputs: list[str], fn: Callable[[np.
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch[column]
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
             out: list[list] = [[] for _ in outputs]
-            for x in batch[column]:
-                x = x.as_py()
-                values = fn(np.asarray(x, float)) if x else (None,) * len(outputs)
+            for n, e in zip(size.tolist(), ends.tolist(), strict=True):
+                values = fn(flat[e - n : e]) if n else (None,) * len(outputs)
                 for column_out, v in zip(out, values, strict=True):
                     column_out.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, pa.list_(pa.float64())) for o in out)], names=[*batch.schema.names, *outputs])
@@ -285,3 +289,22 @@ def dominant_component(df: DataFrame, column: str, modes: int, low: float, high:
 
     scored = series_map(ordered, "_s", ["_a"], amplitude).withColumn("amplitude", F.element_at("_a", 1))
     return scored.groupBy("series").agg(F.max_by(F.struct("component", "amplitude"), F.struct(F.round("amplitude", 9), -F.col("component"))).alias("b")).select("series", "b.*")
+
+
+def component_signal(df: DataFrame, column: str, modes: int, low: float, high: float, rate: float) -> DataFrame:
+    """(series, component, seq, signal): of each series' dominant component, the band-limited scores' analytic signal, real part less imaginary part."""
+    from .vectors import pca
+
+    best = dominant_component(df, column, modes, low, high, rate).select("series", "component")
+    projected, _modes, _values = pca(df, column, modes, "_p")
+    rows = projected.join(best, "series").select("series", "component", "seq", F.element_at("_p", F.col("component") + 1).alias("score"))
+    ordered = rows.groupBy("series", "component").agg(F.array_sort(F.collect_list(F.struct("seq", "score"))).alias("_r"))  # one series' scores
+    ordered = ordered.select("series", "component", F.transform("_r", lambda r: r["seq"]).alias("_q"), F.transform("_r", lambda r: r["score"]).alias("_s"))
+
+    def signal(x: np.ndarray) -> tuple[np.ndarray]:
+        f = np.fft.fftfreq(len(x), 1 / rate)
+        z = np.fft.ifft(np.where((f >= low) & (f <= high), 2 * np.fft.fft(x), 0))
+        return (z.real - z.imag,)
+
+    out = series_map(ordered, "_s", ["_z"], signal)
+    return out.select("series", "component", F.explode(F.arrays_zip(F.col("_q").alias("seq"), F.col("_z").alias("signal"))).alias("r")).select("series", "component", "r.seq", "r.signal")

@@ -233,35 +233,56 @@ def hierarchical(df: DataFrame, vector: str, key: str, branch: int, depth: int,
     return rows
 
 
-def vlad(df: DataFrame, group: str, vector: str, centres: list[list[float]], normalise: bool = True) -> DataFrame:
-    """(group, cluster, dim, value): sums of differences to the nearest centre, L2-normalised per group."""
+def vlad(df: DataFrame, group: str, vector: str, centres: list[list[float]], normalise: bool = True, mass: bool = False, root: bool = False, per_component: bool = False) -> DataFrame:
+    """(group, cluster, dim, value): sums of differences to the nearest centre.
+
+    In this order, where asked for: mass divides a cluster by its number of vectors, root takes signed square roots,
+    per_component scales each cluster to norm 1, normalise each group.
+    """
     own = assign(df, vector, centres).select(group, "cluster", F.posexplode(vector).alias("dim", "x"))
     flat = F.array(*(F.array(*map(F.lit, c)) for c in centres))
     diff = F.col("x").cast("double") - F.element_at(F.element_at(flat, F.col("cluster") + 1), F.col("dim") + 1)
-    sums = own.groupBy(group, "cluster", "dim").agg(F.sum(diff).alias("value"))
-    if not normalise:
-        return sums
-    norm = sums.groupBy(group).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n"))
-    return sums.join(norm, group).select(group, "cluster", "dim", F.when(F.col("_n") > 0, F.col("value") / F.col("_n")).otherwise(0.0).alias("value"))
+    sums = own.groupBy(group, "cluster", "dim").agg(F.sum(diff).alias("value"), F.count("*").alias("_m"))
+    sums = sums.withColumn("value", F.col("value") / F.col("_m")) if mass else sums
+    sums = signed_root(sums, "value") if root else sums
+    sums = unit_norm(sums, [group, "cluster"], ["value"]) if per_component else sums
+    return (unit_norm(sums, [group], ["value"]) if normalise else sums).select(group, "cluster", "dim", "value")
+
+
+def signed_root(df: DataFrame, *values: str) -> DataFrame:
+    return df.withColumns({v: F.signum(v) * F.sqrt(F.abs(v)) for v in values})
+
+
+def unit_norm(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Values over the root of their sum of squares in each group; a group of zeros stays."""
+    norm = df.groupBy(*by).agg(F.sqrt(sum((F.sum(F.col(v) * F.col(v)) for v in values), F.lit(0.0))).alias("_n"))
+    return df.join(norm, by).withColumns({v: F.when(F.col("_n") > 0, F.col(v) / F.col("_n")).otherwise(0.0) for v in values}).drop("_n")
 
 
-def fisher(df: DataFrame, group: str, vector: str, means: list[list[float]], variances: list[list[float]], weights: list[float]) -> DataFrame:
-    """(group, cluster, dim, u, v): gradient statistics against a diagonal Gaussian mixture."""
+def posteriors(vector: str, means: list[list[float]], variances: list[list[float]], weights: list[float]) -> Column:
+    """Each component's share of a vector in a diagonal Gaussian mixture, an array."""
     x = F.transform(vector, lambda v: v.cast("double"))
     logs = []
     for m, s, w in zip(means, variances, weights, strict=True):
         constant = math.log(w) - 0.5 * sum(math.log(2 * math.pi * v) for v in s)
         ms = F.array(*(F.struct(F.lit(a).alias("m"), F.lit(b).alias("s")) for a, b in zip(m, s, strict=True)))
         logs.append(F.lit(constant) - 0.5 * F.aggregate(F.zip_with(x, ms, lambda v, p: (v - p["m"]) * (v - p["m"]) / p["s"]), F.lit(0.0), lambda t, v: t + v))
-    rows = df.withColumn("_l", F.array(*logs)).withColumn("_e", F.transform("_l", lambda v: F.exp(v - F.array_max("_l"))))
-    rows = rows.withColumn("_q", F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda s, u: s + u)))
+    return F.transform(F.array(F.array(*logs)), lambda l: F.transform(l, lambda v: 1 / F.aggregate(F.transform(l, lambda u: F.exp(u - v)), F.lit(0.0), lambda t, u: t + u)))[0]
+
+
+def fisher(df: DataFrame, group: str, vector: str, means: list[list[float]], variances: list[list[float]], weights: list[float], normalise: bool = False, root: bool = False) -> DataFrame:
+    """(group, cluster, dim, u, v): gradient statistics against a diagonal Gaussian mixture; root and normalise together are the improved form."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    rows = df.withColumn("_q", posteriors(vector, means, variances, weights))
     parts = rows.select(group, x.alias("_x"), F.posexplode("_q").alias("cluster", "q")).select(group, "cluster", "q", F.posexplode("_x").alias("dim", "x"))
     table = [(k, d, means[k][d], math.sqrt(variances[k][d]), weights[k]) for k in range(len(means)) for d in range(len(means[0]))]
     model = df.sparkSession.createDataFrame(table, "cluster int, dim int, mean double, sd double, weight double")  # clusters x dims rows
     parts = parts.join(F.broadcast(model), ["cluster", "dim"]).withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
     sums = parts.groupBy(group, "cluster", "dim", "weight").agg(F.sum(F.col("q") * F.col("z")).alias("su"), F.sum(F.col("q") * (F.col("z") * F.col("z") - 1)).alias("sv")).join(n, group)
-    return sums.select(group, "cluster", "dim", (F.col("su") / (F.col("_n") * F.sqrt("weight"))).alias("u"), (F.col("sv") / (F.col("_n") * F.sqrt(2 * F.col("weight")))).alias("v"))
+    out = sums.select(group, "cluster", "dim", (F.col("su") / (F.col("_n") * F.sqrt("weight"))).alias("u"), (F.col("sv") / (F.col("_n") * F.sqrt(2 * F.col("weight")))).alias("v"))
+    out = signed_root(out, "u", "v") if root else out
+    return unit_norm(out, [group], ["u", "v"]) if normalise else out
 
 
 def covariance(df: DataFrame, vector: str) -> DataFrame:
@@ -381,3 +402,54 @@ def gmm_diag(df: DataFrame, vector: str, means: list[list[float]], variances: li
         m = one / n[:, None]
         means, variances, weights = m.tolist(), np.maximum(two / n[:, None] - m * m, floor).tolist(), (n / n.sum()).tolist()
     return means, variances, weights, likelihood
+
+
+def kmeans_repeated(df: DataFrame, vector: str, key: str, k: int, steps: int, repetitions: int, metric: str = "l2") -> tuple[list[list[float]], list[float]]:
+    """The run of least final energy among k-means++ starts with seeds 1, 2, ...; metric l2 (means) or l1 (medians)."""
+    run = {"l2": kmeans_l2, "l1": kmeans_l1}[metric]
+    runs = [run(df, vector, plus_plus(df, vector, key, k, seed), steps) for seed in range(1, repetitions + 1)]
+    return min(runs, key=lambda r: r[1][-1])
+
+
+def gmm_start(df: DataFrame, vector: str, centres: list[list[float]], floor: float = 1e-6) -> tuple[list[list[float]], list[list[float]], list[float]]:
+    """(means, variances, weights) of the clusters of some centres: a start for gmm_diag."""
+    own = assign(df.where(F.col(vector).isNotNull()), vector, centres).select("cluster", F.posexplode(vector).alias("dim", "x"))
+    rows = own.groupBy("cluster", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s"), F.count("*").alias("n")).collect()  # clusters x dims
+    means, variances, sizes = [list(c) for c in centres], [[1.0] * len(c) for c in centres], [0.0] * len(centres)
+    for r in rows:
+        means[r["cluster"]][r["dim"]], variances[r["cluster"]][r["dim"]], sizes[r["cluster"]] = r["m"], max(r["s"], floor), float(r["n"])
+    total = sum(sizes) or 1.0
+    return means, variances, [max(n / total, 1e-12) for n in sizes]
+
+
+def modes_for(variances: np.ndarray, share: float) -> int:
+    """How many leading modes hold that share of the variance; at least one."""
+    held = np.cumsum(variances) / max(variances.sum(), 1e-300)
+    return min(int(np.searchsorted(held, share - 1e-12)) + 1, len(variances))
+
+
+def pca_back(df: DataFrame, projected: str, modes: np.ndarray, mean: np.ndarray, out: str = "restored", keep: list[int] | None = None) -> DataFrame:
+    """Adds the vectors that projections stand for: mean + sum of score times mode; keep: only those modes (a mode filter)."""
+    modes = modes if keep is None else np.where(np.isin(np.arange(len(modes)), keep)[:, None], modes, 0)
+    score = F.array(*(F.array(*map(F.lit, column)) for column in modes.T.tolist()))
+    at = F.transform(score, lambda m: F.aggregate(F.zip_with(projected, m, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v))
+    return df.withColumn(out, F.zip_with(at, F.array(*map(F.lit, mean.tolist())), lambda v, m: v + m))
+
+
+def svd(df: DataFrame, vector: str, k: int, out: str = "u") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(df with the k left singular values' coordinates of each row, singular values, right vectors as rows) of the table, not centred."""
+    _, _, second = gram(df, vector)
+    values, modes = np.linalg.eigh(second)
+    values, modes = np.sqrt(np.maximum(values[::-1][:k], 0)), modes[:, ::-1].T[:k]
+    modes = modes * np.sign(modes[np.arange(len(modes)), np.abs(modes).argmax(1)])[:, None]
+    x = F.col(vector).cast("array<double>")
+    left = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, m.tolist())), lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v) / float(v0) if v0 > 0 else F.lit(0.0) for m, v0 in zip(modes, values, strict=True)]
+    return df.withColumn(out, F.array(*left)), values, modes
+
+
+def tree_cut(links: DataFrame, points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
+    """links (key, parent) of quick_shift without those longer than reach: what hangs on them becomes trees of their own."""
+    at = points.select(F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    both = links.join(at, F.col(key) == F.col("_k"), "left").drop("_k").withColumnsRenamed({"_x": "_ax", "_y": "_ay"}).join(at, F.col("parent") == F.col("_k"), "left")
+    d2 = F.pow(F.col("_ax") - F.col("_x"), F.lit(2)) + F.pow(F.col("_ay") - F.col("_y"), F.lit(2))
+    return both.select(*[c for c in links.columns if c != "parent"], F.when(d2 <= reach * reach, F.col("parent")).alias("parent"))

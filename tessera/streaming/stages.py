@@ -159,3 +159,32 @@ def chain(df: DataFrame, stages: list[tuple[Callable[..., DataFrame], dict]]) ->
     return df
 
 
+def slices(stream: DataFrame, key: str, values: str, size: int) -> DataFrame:
+    """(key, slice, values): one row for each run of size values of a record, its header repeated; works on streams as on tables."""
+    n = F.ceil(F.size(values) / size)
+    cut = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.slice(values, i * size + 1, size))
+    return stream.where(F.size(values) > 0).select(key, F.posexplode(cut).alias("slice", "values"))
+
+
+def register(spark: SparkSession, name: str, fn: Callable[[pd.Series], float], returns: str) -> None:
+    """Makes a function of a whole series callable by name from SQL, as an aggregate."""
+
+    def grouped(values: pd.Series) -> float:
+        return fn(values)
+
+    spark.udf.register(name, F.pandas_udf(grouped, returns))
+
+
+def register_table(spark: SparkSession, name: str, handler: type) -> None:
+    """Makes a table function's class (see MaskCells) callable by name from SQL."""
+    spark.udtf.register(name, F.udtf(handler, returnType=handler.RETURNS))
+
+
+class MaskCells:
+    """(place, bit) of each character of a mask line."""
+
+    RETURNS = "place int, bit int"
+
+    def eval(self, line: str):
+        for place, c in enumerate(line or ""):
+            yield place, int(c != "-")
