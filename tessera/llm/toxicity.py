@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import release
 from .scratch import documents_of
 
 STEMS, CONTEXT = (4, 5, 6), 8
@@ -211,11 +213,12 @@ def learn_lexicon(sample: DataFrame, size: int, least_evidence: float, odds: flo
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            for text, toxic in zip((t for piece in pieces(batch["text"]) for t in piece.to_pylist()), batch["toxic"].to_pylist(), strict=True):
                 words = set(re.findall(r"[^\W_]{3,30}", (text or "").lower()))
                 counts.update((w, False, toxic) for w in words)
                 counts.update((w, True, toxic) for w in {w[:k] for w in words for k in STEMS if len(w) > k})
             keys = list(counts)
+            release()
             yield pa.RecordBatch.from_pydict({"entry": [k[0] for k in keys], "stem": [k[1] for k in keys], "toxic": pa.array([k[2] for k in keys], pa.int32()), "n": pa.array([counts[k] for k in keys], pa.int64())})
 
     total = {r[0]: r[1] for r in sample.groupBy("toxic").agg(F.count("*")).collect()}  # two rows
@@ -242,14 +245,16 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(lexicon, weights) from at most max_labelled labelled documents that are not held out, taken in hash order."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumnRenamed("doc_id", "_id")
-    sample = df.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "toxic")  # bounded by max_labelled
+    texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(known), "_id").select("text", "toxic")  # bounded by max_labelled
     lexicon = learn_lexicon(sample, size, least_evidence, odds)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(lexicon)
         for batch in batches:
-            x = features(automaton, batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch["toxic"]], names=["x", "toxic"])
+            x = [row for piece in pieces(batch["text"]) for row in features(automaton, piece.to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["toxic"]], names=["x", "toxic"])
+            release()
 
     rows = sample.mapInArrow(task, "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()  # at most max_labelled
     if not rows:
@@ -258,28 +263,39 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return lexicon, fit(x, y.astype(float))
 
 
-def scored(df: DataFrame, lexicon: list[tuple[str, bool]], weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """df with score_col; null texts are empty, empty texts have the score of no match."""
+def pieces(texts: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[pa.Array]:
+    """Slices of about that many bytes; a longer text stands alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + chars, "right")))
+        yield texts.slice(first, last - first)
+        first = last
 
-    schema = df.withColumn(score_col, F.lit(0.0)).schema
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score_of(text_col: str, lexicon: list[tuple[str, bool]], weights: np.ndarray) -> Column:
+    """The score of a text column. Only texts go to Python and only scores come back; null texts are empty, empty texts have the score of no match."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = Automaton(lexicon)
         for batch in batches:
-            x = features(automaton, ["" if t is None else t for t in batch[text_col].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], names=[*batch.schema.names, score_col])
+            x = [features(automaton, ["" if t is None else t for t in piece.to_pylist()]) @ weights for piece in pieces(batch)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(x) if x else np.empty(0), -30, 30))))
+            del batch
+            release()
 
-    return df.mapInArrow(task, schema)
+    return score(F.col(text_col))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Without labels of both kinds there is no lexicon and every score is the prior's; null ids are held in; rows that
-    repeat are scored alike; an empty table gives no rows; other columns are ignored.
+    Without labels of both kinds, or with too few for least_evidence, there is no lexicon and every score is the prior's;
+    null ids are held in; rows that repeat are scored alike; an empty table gives no rows; other columns are ignored.
     """
     lexicon, weights = train(df, labels, id_col, text_col, **options)
-    out = scored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), lexicon, weights)
+    out = df.select(F.col(id_col).cast("long").alias("doc_id"), score_of(text_col, lexicon, weights).alias("score"))
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
