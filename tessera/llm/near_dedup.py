@@ -39,9 +39,9 @@ from .skew import skew_join
 
 WORDS, SKETCH_LONGS = 5, 8
 #: Words of a star's slice, of a part of a tile, and of the texts that a task holds at once.
-SLICE_WORDS, TASK_WORDS = 100_000, 400_000
+SLICE_WORDS, TASK_WORDS = 200_000, 500_000
 #: Members of a block of a bucket, and of a part of a tile.
-BLOCK, PART = 8_192, 256
+BLOCK, PART = 8_192, 1_024
 
 Shingles = tuple[np.ndarray, np.ndarray]
 
@@ -156,7 +156,7 @@ def forest(sets: list[Shingles], labels: np.ndarray, percent: int) -> list[tuple
     keep = often[rank]
     column, row = (np.cumsum(often) - 1)[rank[keep]], owner[order[keep]]
     both = np.zeros((len(sets), len(sets)), np.int64)
-    step = 1 << 15
+    step = 1 << 13
     by_column = np.argsort(column, kind="stable")
     column, row = column[by_column], row[by_column]
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
@@ -328,16 +328,21 @@ def rest_of_buckets(reps: DataFrame, links: DataFrame, texts: DataFrame, total:
     keyed = reps.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.posexplode("bands").alias("band", "key"))
     still_open = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     still = materialize(skew_join(keyed, materialize(still_open, "buckets"), "key", "n", total), "open")
-    # at most one entry a band
-    sizes = still.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("of"))
-    bands = F.size("bands")
-    sizes = sizes.join(reps.select("node", "n_shingles", "bands", "odd"), "node")
-    sizes = sizes.withColumn("sizes", F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.coalesce(F.col("of")[b], F.lit(0).cast("long")))).drop("of")
-    blocks = F.ceil(F.col("n") / block)
-    rows = still.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.withColumn("tile", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn("low", F.col("own") <= F.col("other"))
+    # a node's open buckets, at most one a band, meet its sketch once and are then told apart again
+    nodes = still.groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("band", "key", "n")).alias("of"))
+    nodes = nodes.join(reps.select("node", "n_shingles", "bands", "odd"), "node")
+    size_of = F.map_from_arrays(F.transform("of", lambda b: b["band"]), F.transform("of", lambda b: b["n"]))
+    sizes = F.transform(F.sequence(F.lit(0), F.size("bands") - 1), lambda b: F.coalesce(size_of[b], F.lit(0).cast("long")))
+
+    def tiles_of(bucket: Column) -> Column:
+        blocks = F.ceil(bucket["n"] / block)
+        own = F.pmod(F.xxhash64("node"), blocks)
+        return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.xxhash64(bucket["key"], F.least(own, other), F.greatest(own, other)).alias("tile"), bucket["key"].alias("key"), bucket["band"].alias("band"), (own <= other).alias("low")))
+
+    rows = nodes.withColumn("sizes", sizes).withColumn("at", F.explode(F.flatten(F.transform("of", tiles_of))))
+    rows = rows.select("at.tile", "at.key", "at.band", "node", "label", "at.low", "n_shingles", "bands", "odd", "sizes")
     parts = max(1, math.ceil(still.count() / BLOCK))
-    rows = rows.select("tile", "key", "band", "node", "label", "low").join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts)))
     met = spread(rows, "part", parts).groupBy("part").applyInArrow(meetings_of(limit, block, part), "meeting long, node binary, label binary")
     return materialize(verified(met.withColumn("hub", F.lit(False)), reps, texts, percent), "links")
 
