@@ -7,12 +7,13 @@ only pairs possibly above the threshold are recomputed in double precision.
 
 Vectors are dealt to the cells of a few pivots and cells are cut to blocks of bounded size, so that a tile is skipped
 where centre angle and radii prove that it holds no link; data without structure are compared throughout, which is
-what comparing all vectors means. Equal vectors are one class with a multiplicity. A tile gives sums of links by vector
+what comparing all vectors means. Blocks travel in the table's own precision; tasks quantise them. Equal vectors are one class with a multiplicity. A tile gives sums of links by vector
 and a spanning forest of its links, never the pairs of a dense group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import documents_of, materialize
+from .skew import skew_join
 
-BLOCK, PIVOTS, STRIP = 4096, 32, 512
-ENCODED = "vec_id long, dim int, cell int, digest binary, q binary, vector binary"
+BLOCK, PIVOTS, MOST_PIVOTS, STRIP = 4096, 32, 4096, 512
+ENCODED = "vec_id long, dim int, cell int, digest binary, vector binary"
 QUANT = np.dtype([("id", "<i8"), ("many", "<i8"), ("scale", "<f8"), ("err", "<f8"), ("norm", "<f8")])
 
 
@@ -38,8 +40,14 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return q, scale, np.linalg.norm(unit - back, axis=1) + 1e-12, np.linalg.norm(back, axis=1) + 1e-12
 
 
+def stored(df: DataFrame, vector_col: str) -> str:
+    """How vectors travel: as 32-bit numbers where the table has no more, else as doubles. Sums are in doubles always."""
+    return "<f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+
+
 def encode(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray) -> DataFrame:
-    """Vectors that can have links, in double precision, with their cell."""
+    """Vectors that can have links, with their cell."""
+    kind = stored(df, vector_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,41 +62,47 @@ def encode(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray) -> D
                 cell = (x / norm[:, None] @ pivots.T).argmax(1) if pivots.shape[1] == dim and len(pivots) and len(x) else np.zeros(len(x), int)
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(at)), pa.array(np.full(len(at), dim), pa.int32()), pa.array(cell, pa.int32()),
-                    pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in x], pa.binary()), pa.array([b""] * len(at), pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()),
-                ], names=["vec_id", "dim", "cell", "digest", "q", "vector"])
+                    pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in x], pa.binary()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
+                ], names=["vec_id", "dim", "cell", "digest", "vector"])
 
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where("vec_id is not null").mapInArrow(task, ENCODED).drop("q")
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where("vec_id is not null").mapInArrow(task, ENCODED)
 
 
 BLOCKS = "block long, dim int, centre array<double>, radius double, data binary"
 
 
-def blocks(reps: DataFrame) -> DataFrame:
-    """One row per block: vectors, quantised vectors, bounds."""
+def unit_of(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def blocks(reps: DataFrame, kind: str) -> DataFrame:
+    """One row per block: ids, multiplicities and vectors, with the block's centre and radius."""
     schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("data", pa.binary())])
 
     def task(key, table):
         table = table.take(pc.sort_indices(table, [("vec_id", "ascending")]))
         dim = table["dim"][0].as_py()
-        x = np.frombuffer(b"".join(table["vector"].to_pylist()), float).reshape(-1, dim)
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
-        q, scale, err, norm = quantised(unit)
-        head = np.empty(len(x), QUANT)
-        head["id"], head["many"], head["scale"], head["err"], head["norm"] = table["vec_id"].to_numpy(), table["many"].to_numpy(), scale, err, norm
+        x = np.frombuffer(b"".join(table["vector"].to_pylist()), kind).reshape(-1, dim)
+        unit = unit_of(x)
+        head = np.column_stack([table["vec_id"].to_numpy(), table["many"].to_numpy()]).astype("<i8")
         centre = unit.sum(0)
         centre /= max(np.linalg.norm(centre), 1e-300)
         radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) + 1e-7
-        return pa.table([[key[0].as_py()], [dim], [centre.tolist()], [radius], [len(x).to_bytes(8, "little") + head.tobytes() + q.tobytes() + unit.tobytes()]], schema=schema)
+        return pa.table([[key[0].as_py()], [dim], [centre.tolist()], [radius], [len(x).to_bytes(8, "little") + head.tobytes() + x.tobytes()]], schema=schema)
 
     return reps.groupBy("block").applyInArrow(task, BLOCKS)
 
 
-def unpack(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(data: bytes, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, multiplicities and bounds; quantised vectors; unit vectors in doubles) of a block."""
     n = int.from_bytes(data[:8], "little")
-    head = np.frombuffer(data, QUANT, n, 8)
-    at = 8 + head.nbytes
-    q = np.frombuffer(data, np.int8, n * dim, at).reshape(n, dim)
-    return head, q, np.frombuffer(data, float, n * dim, at + q.nbytes).reshape(n, dim)
+    own = np.frombuffer(data, "<i8", 2 * n, 8).reshape(n, 2)
+    unit = unit_of(np.frombuffer(data, kind, n * dim, 8 + own.nbytes).reshape(n, dim))
+    head = np.empty(n, QUANT)
+    head["id"], head["many"] = own.T
+    q, head["scale"], head["err"], head["norm"] = quantised(unit)
+    return head, q, unit
 
 
 def strip_links(a, b, rows: slice, cols, threshold: float) -> np.ndarray:
@@ -132,12 +146,12 @@ class Forest(dict):
             self[max(x, y)] = min(x, y)
 
 
-def tile(left: bytes, right: bytes | None, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tile(left: bytes, right: bytes | None, dim: int, threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, links each, forest edges a, b); right None: the block against itself."""
-    a = unpack(left, dim)
-    b = a if right is None else unpack(right, dim)
-    kind = np.float32 if dim * 127 * 127 < 1 << 24 else float
-    q = a[1].astype(kind), (a if right is None else b)[1].astype(kind)
+    a = unpack(left, dim, kind)
+    b = a if right is None else unpack(right, dim, kind)
+    product = np.float32 if dim * 127 * 127 < 1 << 24 else float
+    q = a[1].astype(product), b[1].astype(product)
     n_a, n_b = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
     forest = Forest()
     for s in range(0, len(a[0]), STRIP):
@@ -164,13 +178,15 @@ def tile(left: bytes, right: bytes | None, dim: int, threshold: float) -> tuple[
     return ids[n > 0], n[n > 0], edges[:, 0], edges[:, 1]
 
 
-def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components have no links and stand alone, as have rows
     without id; vectors of different lengths are never linked; rows that repeat are vectors linked with each other; an
     empty table gives no rows; other columns are ignored.
     """
+    total, kind = df.count(), stored(df, vector_col)
+    pivots = pivots or max(PIVOTS, min(MOST_PIVOTS, math.isqrt(total) // 8))
     sample = df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(vector_col).orderBy(F.xxhash64(id_col)).limit(pivots).collect()  # bounded by pivots
     found = [r[0] for r in sample if r[0] and all(v is not None and np.isfinite(v) for v in r[0]) and any(r[0])]
     dim = len(found[0]) if found else 0
@@ -179,12 +195,11 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     encoded = materialize(encode(df, id_col, vector_col, centres), "encoded")
     classes = materialize(encoded.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
-    members = encoded.select("vec_id", "digest").join(classes, "digest")
     reps = encoded.join(classes, (encoded.digest == classes.digest) & (encoded.vec_id == classes.rep)).drop(classes.digest).dropDuplicates(["vec_id", "digest"])
     sizes = reps.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
     reps = reps.join(F.broadcast(sizes), ["dim", "cell"])  # one row per vector length and pivot
     number = F.col("dim").cast("long") * F.lit(1 << 40) + F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    packed = materialize(blocks(reps.select("vec_id", "dim", "many", "vector", number.alias("block"))), "blocks")
+    packed = materialize(blocks(reps.select("vec_id", "dim", "many", "vector", number.alias("block")), kind), "blocks")
 
     meta = packed.select("block", "dim", "centre", "radius")
     x, y = meta.alias("x"), meta.alias("y")
@@ -195,7 +210,7 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, d, left, right in zip(*(batch[c] for c in ("i", "j", "dim", "left", "right")), strict=True):
-                ids, n, a, b = tile(left.as_py(), None if i.as_py() == j.as_py() else right.as_py(), d.as_py(), threshold)
+                ids, n, a, b = tile(left.as_py(), None if i.as_py() == j.as_py() else right.as_py(), d.as_py(), threshold, kind)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.nulls(len(n), pa.int64())], names=["a", "n", "b"])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], names=["a", "n", "b"])
 
@@ -205,7 +220,9 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     done = materialize(tiles.mapInArrow(task, "a long, n long, b long"), "tiles")
     counts = done.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     groups = components(done.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    linked = members.join(counts, "rep", "left").join(groups, "rep", "left")
+    # by class first, so that a large class meets its result once
+    found = classes.join(counts, "rep", "left").join(groups, "rep", "left").select("digest", "rep", "many", "n", "component")
+    linked = skew_join(encoded.select("vec_id", "digest"), materialize(found, "found"), "digest", "many", total)
     linked = linked.select(F.col("vec_id").alias("v"), (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")).groupBy("v").agg(F.max("n").alias("n"), F.min("c").alias("c"))
     out = df.select(F.col(id_col).cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("v"), "left")
     component = F.coalesce("c", "vec_id")
