@@ -6,8 +6,10 @@ similarity of at least 0.17 to it, one that holds it all at least 0.25; with ``b
 with probability 1 - (1 - J)^bands, which for 64 bands is 0.99999 and above. Windows retrieved are verified by exact
 containment of shingles.
 
-A window can share a notice's minimum only if that shingle lies in it, so MinHashes are taken of windows that hold a
-notice's shingle; the others can't collide, and nothing is lost. Notices are a bounded parameter and broadcast.
+The bands are the index: each keeps, for every notice, the shingle whose hash is least in that band. A window collides in
+a band only if that shingle is its own least one too, so only windows that hold a least shingle of some band are hashed;
+the others can't collide, and a notice's other shingles retrieve nothing. Notices are a bounded parameter and broadcast.
+A licence whose text holds another's (BSD-3-Clause that of BSD-2-Clause) is reported with it.
 """
 
 from __future__ import annotations
@@ -15,27 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES
 from .scratch import documents_of
 
 WORDS, BANDS = 5, 64
 
-#: Short public notices, by the identifier of their licence.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-]
-
 
 def notice_shingles(notices: list[tuple[str, str]]) -> list[tuple[int, str, int, list[str]]]:
     """(number, license, class k, distinct shingles joined by a space); notices of fewer than five words can't be given."""
@@ -58,7 +44,13 @@ def scan_licenses(df: DataFrame, notices: list[tuple[str, str]] = NOTICES, id_co
     spark = df.sparkSession
     table = spark.createDataFrame(notice_shingles(notices), "notice int, license string, k int, shingles array<string>")
     table = table.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))
-    known = table.select("k", F.explode("hashes").alias("h")).distinct().collect()  # bounded by the notices
+
+    def least(values):
+        """The band and, of the shingle with the least hash in it, that hash and the shingle."""
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform(values, lambda x: F.struct(F.xxhash64(x, j).alias("low"), x.alias("h")))).alias("m")))
+
+    index = table.select("notice", "k", F.explode(least(F.col("hashes"))).alias("s")).select("notice", "k", F.col("s.band").alias("band"), "s.m.low", "s.m.h")
+    known = index.select("k", "h").distinct().collect()  # bounded by notices and bands
     by_hash: dict[int, list[int]] = {}
     for r in known:
         by_hash.setdefault(r["h"], []).append(r["k"])
@@ -92,8 +84,7 @@ def scan_licenses(df: DataFrame, notices: list[tuple[str, str]] = NOTICES, id_co
     def signature(values):
         return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform(values, lambda x: F.xxhash64(x, j))).alias("low")))
 
-    keys = table.select("notice", F.col("k").alias("nk"), F.explode(signature(F.col("hashes"))).alias("s")).select("notice", "nk", F.col("s.band").alias("band"), F.col("s.low").alias("low"))
-    keys = keys.groupBy("nk", "band", "low").agg(F.collect_set("notice").alias("notices"))  # bounded by the notices
+    keys = index.groupBy(F.col("k").alias("nk"), "band", "low").agg(F.collect_set("notice").alias("notices"))  # bounded by the notices
     banded = found.select("doc_id", "k", "own", F.explode(signature(F.col("own"))).alias("s"))
     retrieved = banded.join(F.broadcast(keys), (F.col("k") == F.col("nk")) & (F.col("s.band") == F.col("band")) & (F.col("s.low") == F.col("low")))
     retrieved = retrieved.select("doc_id", "own", F.explode("notices").alias("notice"))
