@@ -37,10 +37,10 @@ def with_more_columns(spark, docs):
     return spark.createDataFrame([(d, t, "x", 1, 2.0, "y") for d, t in docs], DOCS + ", g string, key int, score double, digest string")
 
 
-@pytest.mark.parametrize(("size", "limit"), [(20, 4000), (50, 4000), (50, 1)])
-def test_suffix_dedup(spark, size, limit):
+@pytest.mark.parametrize(("size", "limit", "hot"), [(20, 4000, 64), (50, 4000, 64), (50, 1, 64), (50, 4000, 2), (20, 4000, 4)])
+def test_suffix_dedup(spark, size, limit, hot):
     docs = awkward()
-    got = suffix_dedup.remove_repeats(with_more_columns(spark, docs), length=size, group_bytes=900, open_limit=limit).drop("kept")
+    got = suffix_dedup.remove_repeats(with_more_columns(spark, docs), length=size, group_bytes=900, open_limit=limit, hot_from=hot).drop("kept")
     assert rows(got) == brute.repeats(docs, size)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS), length=size).count() == 0
 
@@ -78,13 +78,42 @@ def test_exact_dedup(spark):
 
 
 def test_digest_index_grows_and_compacts(spark):
-    index = exact_dedup.DigestIndex(spark)
-    index.insert(spark.createDataFrame([(5, "a"), (6, "b")], DOCS), "doc_id", "text")
-    index.insert(spark.createDataFrame([(1, "a"), (7, "c")], DOCS), "doc_id", "text")
+    def rows_of(docs):
+        return exact_dedup.rows_of(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    index = exact_dedup.DigestIndex(spark, fanout=2)
+    hits = [{r[0] for r in index.insert(rows_of(docs)).collect()} for docs in ([(5, "a"), (6, "b"), (9, "b")], [(1, "a"), (7, "c")], [(0, "c"), (8, "d")])]
+    assert hits == [{digest("b")}, {digest("a")}, {digest("c")}]
+    assert [len(level) for level in index.levels] == [1, 1]
+    asked = spark.createDataFrame([(digest(t),) for t in "abcdz"], "digest string")
+    want = {digest("a"): (1, 2), digest("b"): (6, 2), digest("c"): (0, 2), digest("d"): (8, 1)}
+    assert {r["digest"]: (r["key"], r["rows"]) for r in index.lookup(asked).collect()} == want
     index.compact()
-    index.insert(spark.createDataFrame([(0, "c")], DOCS), "doc_id", "text")
-    found = {r["digest"]: (r["key"], r["rows"]) for r in index.merged().collect()}
-    assert found == {hashlib.sha256(t).hexdigest(): v for t, v in ((b"a", (1, 2)), (b"b", (6, 1)), (b"c", (0, 2)))}
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+    assert {r["digest"]: (r["key"], r["rows"]) for r in index.lookup(asked).collect()} == want
+
+
+def test_filters_rule_out_most_other_digests(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.insert(exact_dedup.rows_of(spark.createDataFrame([(i, f"in {i}") for i in range(3000)], DOCS), "doc_id", "text"))
+    others = exact_dedup.rows_of(spark.createDataFrame([(i, f"out {i}") for i in range(3000)], DOCS), "doc_id", "text")
+    (run,) = index.runs
+    assert run.passing(run.entries.select("digest")).count() == 3000
+    assert run.passing(others).count() < 300
+    assert run.lookup(others).count() == 0
+
+
+def test_exact_dedup_of_texts_that_share_a_digest(spark, monkeypatch):
+    """Were a digest ever shared, bytes decide; lengths alone stand for it here."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "sha2", lambda c, n: F.octet_length(c).cast("string"))
+    docs = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "c"), (5, "c"), (6, "x" * 1_200_000), (7, "x" * 1_200_000), (8, "y" * 1_200_000)]
+    got = [r[:4] for r in rows(exact_dedup.exact_groups(spark.createDataFrame(docs, DOCS)))]
+    assert got == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True)]
 
 
 def test_embedding_dedup(spark):
@@ -271,3 +300,102 @@ def test_query_equals_sql(spark, name):
     from tessera.llm import queries
 
     assert oracle.compare(spark, oracle.connection(oracle.DATA), oracle.DATA, queries.queries()[name], queries.oracle_sql()[name]) == ""
+
+
+def test_near_copies_of_both_texts_of_an_id(spark):
+    one, two = ([f"{kind}{i}" for i in range(60)] for kind in "pq")
+    texts = [(1, one), (1, two), (2, [*one, "end"]), (3, [*two, "end"]), (4, [f"r{i}" for i in range(60)])]
+    df = spark.createDataFrame([(i, " ".join(words)) for i, words in texts], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_groups(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def thue_morse(n):
+    """A word and its complement that collide under every polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(n)
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, x), (4, y)]
+    df = spark.createDataFrame(docs, DOCS)
+    assert rows(substring_dedup.remove_later_copies(df).drop("kept")) == brute.later_copies(docs, 20)
+    assert rows(near_dedup.near_groups(df)) == brute.near_groups(docs)
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    got = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in packing.pack(df, packing.tokenizer_path()).collect()}
+    for d, t in docs:
+        ids = np.array(whole.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        for at in range(0, len(ids), 4096):
+            assert got[d, at] == zlib.crc32(ids[at : at + 4096].tobytes())
+
+
+def test_word_hashes_tell_words_apart():
+    from tessera.llm.rolling import run_hashes, word_hashes, words
+
+    rng = random.Random(11)
+    tokens = ["".join(rng.choice("ab\0") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["a" * n for n in (255, 256, 257, 258)] * 2
+    data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+    s, e, _ = words(data, np.array([0, len(data)]))
+    first, second = word_hashes(data, s, e)
+    assert len(s) == len(tokens) and len(set(first.tolist())) == len(set(second.tolist())) == len(set(tokens))
+    for size in (1, 2, 3, 5, 7, 8, 20):
+        runs = [tuple(tokens[i : i + size]) for i in range(len(tokens) - size + 1)]
+        got = run_hashes(first, size).tolist()
+        assert len(got) == len(runs) and len(set(zip(got, runs, strict=True))) == len(set(got)) == len(set(runs))
+
+
+def test_packing_with_words_of_one_key(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.rolling import word_hashes
+
+    monkeypatch.setattr(packing, "word_hashes", lambda *x: (word_hashes(*x)[0] & np.uint64(3), word_hashes(*x)[1]))
+    text = "some words that all share very few keys".encode()
+    ids, at = packing.WordTokens(packing.tokenizer_path()).texts(np.frombuffer(text, np.uint8), np.array([0, 10, len(text)]))
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    want = [whole.encode(t.decode(), add_special_tokens=False).ids for t in (text[:10], text[10:])]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_bands_retrieve_the_notices(spark):
+    """All notices in other text are found with all bands, and many are lost with one band: it is the bands that find them."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(60):
+        lic, text = license_scan.NOTICES[i % len(license_scan.NOTICES)]
+        around = [" ".join(f"v{rng.randrange(5000)}" for _ in range(2 * len(text.split()))) for _ in range(2)]
+        docs.append((i, f"{around[0]} {text} {around[1]}"))
+    df = spark.createDataFrame(docs, DOCS)
+    want = {(i, license_scan.NOTICES[i % len(license_scan.NOTICES)][0]) for i in range(60)}
+
+    def found(bands):
+        return {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df, bands=bands).collect()}
+
+    assert want <= found(license_scan.BANDS)
+    assert len(want & found(1)) < 0.8 * len(want)
+
+
+@pytest.mark.parametrize(("block", "part"), [(8192, 1024), (7, 3)])
+def test_buckets_of_many_components(spark, monkeypatch, block, part):
+    """Chains of near copies whose ends are far apart, and families below the threshold, in blocks and parts of any size."""
+    rng = random.Random(13)
+    words = [f"u{i}" for i in range(80)]
+    docs, now = [], list(words)
+    for i in range(40):  # a chain: each step changes two words
+        docs.append((i, " ".join(now)))
+        for _ in range(2):
+            now[rng.randrange(80)] = f"c{rng.randrange(10**6)}"
+    for i in range(40, 80):  # variants of one text, mostly too far from each other
+        other = list(words)
+        for _ in range(rng.randrange(4, 10)):
+            other[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+        docs.append((i, " ".join(other)))
+    plain = near_dedup.rest_of_buckets
+    monkeypatch.setattr(near_dedup, "rest_of_buckets", lambda *a: plain(*a, block=block, part=part))
+    monkeypatch.setattr(near_dedup, "TASK_WORDS", 2000)
+    assert rows(near_dedup.near_groups(spark.createDataFrame(docs, DOCS))) == brute.near_groups(docs)
