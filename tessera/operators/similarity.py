@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.prefix import global_row_number
+
 MOMENTS = ("mse", "nmse", "rmse", "nrmse", "psnr", "zcc", "cc", "tam", "mr", "ssd", "sad", "zsad", "lsad", "agree", "shd", "snr", "psnr3d")
 ENTROPIES = ("smi", "snmi", "efinfo", "rmi", "rnmi", "tmi", "tnmi", "ejp")
 
@@ -41,11 +43,20 @@ def moments(pairs: DataFrame, a: str = "a", b: str = "b", levels: int = 256, by:
 
 
 def medians(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """msd (median squared difference over n), mad (median difference over n) and nssd (of z-scores), one row."""
-    z = pairs.agg(F.avg(a).alias("_ma"), F.stddev(a).alias("_sa"), F.avg(b).alias("_mb"), F.stddev(b).alias("_sb"))  # one row
+    """msd (median squared difference over n), mad (median difference over n) and nssd (of z-scores), one row.
+
+    A median is the mean of the one or two middle rows by a prefix scan, so no task holds all distinct values.
+    """
+    pairs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    z = pairs.agg(F.avg(a).alias("_ma"), F.stddev(a).alias("_sa"), F.avg(b).alias("_mb"), F.stddev(b).alias("_sb"), F.count("*").alias("_n"))  # one row
     d = F.col(a) - F.col(b)
     dz = (F.col(a) - F.col("_ma")) / F.col("_sa") - (F.col(b) - F.col("_mb")) / F.col("_sb")
-    return pairs.crossJoin(F.broadcast(z)).agg((F.median(d * d) / F.count("*")).alias("msd"), (F.median(d) / F.count("*")).alias("mad"), (F.sqrt(F.sum(dz * dz)) / F.count("*")).alias("nssd"))
+    out = pairs.crossJoin(F.broadcast(z)).agg((F.sqrt(F.sum(dz * dz)) / F.count("*")).alias("nssd"))
+    middle = (F.col("_rank") >= F.floor((F.col("_n") + 1) / 2)) & (F.col("_rank") <= F.ceil((F.col("_n") + 1) / 2))
+    for name, value in (("msd", d * d), ("mad", d)):
+        ranked = global_row_number(pairs.select(value.alias("_v")), [F.asc("_v")], "_rank").crossJoin(F.broadcast(z.select("_n")))
+        out = out.crossJoin(ranked.where(middle).agg((F.avg("_v") / F.max("_n")).alias(name)))
+    return out.select("msd", "mad", "nssd")
 
 
 def entropies(joint: DataFrame, r: float = 0.5, q: float = 0.5) -> DataFrame:
@@ -127,16 +138,18 @@ def zero_crossings(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> Da
 
 
 def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", levels: int = 255, size: int = 11, sigma: float = 1.5) -> DataFrame:
-    """Mean structural similarity over the area where the Gaussian window fits, one row: each cell sends its weighted moments to the windows over it."""
+    """Mean structural similarity over the area where the Gaussian window fits, one row: weighted moments go along columns, then along rows."""
     import math
 
     half = size // 2
-    raw = {(i, j): math.exp(-(i * i + j * j) / (2 * sigma * sigma)) for i in range(-half, half + 1) for j in range(-half, half + 1)}
+    raw = {i: math.exp(-i * i / (2 * sigma * sigma)) for i in range(-half, half + 1)}
     total = sum(raw.values())
-    taps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(v / total).alias("w")) for (i, j), v in raw.items()))
-    sent = pairs.withColumn("_t", F.explode(taps)).select((F.col(row) + F.col("_t.i")).alias("r"), (F.col(col) + F.col("_t.j")).alias("c"), F.col("_t.w").alias("w"), a, b)
-    x, y, w = F.col(a), F.col(b), F.col("w")
-    m = sent.groupBy("r", "c").agg(F.count("*").alias("k"), F.sum(w * x).alias("mx"), F.sum(w * y).alias("my"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy")).where(F.col("k") == size * size)
+    taps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v / total).alias("w")) for i, v in raw.items()))
+    # the window is a product, so each cell goes to its column's neighbours first and their sums to the rows'
+    x, y, w = F.col(a), F.col(b), F.col("_t.w")
+    sums = ("mx", "my", "xx", "yy", "xy")
+    across = pairs.withColumn("_t", F.explode(taps)).groupBy(F.col(row).alias("r0"), (F.col(col) + F.col("_t.i")).alias("c")).agg(F.count("*").alias("k0"), *(F.sum(w * v).alias(n) for n, v in zip(sums, (x, y, x * x, y * y, x * y), strict=True)))
+    m = across.withColumn("_t", F.explode(taps)).groupBy((F.col("r0") + F.col("_t.i")).alias("r"), "c").agg(F.sum("k0").alias("k"), *(F.sum(w * F.col(n)).alias(n) for n in sums)).where(F.col("k") == size * size)
     c1, c2 = (0.01 * levels) ** 2, (0.03 * levels) ** 2
     mx, my = F.col("mx"), F.col("my")
     value = ((2 * mx * my + c1) * (2 * (F.col("xy") - mx * my) + c2)) / ((mx * mx + my * my + c1) * (F.col("xx") - mx * mx + F.col("yy") - my * my + c2))

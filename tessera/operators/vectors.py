@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import materialize
@@ -214,25 +214,71 @@ def plus_plus(df: DataFrame, vector: str, key: str, k: int, seed: int = 1) -> li
     return centres
 
 
-def hierarchical(df: DataFrame, vector: str, key: str, branch: int, depth: int, steps: int = 5) -> DataFrame:
-    """Adds path: the branch taken at each level; all nodes of a level are split in one pass per step."""
+def hierarchical(df: DataFrame, vector: str, key: str, branch: int, depth: int, steps: int = 5, tolerance: float = 1e-9) -> DataFrame:
+    """Adds path: the branch taken at each level; all nodes of a level are split in one pass per step.
+
+    A node starts at its branch rows of least hash; one with fewer rows keeps those as its centres. The centres of a level,
+    branch^level times dims numbers, travel with the tasks.
+    """
     rows = materialize(df.withColumn("path", F.array().cast("array<int>")), "paths")
     for _ in range(depth):
-        paths = [tuple(r[0]) for r in rows.select("path").distinct().collect()]  # branch^level nodes
-        centres = {}
-        for p in paths:
-            inside = rows.where(F.col("path") == F.array(*map(F.lit, p)) if p else F.size("path") == 0)
-            start = [list(r[0]) for r in inside.select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(key), key).limit(branch).collect()]
-            centres[p] = kmeans_l2(inside, vector, start, steps)[0] if len(start) == branch else start
-        child = F.lit(None).cast("int")
-        for p, cs in centres.items():
-            here = F.col("path") == F.array(*map(F.lit, p)) if p else F.size("path") == 0
-            best = F.array_min(F.array(*(F.struct(squared_distance(F.col(vector), c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(cs))))["i"]
-            child = F.when(here, best).otherwise(child)
-        rows = materialize(rows.withColumn("path", F.concat("path", F.array(child))), "paths")
+        first = Window.partitionBy("path").orderBy(F.xxhash64(key), key)
+        starts = rows.where(F.col(vector).isNotNull()).select("path", key, F.col(vector).cast("array<double>").alias("_x")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= branch)
+        centres: dict[tuple[int, ...], list[list[float]]] = {}
+        for r in starts.select("path", "_r", "_x").orderBy("path", "_r").collect():  # branch rows a node
+            centres.setdefault(tuple(r["path"]), []).append(list(r["_x"]))
+        going = {p for p, c in centres.items() if len(c) == branch}
+        for _ in range(steps):
+            if not going:
+                break
+            sums = node_sums(rows, vector, {p: np.array(centres[p]) for p in going})
+            for p in list(going):
+                new = [(sums[p, c][1] / sums[p, c][0]).tolist() if (p, c) in sums else centres[p][c] for c in range(branch)]
+                if max(abs(a - b) for x, y in zip(new, centres[p], strict=True) for a, b in zip(x, y, strict=True)) < tolerance:
+                    going.discard(p)
+                else:
+                    centres[p] = new
+        rows = materialize(rows.withColumn("path", F.concat("path", F.array(nearest_of_node(vector, {p: np.array(c) for p, c in centres.items()})))), "paths")
     return rows
 
 
+def node_sums(rows: DataFrame, vector: str, centres: dict[tuple[int, ...], np.ndarray]) -> dict[tuple[tuple[int, ...], int], tuple[float, np.ndarray]]:
+    """(node, centre) -> (rows, sum of vectors), for the rows whose path is one of the nodes, in one pass."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            paths, x = [tuple(p) for p in batch["path"].to_pylist()], np.array(batch["x"].to_pylist(), float)
+            for p in set(paths) & set(centres):
+                own = x[[q == p for q in paths]]
+                at = distances(own, centres[p], "l2").argmin(1)
+                for c in np.unique(at).tolist():
+                    n, total = found.get((p, c), (0.0, 0.0))
+                    found[p, c] = n + float((at == c).sum()), total + own[at == c].sum(0)
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([list(k[0]) for k in keys], pa.list_(pa.int32())), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.float64()), pa.array([found[k][1].tolist() for k in keys], pa.list_(pa.float64()))], names=["path", "c", "n", "total"])
+
+    part = rows.where(F.col(vector).isNotNull()).select("path", F.col(vector).cast("array<double>").alias("x")).mapInArrow(task, "path array<int>, c int, n double, total array<double>")
+    dims = len(next(iter(centres.values()))[0])
+    summed = part.groupBy("path", "c").agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dims))).collect()  # branch rows a node
+    return {(tuple(r["path"]), r["c"]): (r["n"], np.array([r[f"t{i}"] for i in range(dims)])) for r in summed}
+
+
+def nearest_of_node(vector: str, centres: dict[tuple[int, ...], np.ndarray]) -> Column:
+    """The number of the nearest of a row's node's centres (the smallest on ties); null without vector."""
+
+    @F.arrow_udf("int")
+    def own(path: pa.Array, x: pa.Array) -> pa.Array:
+        paths, known = [tuple(p) for p in path.to_pylist()], np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+        out, values = np.zeros(len(x), np.int32), np.array(x.take(pa.array(known)).to_pylist(), float)
+        for p in {paths[i] for i in known.tolist()}:
+            own = np.array([paths[i] == p for i in known.tolist()])
+            out[known[own]] = distances(values[own], centres[p], "l2").argmin(1)
+        return pa.array(out, mask=~x.is_valid().to_numpy(zero_copy_only=False))
+
+    return own(F.col("path"), F.col(vector).cast("array<double>"))
+
+
 def vlad(df: DataFrame, group: str, vector: str, centres: list[list[float]], normalise: bool = True, mass: bool = False, root: bool = False, per_component: bool = False) -> DataFrame:
     """(group, cluster, dim, value): sums of differences to the nearest centre.
 

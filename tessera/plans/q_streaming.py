@@ -16,7 +16,7 @@ from .registry import query
 def _(t):
     e = t.events.select("event_id", "value", F.floor(F.col("event_id") / 100).alias("m"), (F.col("event_id") % 10).alias("cell"), (F.col("event_id") % 100 == 99).alias("last"))
     feed = S.replay(e, "event_id", 3, clock=True)
-    return S.drained(S.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).drop("batch")
+    return S.drained(S.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).where("cell is not null").drop("batch")
 
 
 @query("t2_stream_reject_route", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'navigator' ELSE 'image' END AS route FROM events WHERE event_type IN ('view', 'click', 'purchase')")

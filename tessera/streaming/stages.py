@@ -115,28 +115,37 @@ def stack(stream: DataFrame, key: str, slot: str, value: str, expected: int) ->
 def accumulate(stream: DataFrame, key: str, cell: str, value: str, order: str, end: str) -> DataFrame:
     """(key, cell, value): buffers a measurement's records and emits its grid (a later record wins) when its end flag arrives, or at the stream's close.
 
-    The stream has the clock of replay(): its closing row moves the watermark past the timers of the measurements still open.
+    Records that come after their measurement's grid change nothing more: at the close, a row without cell says how many
+    they were. The stream has the clock of replay(): its closing row moves the watermark past the timers of all keys.
     """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cells, values, orders = (list(x) for x in state.get) if state.exists else ([], [], [])
+        *buffers, closed, late = state.get if state.exists else ([], [], [], False, 0)
+        cells, values, orders = (list(x) for x in buffers)
         done = state.hasTimedOut
         for pdf in batches:
+            if closed:
+                late += len(pdf)
+                continue
             cells += pdf[cell].tolist()
             values += pdf[value].tolist()
             orders += pdf[order].tolist()
             done |= bool(pdf[end].any())
-        if not done:
-            state.update((cells, values, orders))
+        emit = done and not closed
+        if state.hasTimedOut:
+            state.remove()
+            if late:
+                yield pd.DataFrame({"key": [keys[0]], "cell": pd.array([None], "Int64"), "value": [float(late)]})
+        else:
+            state.update(([], [], [], True, late) if closed or done else (cells, values, orders, False, 0))
             state.setTimeoutTimestamp(TIMER * 1000)
-            return
-        state.remove() if state.exists else None
-        grid = pd.DataFrame({"cell": cells, "value": values, "order": orders}).sort_values("order").groupby("cell", as_index=False).last()
-        yield pd.DataFrame({"key": keys[0], "cell": grid["cell"], "value": grid["value"]})
+        if emit:
+            grid = pd.DataFrame({"cell": cells, "value": values, "order": orders}).sort_values("order").groupby("cell", as_index=False).last()
+            yield pd.DataFrame({"key": keys[0], "cell": grid["cell"], "value": grid["value"]})
 
     rows = stream.withWatermark("_clock", HELD).where(F.col("_clock") < F.timestamp_seconds(F.lit(CLOSE)))
     rows = rows.select("_clock", F.col(key).cast("long").alias(key), F.col(cell).cast("long").alias(cell), F.col(value).cast("double").alias(value), F.col(order).cast("long").alias(order), F.col(end).alias(end))
-    return rows.groupBy(key).applyInPandasWithState(step, "key long, cell long, value double", "cells array<long>, vals array<double>, orders array<long>", "append", "EventTimeTimeout")
+    return rows.groupBy(key).applyInPandasWithState(step, "key long, cell long, value double", "cells array<long>, vals array<double>, orders array<long>, closed boolean, late long", "append", "EventTimeTimeout")
 
 
 def gate_population(stream: DataFrame, gates: DataFrame, value: str, keys: list[str]) -> DataFrame:

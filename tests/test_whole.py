@@ -59,6 +59,18 @@ def test_accumulate_keeps_cut_and_open_measurements(spark):
     assert sorted((r["key"], r["cell"], r["value"]) for r in got) == [(m, c, float(top - 10 + c)) for m, top in enumerate((100, 200, 250)) for c in range(10)]
 
 
+def test_accumulate_counts_records_after_the_end(spark):
+    """The end flag comes with the first file; the records of the others are late."""
+    df = spark.range(90).selectExpr("id AS event_id", "CAST(id AS DOUBLE) AS value", "0 AS m", "id % 10 AS cell", "id = 5 AS last")
+    feed = stages.replay(df, "event_id", 3, clock=True)
+    got = stages.drained(stages.accumulate(feed.stream, "m", "cell", "value", "event_id", "last"), feed).collect()
+    first = sum(1 for r in spark.read.parquet(feed.shown).where("event_id is not null").collect() if r["event_id"] < 30)
+    late = [r["value"] for r in got if r["cell"] is None]
+    seen = 90 - late[0]
+    assert len(late) == 1 and first == 30 and 6 <= seen < 90
+    assert sorted((r["cell"], r["value"]) for r in got if r["cell"] is not None) == [(c, float(max(i for i in range(int(seen)) if i % 10 == c))) for c in range(10)]
+
+
 def test_all_coefficients(spark):
     got = QUERIES["x1_dft_whole"](spark, oracle.DATA).groupBy("vec_id").agg(F.count("*").alias("n"), F.count_distinct("k").alias("k")).agg(F.min("n"), F.max("n"), F.min("k")).first()
     assert tuple(got) == (64, 64, 64)
@@ -123,3 +135,21 @@ def test_aligned_series_have_the_matched_cost(spark):
     reference = spark.createDataFrame([(r.tolist(),)], "e array<double>")
     got = transforms.align(df, "id", "e", transforms.best_shift(df, "id", "e", reference, 4)).collect()
     assert len(got) == 2 and all(np.allclose(g["e"], r) for g in got)
+
+
+def test_hierarchical_clusters_equal_node_by_node_clustering(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(120, 3)) + 4 * rng.integers(0, 3, size=(120, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(200, None)], "id long, v array<double>")
+    got = {r["id"]: r["path"] for r in vectors.hierarchical(df, "v", "id", branch=2, depth=2).collect()}
+
+    def split(rows):
+        start = [list(r["v"]) for r in rows.where("v is not null").orderBy(F.xxhash64("id"), "id").limit(2).collect()]
+        centres, _ = vectors.kmeans_l2(rows, "v", start, 5)
+        return {r["id"]: r["cluster"] for r in vectors.assign(rows, "v", centres).collect()}
+
+    top = split(df)
+    assert all(got[i][0] == c for i, c in top.items() if i != 200)
+    for branch in (0, 1):
+        inside = split(df.where(F.col("id").isin([i for i, c in top.items() if c == branch and i != 200])))
+        assert all(got[i][1] == c for i, c in inside.items())
