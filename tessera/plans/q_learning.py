@@ -166,7 +166,7 @@ def _(t):
     return D.calibration_box(mask, "x", "y", "bit", 64, 64)
 
 
-@query("s6_mask_text")
+@query("s6_mask_text", f"SELECT x AS row, (row_number() OVER (PARTITION BY x ORDER BY y) - 1)::INT AS col, ((x + y) % 3 = 0)::INT AS bit FROM ({GRID})")
 def _(t):
     g = cells(t).withColumn("bit", ((F.col("x") + F.col("y")) % 3 == 0).cast("int"))
     return D.mask_rows(D.mask_text(g, "x", "y", "bit"))

@@ -17,7 +17,7 @@ from tessera.streaming import stages as S
 from .q_learning import GRID, cells
 from .q_series import COUNTED, scores
 from .q_similarity import MEANS, MOMENTS_SQL, PAIRS, pairs
-from .q_vectors import CENTRES, POINTS, E, asked, first_centres, vectors, weighed, weighed_sql
+from .q_vectors import CENTRES, FISHER, POINTS, E, asked, first_centres, vectors, weighed, weighed_sql
 from .registry import query
 from .scratch import materialize, scratch_path
 
@@ -43,7 +43,7 @@ def _(t):
     return V.vlad(vectors(t), "label", "vector", first_centres(t), root=True).withColumn("value", F.round("value", 6))
 
 
-@query("l6_fisher_improved")
+@query("l6_fisher_improved", f"{FISHER}, r AS (SELECT label, cluster, dim, sign(u) * sqrt(abs(u)) AS u, sign(v) * sqrt(abs(v)) AS v FROM f), w AS (SELECT label, sqrt(sum(u * u + v * v)) AS w FROM r GROUP BY 1) SELECT label, cluster, dim, round(u / w, 6) AS u, round(v / w, 6) AS v FROM r JOIN w USING (label)")
 def _(t):
     """Signed square roots, each label scaled to norm 1."""
     return V.fisher(vectors(t), "label", "vector", first_centres(t, 4), [[0.02] * 64] * 4, [0.25] * 4, normalise=True, root=True).select("label", "cluster", "dim", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))

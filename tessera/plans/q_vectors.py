@@ -249,7 +249,14 @@ def _(t):
     return V.vlad(vectors(t), "label", "vector", first_centres(t)).withColumn("value", F.round("value", 6))
 
 
-@query("l6_fisher_encode")
+FISHER = f"""WITH {POINTS}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT 4)),
+l AS (SELECT v.id, label, k, v, c, -0.5 * list_sum(list_transform(list_zip(v, c), lambda p: pow(p[1] - p[2], 2) / 0.02)) AS l FROM v, c),
+m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM l), q AS (SELECT *, e / sum(e) OVER (PARTITION BY id) AS q FROM m), n AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
+z AS (SELECT label, k, i, q, (v[i + 1] - c[i + 1]) / sqrt(0.02) AS z FROM q, range(64) g(i)),
+f AS (SELECT label, k::INT AS cluster, i::INT AS dim, sum(q * z) / (any_value(n) * 0.5) AS u, sum(q * (z * z - 1)) / (any_value(n) * sqrt(0.5)) AS v FROM z JOIN n USING (label) GROUP BY label, k, i)"""
+
+
+@query("l6_fisher_encode", f"{FISHER} SELECT label, cluster, dim, round(u, 6) AS u, round(v, 6) AS v FROM f")
 def _(t):
     centres = first_centres(t, 4)
     return V.fisher(vectors(t), "label", "vector", centres, [[0.02] * 64] * 4, [0.25] * 4).select("label", "cluster", "dim", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
@@ -273,14 +280,23 @@ def _(t):
     return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "mode int, value double").withColumn("value", F.round("value", 6))
 
 
-@query("c11_kernel_map")
+def kernel_sql(kernel: str, order: int = 2, period: float = 0.6) -> str:
+    """The features of vectors.kernel_map in a row, weighed."""
+    spectrum = [period * V.SPECTRA[kernel](j * period) for j in range(order + 1)]
+    parts = [f"sign(x) * sqrt(abs(x) * {spectrum[0]!r})"]
+    for j in range(1, order + 1):
+        parts += [f"sign(x) * sqrt(2 * abs(x) * {spectrum[j]!r}) * {f}({j * period!r} * ln(greatest(abs(x), 1e-300)))" for f in ("cos", "sin")]
+    return f"SELECT vec_id AS id, {weighed_sql(f'flatten(list_transform({E}, lambda x: [{chr(44).join(parts)}]))')} AS y FROM embeddings"
+
+
+@query("c11_kernel_map", kernel_sql("chi2"))
 def _(t):
     return vectors(t).select("id", weighed(V.kernel_map(F.col("vector"), 2)).alias("y"))
 
 
 for kernel in ("intersection", "js"):
 
-    @query(f"c11_kernel_map_{kernel}")
+    @query(f"c11_kernel_map_{kernel}", kernel_sql(kernel))
     def _(t, kernel=kernel):
         return vectors(t).select("id", weighed(V.kernel_map(F.col("vector"), 2, kernel=kernel)).alias("y"))
 
@@ -330,7 +346,7 @@ def _(t):
     return T.dominant_component(rows, "v", 4, 0.1, 0.3, 1.0).select("series", "component", F.round("amplitude", 6).alias("amplitude"))
 
 
-@query("s8_series_sink")
+@query("s8_series_sink", "SELECT printf('%s_%04d', regexp_replace(replace(concat_ws(' ', source, lang), ' ', '_'), '[*<>/&%$=+]', '', 'g'), CAST(substring(source, 4, 9) AS INT)) AS series, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def _(t):
     """Each series in its own folder, read back."""
     from tessera.operators import records as R
@@ -342,7 +358,7 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("series").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("s5_mask_text_scan")
+@query("s5_mask_text_scan", "SELECT x AS row, (row_number() OVER (PARTITION BY x ORDER BY y) - 1)::INT AS col, ((x + y) % 3 = 0)::INT AS bit FROM (SELECT DISTINCT l_orderkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem)")
 def _(t):
     """A mask written as text lines and scanned back."""
     from tessera.operators import sampling as D
