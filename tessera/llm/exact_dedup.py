@@ -148,14 +148,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared = salted.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     clash = materialize(compared.where("low <> high").select("digest"), "clash")
 
-    rows = staged.select("digest", "key")
-    single = with_keys(rows, hits, "digest", "left_anti").select("digest", "key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    out = skew_join(rows, groups, "digest", "group_size", total).select("digest", "key", "keep_id", "group_size")
+    out = skew_join(staged.select("digest", "key"), groups, "digest", "group_size", total, "left")
+    out = out.select("digest", "key", F.when(F.col("group_size").isNull(), F.col("key")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     if not clash.isEmpty():
         split = with_keys(texts, clash, "digest", "left_semi")
         apart = split.groupBy("text").agg(index.survivor("key").alias("keep_id"), F.count("*").alias("group_size"))
         out = with_keys(out, clash, "digest", "left_anti").unionByName(split.join(apart, "text").select("digest", "key", "keep_id", "group_size"))
-    out = single.unionByName(out)
     return out.select(F.col("key").alias("doc_id"), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import documents_of, materialize, scratch_path
+from .skew import skew_join
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -233,8 +234,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = rows.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    # only payloads met twice need their response's id
-    marked = rows.join(first.select(F.col("digest").alias("d"), "keep_id"), F.col("digest") == F.col("d"), "left")
+    # only payloads met twice need their response's id; where they are few, no payload moves for it
+    marked = skew_join(rows, materialize(first, "repeated"), "digest", "n", rows.count(), "left")
     marked = marked.select("page_id", "url", "html", F.coalesce("keep_id", "page_id").alias("keep_id"))
     manifest = materialize(write_archives(marked, folder, archive_bytes, segment_bytes), "manifest")
     archives = max(1, manifest.count())
@@ -250,9 +251,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def resolved(found: DataFrame) -> DataFrame:
     """Gives revisits the size and digest of the response they refer to; without payloads."""
     found = materialize(found.drop("payload"), "records")
-    responses = found.where("record_type = 'response'").groupBy(F.col("page").alias("p"), F.col("payload_digest").alias("full_digest")).agg(F.max("payload_bytes").alias("full_bytes"))
-    revisits = found.where("record_type = 'revisit'").join(responses, (F.col("target") == F.col("p")) & (F.col("payload_digest") == F.col("full_digest")), "left")
-    revisits = revisits.select("page", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", F.col("target").cast("long").alias("refers_to"))
+    responses = found.where("record_type = 'response'").groupBy(F.col("page").alias("target"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
+    revisits = found.where("record_type = 'revisit'").select("page", "target", "payload_digest", "record_type")
+    # one row for each response that has revisits, with their number
+    asked = materialize(revisits.groupBy("target", "payload_digest").agg(F.count("*").alias("n")).join(responses, ["target", "payload_digest"], "left"), "asked")
+    revisits = skew_join(revisits, asked, ["target", "payload_digest"], "n", found.count())
+    revisits = revisits.select("page", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("target").cast("long").alias("refers_to"))
     whole = found.where("record_type = 'response'").select("page", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     return whole.unionByName(revisits).select(F.expr("try_cast(page AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
