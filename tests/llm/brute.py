@@ -80,3 +80,46 @@ def edit_distance(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def toxicity_scores(texts, lexicon, weights, quotes, reporting, context=8, fuzzy_from=5):
+    """Scores by comparing every word with every entry."""
+    import math
+
+    out = []
+    for text in texts:
+        t = (text or "").lower()
+        spans = [m.span() for m in re.finditer(r"(?:[^\W_]|[@$])+", t)]
+        found = []
+        for b, e in spans:
+            w = t[b:e]
+            exact = any(w.startswith(x) if stem else w == x for x, stem in lexicon)
+            near = any(not stem and len(x) >= fuzzy_from and abs(len(x) - len(w)) <= 1 and edit_distance(w, x) <= 1 for x, stem in lexicon)
+            found.append(1 if exact else 2 if near else 0)
+        count = [0, 0, 0, 0]
+        for i, kind in enumerate(found):
+            if kind:
+                low, high = max(0, i - context), min(len(spans) - 1, i + context)
+                left = 0 if low == 0 else spans[low][0]
+                right = len(t) if high == len(spans) - 1 else spans[high][1]
+                before, after = sum(c in quotes for c in t[left : spans[i][0]]), sum(c in quotes for c in t[spans[i][1] : right])
+                quoted = before % 2 == 1 and after > 0 or not reporting.isdisjoint(re.findall(r"\w+", t[left:right]))
+                count[kind - 1 + 2 * quoted] += 1
+        x = [1, *(math.log1p(c) for c in count), math.log1p(50 * (count[0] + count[1]) / max(len(spans), 1))]
+        out.append(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, weights, strict=True)))))))
+    return out
+
+
+def taken_words(docs, plan):
+    """docs (doc_id, source, size, h), plan source -> target: words that the mix takes of each document, in the order of docs."""
+    out = [0] * len(docs)
+    for source, target in plan.items():
+        own = sorted((i for i, d in enumerate(docs) if d[1] == source), key=lambda i: (docs[i][3] % 2**64, docs[i][0] is not None, docs[i][0] or 0, docs[i][2]))
+        size = sum(docs[i][2] for i in own)
+        if size:
+            whole = int(target / size + 1e-9)
+            left = max(round(target) - whole * size, 0)
+            for i in own:
+                extra = min(docs[i][2], left)
+                out[i], left = whole * docs[i][2] + extra, left - extra
+    return out

@@ -399,3 +399,78 @@ def test_buckets_of_many_components(spark, monkeypatch, block, part):
     monkeypatch.setattr(near_dedup, "rest_of_buckets", lambda *a: plain(*a, block=block, part=part))
     monkeypatch.setattr(near_dedup, "TASK_WORDS", 2000)
     assert rows(near_dedup.near_groups(spark.createDataFrame(docs, DOCS))) == brute.near_groups(docs)
+
+
+def test_toxicity_scores_of_every_document(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = documents_of(spark, sf), documents_of(spark, sf, "labels")
+    lexicon, weights = toxicity.train(docs, labels)
+    assert lexicon
+    word = next(w for w, stem in lexicon if not stem and len(w) >= 5)
+    odd = [(10**6, f"{word[:-1]} x"), (10**6 + 1, f'she said "{word}" today'), (10**6 + 2, f"{word}s {word[0]}{word} @{word}"), (10**6 + 3, None), (10**6 + 4, ""), (10**6 + 5, "“" + word + "” " * 3 + "pad " * 40 + word)]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, DOCS))
+    got = {r["doc_id"]: r["score"] for r in texts.select("doc_id", toxicity.score_of("text", lexicon, weights).alias("score")).collect()}
+    plain = [tuple(r) for r in texts.collect() if r["doc_id"] % 4 == 0 or r["doc_id"] >= 10**6]
+    want = brute.toxicity_scores([t for _, t in plain], lexicon, weights, toxicity.QUOTES, toxicity.REPORTING)
+    assert len(got) == texts.count() and [got[d] for d, _ in plain] == pytest.approx(want)
+    query = {r["doc_id"]: r["score"] for r in toxicity.op3_toxicity(spark, sf).collect()}
+    assert {d: got[d] for d in query} == pytest.approx(query)
+
+
+def test_mixing_takes_the_right_words_of_each_document(spark):
+    rng = random.Random(14)
+    docs = [(i, " ".join("w" * rng.randrange(0, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(300)] + [(None, "no id here", "a"), (7, "x " * 700_000, "b"), (8, None, "d")]
+    df = spark.createDataFrame([(d, t, s, "y", 3, 4) for d, t, s in docs], "doc_id long, text string, source string, bucket string, size int, h int")
+    got = mixing.mix(df).collect()
+    source = {mixing_key(r): None for r in got}
+    hashed = spark.createDataFrame(docs, DOCS + ", source string").select("doc_id", "source", mixing.word_count("text").alias("size"), mixing.row_hash("doc_id", "text").alias("h")).collect()
+    by_source = {}
+    for r in got:
+        s = next(x["source"] for x in hashed if (x["doc_id"], x["h"]) == (r["doc_id"], r["h"]))
+        by_source[s] = r["target"]
+    want = brute.taken_words([tuple(x) for x in hashed], by_source)
+    assert collections.Counter((r["doc_id"], r["h"], r["taken"]) for r in got) == collections.Counter((x["doc_id"], x["h"], w) for x, w in zip(hashed, want, strict=True))
+    assert len(source) == len(got)
+
+
+def mixing_key(row):
+    return row["doc_id"], row["h"]
+
+
+def test_suffix_dedup_at_its_own_length(spark):
+    """200 bytes, with texts beyond a chunk of 1 MiB."""
+    rng = random.Random(15)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    shared = noise(260)
+    docs = [(i, noise(rng.randrange(300)) + shared[rng.randrange(60) :] + noise(rng.randrange(300))) for i in range(20)]
+    docs += [(30, noise(1_100_000) + shared + noise(200)), (31, noise(500) + shared[:199]), (32, "z" * 2000), (None, shared), (None, noise(250)), (33, None), (33, "")]
+    got = suffix_dedup.remove_repeats(with_more_columns(spark, docs), group_bytes=200_000, hot_from=3).drop("kept")
+    assert rows(got) == brute.repeats(docs, 200)
+
+
+def test_long_texts_of_op4_and_op8(spark):
+    rng = random.Random(16)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(200_000)]
+    docs = [(1, " ".join(long)), (2, " ".join([*long[:150_000], "x", *long[150_001:]])), (3, " ".join(long[1000:1100])), (4, "short text of six words here")]
+    df = spark.createDataFrame(docs, DOCS)
+    assert rows(substring_dedup.remove_later_copies(df).drop("kept")) == brute.later_copies(docs, 20)
+    assert rows(near_dedup.near_groups(df)) == brute.near_groups(docs)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join_beyond_the_broadcast(spark, monkeypatch, how):
+    from tessera.llm import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    left = [(k % 3 if k < 60 else k, k) for k in range(100)] + [(None, 7)]
+    right = [(k, f"r{k}", sum(1 for x, _ in left if x == k)) for k in [0, 1, *range(60, 90)]]
+    a, b = spark.createDataFrame(left, "key int, v int"), spark.createDataFrame(right, "key int, r string, n long")
+    got = rows(skew.skew_join(a, b, "key", "n", len(left), how).select("key", "v", "r"))
+    value = {k: r for k, r, _ in right}
+    assert got == sorted(((k, v, value.get(k)) for k, v in left if how == "left" or k in value), key=repr)
+    kept = rows(skew.with_keys(a, b.select("key"), "key", "left_anti"))
+    assert kept == sorted(((k, v) for k, v in left if k not in value), key=repr)
