@@ -12,11 +12,12 @@ from tessera.operators import sampling as D
 from tessera.operators import similarity as M
 from tessera.operators import transforms as T
 from tessera.operators import vectors as V
+from tessera.sources.folders import folder_manifest
 from tessera.streaming import stages as S
 
 from .q_learning import GRID, cells
 from .q_series import COUNTED, scores
-from .q_similarity import MEANS, MOMENTS_SQL, PAIRS, pairs
+from .q_similarity import MOMENTS_SQL, PAIRS, pairs
 from .q_vectors import CENTRES, FISHER, POINTS, E, asked, first_centres, vectors, weighed, weighed_sql
 from .registry import query
 from .scratch import materialize, scratch_path
@@ -210,7 +211,7 @@ def _(t):
     """Events written to a folder for each type, and the folder's files by type."""
     folder = scratch_path(t.spark, "series")
     t.events.repartition("event_type").write.partitionBy("event_type").parquet(folder)
-    found = R.folder_manifest(t.spark, folder, "*.parquet", r"^(part)-")
+    found = folder_manifest(t.spark, folder, "*.parquet", r"^(part)-")
     return found.select(F.regexp_extract("folder", r"event_type=([^/]*)$", 1).alias("series"), "files")
 
 

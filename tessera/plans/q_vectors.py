@@ -118,7 +118,7 @@ def _(t):
     return out.select("vec_id", weighed(F.col("denoised")).alias("y"))
 
 
-@query("x8_dct", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings WHERE vec_id % 4 = 0) SELECT vec_id, k, round(CASE WHEN k = 0 THEN sqrt(1 / 64.0) ELSE sqrt(2 / 64.0) END * list_sum(list_transform(e, lambda v, i: v * cos(pi() * (2 * (i - 1) + 1) * k / 128))), 6) AS y FROM e, range(64) g(k)".replace(" WHERE vec_id % 4 = 0", ""))
+@query("x8_dct", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings) SELECT vec_id, k, round(CASE WHEN k = 0 THEN sqrt(1 / 64.0) ELSE sqrt(2 / 64.0) END * list_sum(list_transform(e, lambda v, i: v * cos(pi() * (2 * (i - 1) + 1) * k / 128))), 6) AS y FROM e, range(64) g(k)")
 def _(t):
     rows = t.embeddings.select("vec_id", F.posexplode(T.dct(F.col("embedding"), 64)).alias("k", "y"))
     return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round("y", 6).alias("y"))
