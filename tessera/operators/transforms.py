@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def series_map(df: DataFrame, column: str, outputs: list[str], fn: Callable[[np.ndarray], tuple]) -> DataFrame:
-    """Adds array columns outputs = fn(series), by Arrow batches; null and empty series give null."""
+def matrix_map(df: DataFrame, column: str, outputs: list[str], fn: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """Adds array columns outputs = fn(matrix), where a matrix holds a batch's series of one length as rows; null and empty series give null."""
     schema = df.select("*", *(F.lit(None).cast("array<double>").alias(o) for o in outputs)).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -21,27 +21,33 @@ def series_map(df: DataFrame, column: str, outputs: list[str], fn: Callable[[np.
             lists = batch[column]
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(size)
-            out: list[list] = [[] for _ in outputs]
-            for n, e in zip(size.tolist(), ends.tolist(), strict=True):
-                values = fn(flat[e - n : e]) if n else (None,) * len(outputs)
-                for column_out, v in zip(out, values, strict=True):
-                    column_out.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, pa.list_(pa.float64())) for o in out)], names=[*batch.schema.names, *outputs])
+            begin = np.cumsum(size) - size
+            out = [np.empty(len(size), object) for _ in outputs]
+            for n in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                for column_out, values in zip(out, fn(flat[begin[rows][:, None] + np.arange(n)]), strict=True):
+                    for i, v in zip(rows.tolist(), values, strict=True):
+                        column_out[i] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(o), pa.list_(pa.float64())) for o in out)], names=[*batch.schema.names, *outputs])
 
     return df.mapInArrow(task, schema)
 
 
+def series_map(df: DataFrame, column: str, outputs: list[str], fn: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """matrix_map for a function of one series."""
+    return matrix_map(df, column, outputs, lambda m: tuple(zip(*(fn(x) for x in m), strict=True)))
+
+
 def dft(df: DataFrame, column: str, centred: bool = False, inverse: bool = False) -> DataFrame:
     """Adds re and im of the (centred) discrete Fourier transform of each series."""
 
     def fn(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.fft.ifftshift(x) if centred else x
+        x = np.fft.ifftshift(x, axes=1) if centred else x
         y = np.fft.ifft(x) if inverse else np.fft.fft(x)
-        y = np.fft.fftshift(y) if centred else y
+        y = np.fft.fftshift(y, axes=1) if centred else y
         return y.real, y.imag
 
-    return series_map(df, column, ["re", "im"], fn)
+    return matrix_map(df, column, ["re", "im"], fn)
 
 
 def dct(values: Column, n: int) -> Column:
@@ -179,16 +185,17 @@ def bandpass(df: DataFrame, column: str, low: float, high: float, rate: float =
     norm = 1 + band + centre
     b, a1, a2 = band / norm, 2 * (centre - 1) / norm, (1 - band + centre) / norm
 
-    def once(x: np.ndarray) -> np.ndarray:
-        y = np.empty_like(x)
-        x1 = x2 = y1 = y2 = 0.0
-        for i, v in enumerate(x.tolist()):
-            now = b * (v - x2) - a1 * y1 - a2 * y2
-            x1, x2, y1, y2 = v, x1, now, y1
-            y[i] = now
+    def once(m: np.ndarray) -> np.ndarray:
+        """All series of a matrix at once, sample by sample."""
+        y = np.empty_like(m)
+        x1 = x2 = y1 = y2 = np.zeros(len(m))
+        for i in range(m.shape[1]):
+            now = b * (m[:, i] - x2) - a1 * y1 - a2 * y2
+            x1, x2, y1, y2 = m[:, i], x1, now, y1
+            y[:, i] = now
         return y
 
-    return series_map(df, column, [out], lambda x: (once(once(x)[::-1])[::-1],))
+    return matrix_map(df, column, [out], lambda m: (once(once(m)[:, ::-1])[:, ::-1],))
 
 
 def taut_string(x: np.ndarray, lam: float) -> np.ndarray:
@@ -246,12 +253,12 @@ def tv_denoise_2d(df: DataFrame, column: str, width: int, lam: float, out: str =
 def band_power(df: DataFrame, column: str, low: float, high: float, rate: float) -> DataFrame:
     """Adds power: the sum of |DFT|² over frequencies in [low, high] Hz."""
 
-    def fn(x: np.ndarray) -> tuple[np.ndarray]:
-        f = np.fft.rfftfreq(len(x), 1 / rate)
+    def fn(m: np.ndarray) -> tuple[np.ndarray]:
+        f = np.fft.rfftfreq(m.shape[1], 1 / rate)
         inside = (f >= low) & (f <= high)
-        return (np.array([(np.abs(np.fft.rfft(x)[inside]) ** 2).sum()]),)
+        return ((np.abs(np.fft.rfft(m)[:, inside]) ** 2).sum(1)[:, None],)
 
-    return series_map(df, column, ["power"], fn).withColumn("power", F.element_at("power", 1))
+    return matrix_map(df, column, ["power"], fn).withColumn("power", F.element_at("power", 1))
 
 
 def best_shift(df: DataFrame, key: str, column: str, reference: DataFrame, reach: int) -> DataFrame:
