@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,10 +101,13 @@ def acceleration(mask: DataFrame, bit: str) -> DataFrame:
 def calibration_box(mask: DataFrame, x: str, y: str, bit: str, width: int, height: int, outliers: float = 0.0) -> DataFrame:
     """(low_x, high_x, low_y, high_y): the largest centred box that is sampled but for a share of outliers; a negative share gives the full extent.
 
-    Both axes grow by one cell in turn until that fails; each test reads one aggregate of the mask by distance from the centre.
+    Both axes grow by one cell in turn until that fails; each test reads one aggregate of the mask by distance from the
+    centre, which the driver holds: (width / 2) times (height / 2) counts, of 16 million at most.
     """
     if outliers < 0:
         return mask.sparkSession.createDataFrame([(0, width - 1, 0, height - 1)], "low_x int, high_x int, low_y int, high_y int")
+    if width * height > 64_000_000:
+        raise ValueError("the grid is too large for one driver")
     ring = mask.where(F.col(bit) == 1).select(F.greatest(F.ceil(F.abs(F.col(x) - (width - 1) / 2) + 0.5), F.lit(1)).cast("int").alias("i"), F.greatest(F.ceil(F.abs(F.col(y) - (height - 1) / 2) + 0.5), F.lit(1)).cast("int").alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
     counts = np.zeros((width + 2, height + 2))
     for r in ring.collect():  # a quarter of the grid
@@ -149,16 +154,19 @@ def inpaint(grid: DataFrame, x: str, y: str, value: str, rounds: int = 100) -> D
     raise RuntimeError("cells are still missing")
 
 
-def merge_by_information(counts: DataFrame, cls: str, feature: str, n: str) -> DataFrame:
+def merge_by_information(counts: DataFrame, cls: str, feature: str, n: str, most: int = 2_000) -> DataFrame:
     """(node, parent, loss): merges the two feature values that lose the least information about the class, until one is left.
 
-    The contingency table has one row per class and feature value and is small by its nature; ties go to smaller nodes.
+    Each merge depends on those before it, so they run on the driver, over the contingency table of at most `most` feature
+    values (more raise); counting is Spark's. Ties go to smaller nodes.
     """
-    table = counts.groupBy(feature).pivot(cls).agg(F.sum(n)).na.fill(0).orderBy(feature).collect()
+    if counts.select(feature).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} values of {feature}")
+    table = counts.groupBy(feature).pivot(cls).agg(F.sum(n)).na.fill(0).orderBy(feature).collect()  # at most `most` rows
     names = [str(r[0]) for r in table]
     p = np.array([[float(v) for v in r[1:]] for r in table])
     p /= p.sum()
-    nodes, out, number = {name: row for name, row in zip(names, p, strict=True)}, [], 0
+    nodes, out = {name: row for name, row in zip(names, p, strict=True)}, []
     ratio = p.sum(0)
 
     def information(v: np.ndarray) -> float:
@@ -166,11 +174,23 @@ def merge_by_information(counts: DataFrame, cls: str, feature: str, n: str) -> D
         good = v > 0
         return float((v[good] * np.log2(v[good] / (total * ratio[good]))).sum()) if total > 0 else 0.0
 
+    own = {name: information(row) for name, row in nodes.items()}
+
+    def pair(a: str, b: str) -> tuple[float, str, str]:
+        return round(own[a] + own[b] - information(nodes[a] + nodes[b]), 12), a, b
+
+    heap = [pair(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    heapq.heapify(heap)
     while len(nodes) > 1:
-        keys = list(nodes)
-        loss, a, b = min((round(information(nodes[a]) + information(nodes[b]) - information(nodes[a] + nodes[b]), 12), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :])
-        parent, number = f"node{number:04d}", number + 1
-        nodes[parent] = nodes.pop(a) + nodes.pop(b)
+        loss, a, b = heapq.heappop(heap)
+        if a not in nodes or b not in nodes:
+            continue
+        parent = f"node{len(out) // 2:04d}"
+        merged = nodes.pop(a) + nodes.pop(b)
+        own[parent] = information(merged)
+        others = list(nodes)
+        nodes[parent] = merged
+        for other in others:
+            heapq.heappush(heap, pair(other, parent))
         out += [(a, parent, loss), (b, parent, loss)]
     return counts.sparkSession.createDataFrame(out or [(names[0], names[0], 0.0)] if names else [], "node string, parent string, loss double")
-

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.prefix import global_row_number
+from tessera.plans.prefix import global_row_number, prefix_scan
+from tessera.plans.scratch import materialize
 
 MOMENTS = ("mse", "nmse", "rmse", "nrmse", "psnr", "zcc", "cc", "tam", "mr", "ssd", "sad", "zsad", "lsad", "agree", "shd", "snr", "psnr3d")
 ENTROPIES = ("smi", "snmi", "efinfo", "rmi", "rnmi", "tmi", "tnmi", "ejp")
@@ -96,13 +97,15 @@ def f_information(joint: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Rank correlation with mid-ranks, from the distinct values of each column."""
-    from tessera.plans.prefix import prefix_scan
-
-    for c in (a, b):
-        counts = prefix_scan(pairs.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")), [F.asc("_v")], {"_through": "_n"})
-        pairs = pairs.join(counts.select(F.col("_v").alias(f"_v{c}"), (F.col("_through") - (F.col("_n") - 1) / 2).alias(f"_r{c}")), F.col(c) == F.col(f"_v{c}"))
-    return pairs.agg(F.corr(f"_r{a}", f"_r{b}").alias("spr"))
+    """Rank correlation with mid-ranks, over distinct pairs with their number, so that a frequent value meets its rank once a partner."""
+    joint = materialize(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")), "joint")
+    middle = (joint.agg(F.sum("n")).first()[0] or 0) / 2 + 0.5  # mean of all ranks
+    ranked = joint
+    for c in ("a", "b"):
+        counts = prefix_scan(joint.groupBy(F.col(c).alias("_v")).agg(F.sum("n").alias("_n")), [F.asc("_v")], {"_through": "_n"})
+        ranked = ranked.join(counts.select(F.col("_v").alias(c), (F.col("_through") - (F.col("_n") - 1) / 2 - middle).alias(f"_r{c}")), c)
+    x, y, n = F.col("_ra"), F.col("_rb"), F.col("n")
+    return ranked.agg((F.sum(n * x * y) / F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))).alias("spr"))
 
 
 def kendall(joint: DataFrame) -> DataFrame:
