@@ -202,10 +202,13 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     packed = materialize(blocks(reps.select("vec_id", "dim", "many", "vector", number.alias("block")), kind), "blocks")
 
     meta = packed.select("block", "dim", "centre", "radius")
-    x, y = meta.alias("x"), meta.alias("y")
+    # strips of blocks against all blocks, so that the pairs of one vector length are found in many tasks
+    strips = max(1, math.ceil(packed.count() / STRIP))
+    x = meta.withColumn("strip", F.pmod(F.xxhash64("block"), F.lit(strips))).alias("x")
+    y = meta.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long")))).alias("y") if strips > 1 else meta.withColumn("strip", F.lit(0).cast("long")).alias("y")
     dot = F.aggregate(F.zip_with("x.centre", "y.centre", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     near = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) <= F.col("x.radius") + F.col("y.radius") + F.lit(float(np.arccos(threshold)) + 1e-6)
-    pairs = x.join(y, (F.col("x.dim") == F.col("y.dim")) & (F.col("x.block") <= F.col("y.block")) & near).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    pairs = x.join(y, (F.col("x.dim") == F.col("y.dim")) & (F.col("x.strip") == F.col("y.strip")) & (F.col("x.block") <= F.col("y.block")) & near).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
