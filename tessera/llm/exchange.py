@@ -37,9 +37,15 @@ def document_groups(df: DataFrame, id_col: str, text_col: str, group_bytes: int
     return spread(docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), "g", n), n
 
 
-def spread(df: DataFrame, key: str, groups: int, each: int = 16) -> DataFrame:
-    """Partitions by key, each of some groups, so that tasks don't grow with the input; the session's number of partitions is the least."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / each)), key)
+#: Groups of a partition, fewest and most, and the number of partitions from which on it is the most.
+FEW, MANY, ENOUGH = 4, 64, 20_000
+
+
+def spread(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """Partitions by key, so that tasks don't grow with the input: of FEW groups, of more once there are ENOUGH partitions,
+    of MANY at most; the session's number of partitions is the least."""
+    partitions = min(math.ceil(groups / FEW), max(ENOUGH, math.ceil(groups / MANY)))
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions), key)
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -119,7 +125,7 @@ def answer(sent: DataFrame, buckets: int, fn: Callable[[list[int], list[int], li
         release()
         return rows(MESSAGES_ARROW, [(g, kind, part, data) for g, kind, data in out])
 
-    return spread(sent, "part", buckets, 4).groupBy("part").applyInArrow(task, MESSAGES)
+    return spread(sent, "part", buckets).groupBy("part").applyInArrow(task, MESSAGES)
 
 
 class Inbox:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .rolling import CHUNK, U64, Roller, chunks, member, utf8
+from .rolling import CHUNK, U64, Roller, chunks, member, mix, utf8
 
 GRAM = 32
 TIES = U64((1 << 22) - 1)
@@ -97,7 +97,8 @@ class Parser:
         pos = (TIES - (key[new] & TIES)).astype(np.int64)
         sf, sl = start[new], start[np.append(new[1:], len(key)) - 1]
         doc = first + np.searchsorted(offsets, sf + at, "right") - 1
-        return grams[pos], doc, pos + at, sf + at, sl + at
+        # the least hash of a window is small: mixed again, so that fingerprints spread over all buckets
+        return mix(~grams[pos]), doc, pos + at, sf + at, sl + at
 
 
 def digests(data: np.ndarray, begin: np.ndarray, trigger: np.ndarray, end: np.ndarray) -> np.ndarray:
