@@ -116,7 +116,9 @@ def test_exact_dedup_of_texts_that_share_a_digest(spark, monkeypatch):
     assert got == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True)]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("strip", [512, 2])
+def test_embedding_dedup(spark, monkeypatch, strip):
+    monkeypatch.setattr(embedding_dedup, "STRIP", strip)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 16))
     vectors = [(i, (base[i % 20] + 0.25 * rng.normal(size=16)).tolist()) for i in range(150)]
