@@ -5,7 +5,7 @@ then a multiset of lengths below the window: a histogram of at most ``window`` r
 minimum bin slack fills window after window: the longest remainder left opens one, a bitset subset-sum over the lengths
 left (bounded by their counts) finds the sum closest to the space left, and backtracking through the bitsets gives
 how many of each length to take. A filling is repeated as often as the counts allow. Documents get their places from
-their rank within their length, computed in salted groups.
+their rank within their length: in salted groups of about GROUP rows, whose sizes are summed by a prefix scan.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.prefix import prefix_scan
+
 from .rolling import chunks, member, utf8, word_hashes, words
 from .scratch import documents_of, materialize
 
-GROUP = 1_000
+GROUP = 256
 CACHE_WORDS = 2_000_000
 
 #: Printable ASCII and Latin letters that NFC and lower-casing leave alone or map one to one; other words take the tokenizer's whole path.
@@ -198,12 +200,14 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     pieces = materialize(cut(df, id_col, text_col, tokenizer, end_id, window), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most window rows
     table = slots(counts, window)
-    per_length = [(length, math.ceil(n / GROUP)) for length, n in counts.items()]
-    salts = df.sparkSession.createDataFrame(per_length, "l long, salts long")  # at most window rows
-    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("l")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("l", "salts")
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    sizes = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before"))
+    per_length, start = [], 0
+    for length, n in sorted(counts.items()):
+        per_length.append((length, math.ceil(n / GROUP), start))
+        start += n
+    salts = F.broadcast(df.sparkSession.createDataFrame(per_length, "l long, salts long, first long"))  # at most window rows
+    salted = pieces.join(salts, F.col("length") == F.col("l")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("l", "salts", "first")
+    sizes = prefix_scan(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), [F.asc("length"), F.asc("salt")], {"through": "n"})
+    sizes = sizes.join(salts, F.col("length") == F.col("l")).select("l", F.col("salt").alias("s"), (F.col("through") - F.col("n") - F.col("first")).alias("before"))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
     ranked = ranked.join(sizes, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("rank") + F.col("before"))
 
