@@ -32,7 +32,7 @@ def _(t):
     n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
     names = [f"x{i}" for i in range(n)]
     rows = materialize(t.embeddings.select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("y")), "rows")
-    return table(t, {loss: L.newton_fit(rows, names, "y", loss, ridge=0.1)[0] for loss in ("hinge", "hinge2", "l1", "l2", "logistic")}, names)
+    return table(t, {loss: L.newton_fit(rows, names, "y", loss, ridge=0.1, steps=8, widths=(1.0, 0.1, 0.02))[0] for loss in ("hinge", "hinge2", "l1", "l2", "logistic")}, names)
 
 
 @query("l9_logistic_variants")

@@ -63,7 +63,7 @@ def _(t):
 def _(t):
     """The best of three starts."""
     v = vectors(t)
-    centres, _ = V.kmeans_repeated(v, "vector", "id", 10, 8, 3)
+    centres, _ = V.kmeans_repeated(v, "vector", "id", 5, 5, 3)
     return V.assign(v, "vector", centres).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
