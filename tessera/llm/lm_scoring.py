@@ -70,52 +70,60 @@ class Parameters:
         return Parameters(*out)
 
 
-def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, the sum of their values)."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+def row_sums(size: int, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A matrix of size rows: the values of each row number, summed."""
+    width = parts[0][1].shape[1]
+    out = np.zeros(size * width, np.float32)
+    for rows, values in parts:
+        np.add.at(out, ((rows * width)[:, None] + np.arange(width)).ravel(), values.ravel())
+    return out.reshape(size, width)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Trainer:
     """Noise-contrastive estimation by AdaGrad; noise symbols are drawn once a batch and shared by its tokens."""
 
     def __init__(self, model: Parameters, unigram: np.ndarray, rate: float, noise: int, seed: int) -> None:
-        self.m = Parameters(*(a.copy() for a in model.arrays()))
-        self.square = [np.full_like(a, 1.0) for a in model.arrays()]
+        m = model
+        self.context, self.first, self.second = m.context.copy(), m.first.copy(), m.second.copy()
+        self.out = np.column_stack([m.out, m.bias])  # the bias is the weight of a constant
+        self.square = {id(a): np.ones_like(a) for a in (self.context, self.out, self.first, self.second)}
         self.rate, self.noise, self.rng = rate, noise, np.random.default_rng(seed)
         self.odds = np.log(noise * unigram).astype(np.float32)
         self.cumulative = np.cumsum(unigram)
         self.tokens = 0
 
-    def move(self, which: int, rows, gradient: np.ndarray) -> None:
+    @property
+    def m(self) -> Parameters:
+        return Parameters(self.context, self.out[:, :-1].copy(), self.out[:, -1].copy(), self.first, self.second)
+
+    def move(self, array: np.ndarray, gradient: np.ndarray) -> None:
         """Uphill."""
-        square = self.square[which]
-        square[rows] += gradient * gradient
-        self.m.arrays()[which][rows] += self.rate * gradient / np.sqrt(square[rows])
+        square = self.square[id(array)]
+        square += gradient * gradient
+        array += gradient * (self.rate / np.sqrt(square))
 
     def step(self, before: np.ndarray, previous: np.ndarray, word: np.ndarray) -> None:
-        m = self.m
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(self.odds) - 1)
-        r1, r2 = m.context[previous], m.context[before]
-        guess = r1 @ m.first + r2 @ m.second
-        target, others = m.out[word], m.out[noise]
-        seen = (guess * target).sum(1) + m.bias[word] - self.odds[word]
-        drawn = guess @ others.T + (m.bias[noise] - self.odds[noise])
-        up = 1 / (1 + np.exp(np.clip(seen, -30, 30)))  # how far true words are from certainty
-        down = -1 / (1 + np.exp(-np.clip(drawn, -30, 30)))
-        d_guess = up[:, None] * target + down @ others
-        d_r1, d_r2 = d_guess @ m.first.T, d_guess @ m.second.T
+        r1, r2 = self.context.take(previous, 0), self.context.take(before, 0)
+        guess = np.ones((len(word), r1.shape[1] + 1), np.float32)
+        guess[:, :-1] = r1 @ self.first + r2 @ self.second
+        target, others = self.out.take(word, 0), self.out.take(noise, 0)
+        up = sigmoid(self.odds[word] - np.einsum("ij,ij->i", guess, target))  # how far true words are from certainty
+        down = -sigmoid(guess @ others.T - self.odds[noise])
+        target *= up[:, None]
+        target += down @ others
+        d_guess = np.ascontiguousarray(target[:, :-1])
         d_first, d_second = r1.T @ d_guess, r2.T @ d_guess
-        outs = row_sums(np.concatenate([word, noise]), np.concatenate([up[:, None] * guess, down.T @ guess]))
-        bias = row_sums(np.concatenate([word, noise]), np.concatenate([up, down.sum(0)]))
-        contexts = row_sums(np.concatenate([previous, before]), np.concatenate([d_r1, d_r2]))
-        self.move(0, contexts[0], contexts[1])
-        self.move(1, outs[0], outs[1])
-        self.move(2, bias[0], bias[1])
-        self.move(3, slice(None), d_first)
-        self.move(4, slice(None), d_second)
+        contexts = row_sums(len(self.context), (previous, d_guess @ self.first.T), (before, d_guess @ self.second.T))
+        outs = row_sums(len(self.out), (word, up[:, None] * guess), (noise, down.T @ guess))
+        self.move(self.context, contexts)
+        self.move(self.out, outs)
+        self.move(self.first, d_first)
+        self.move(self.second, d_second)
         self.tokens += len(word)
 
 
