@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,6 +28,8 @@ from .scratch import documents_of, materialize
 from .skew import skew_join
 
 BLOCK, PIVOTS, MOST_PIVOTS, STRIP = 4096, 32, 4096, 512
+#: Blocks of a panel; a task multiplies the blocks of two panels, so a block is sent once for a panel, not once for a block.
+PANEL = 4
 ENCODED = "vec_id long, dim int, cell int, digest binary, vector binary"
 QUANT = np.dtype([("id", "<i8"), ("many", "<i8"), ("scale", "<f8"), ("err", "<f8"), ("norm", "<f8")])
 
@@ -196,9 +198,10 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     encoded = materialize(encode(df, id_col, vector_col, centres), "encoded")
     classes = materialize(encoded.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
     reps = encoded.join(classes, (encoded.digest == classes.digest) & (encoded.vec_id == classes.rep)).drop(classes.digest).dropDuplicates(["vec_id", "digest"])
-    sizes = reps.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts"))
-    reps = reps.join(F.broadcast(sizes), ["dim", "cell"])  # one row per vector length and pivot
-    number = F.col("dim").cast("long") * F.lit(1 << 40) + F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    sizes = materialize(reps.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "cells")
+    sizes = sizes.withColumn("first", F.sum("parts").over(Window.orderBy("dim", "cell")) - F.col("parts"))  # one row per vector length and pivot
+    reps = reps.join(F.broadcast(sizes), ["dim", "cell"])
+    number = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("long")
     packed = materialize(blocks(reps.select("vec_id", "dim", "many", "vector", number.alias("block")), kind), "blocks")
 
     meta = packed.select("block", "dim", "centre", "radius")
@@ -208,19 +211,25 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     y = meta.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long")))).alias("y") if strips > 1 else meta.withColumn("strip", F.lit(0).cast("long")).alias("y")
     dot = F.aggregate(F.zip_with("x.centre", "y.centre", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     near = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))) <= F.col("x.radius") + F.col("y.radius") + F.lit(float(np.arccos(threshold)) + 1e-6)
-    pairs = x.join(y, (F.col("x.dim") == F.col("y.dim")) & (F.col("x.strip") == F.col("y.strip")) & (F.col("x.block") <= F.col("y.block")) & near).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, d, left, right in zip(*(batch[c] for c in ("i", "j", "dim", "left", "right")), strict=True):
-                ids, n, a, b = tile(left.as_py(), None if i.as_py() == j.as_py() else right.as_py(), d.as_py(), threshold, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.nulls(len(n), pa.int64())], names=["a", "n", "b"])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], names=["a", "n", "b"])
-
-    left = packed.select(F.col("block").alias("i"), "dim", F.col("data").alias("left"))
-    right = packed.select(F.col("block").alias("j"), F.col("data").alias("right"))
-    tiles = pairs.join(left, "i").join(right, "j").select("i", "j", "dim", "left", "right")
-    done = materialize(tiles.mapInArrow(task, "a long, n long, b long"), "tiles")
+    pairs = x.join(y, (F.col("x.dim") == F.col("y.dim")) & (F.col("x.strip") == F.col("y.strip")) & (F.col("x.block") <= F.col("y.block")) & near)
+    panel = lambda c: F.floor(F.col(c) / F.lit(PANEL)).cast("long")
+    pairs = materialize(pairs.select(panel("x.block").alias("p"), panel("y.block").alias("q"), F.col("x.block").alias("i"), F.col("y.block").alias("j")), "pairs")
+
+    def task(sides: pa.Table, tiles: pa.Table) -> pa.Table:
+        """All tiles between two panels: each block has been sent once, and is unpacked once more at most for each of its tiles."""
+        held = dict(zip(sides["block"].to_pylist(), zip(sides["dim"].to_pylist(), sides["data"], strict=True), strict=True))
+        out = []
+        for i, j in zip(tiles["i"].to_pylist(), tiles["j"].to_pylist(), strict=True):
+            (d, left), (_, right) = held[i], held[j]
+            ids, n, a, b = tile(left.as_py(), None if i == j else right.as_py(), d, threshold, kind)
+            out.append(pa.table({"a": np.concatenate([ids, a]), "n": pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(len(a), pa.int64())]), "b": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(b, pa.int64())])}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("a", "n", "b")})
+
+    sent = pairs.select("p", "q", F.col("i").alias("block")).union(pairs.select("p", "q", F.col("j").alias("block"))).distinct()
+    sent = sent.join(packed.select("block", "dim", "data"), "block")
+    met = pairs.select(F.col("p").alias("u"), F.col("q").alias("v"), "i", "j")
+    tiles = sent.groupBy("p", "q").cogroup(met.groupBy("u", "v")).applyInArrow(task, "a long, n long, b long")
+    done = materialize(tiles, "tiles")
     counts = done.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     groups = components(done.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     # by class first, so that a large class meets its result once

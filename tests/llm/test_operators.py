@@ -116,6 +116,31 @@ def test_exact_dedup_of_texts_that_share_a_digest(spark, monkeypatch):
     assert got == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True)]
 
 
+def test_embedding_dedup_of_two_lengths_with_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PANEL", 3)
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(700)]
+    vectors += [(1000 + i, [1.01 * x for x in vectors[i][1]]) for i in range(100)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {r[0]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_groups(df, block=2, pivots=600).collect()}
+    links, up = collections.Counter(), {i: i for i, _ in vectors}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors}
+    for size in (4, 5):
+        own = sorted(i for i, v in vectors if len(v) == size)
+        m = np.array([unit[i] for i in own])
+        near = m @ m.T >= 0.9
+        np.fill_diagonal(near, False)
+        low = np.arange(len(own))
+        while True:
+            new = np.minimum(low, np.where(near, low[None, :], len(own)).min(1))
+            if (new == low).all():
+                break
+            low = new
+        for k, i in enumerate(own):
+            links[i], up[i] = int(near[k].sum()), own[low[k]]
+    assert got == {i: (links[i], up[i]) for i, _ in vectors}
+
+
 @pytest.mark.parametrize("strip", [512, 2])
 def test_embedding_dedup(spark, monkeypatch, strip):
     monkeypatch.setattr(embedding_dedup, "STRIP", strip)
