@@ -37,23 +37,25 @@ def zero_unsampled(df: DataFrame, mask: DataFrame, keys: list[str], values: list
 
 
 def gate_centroids(df: DataFrame, value: str, gates: int, bins: int = 256, tail: float = 0.9, tolerance: float = 1.0) -> DataFrame:
-    """(gate, centroid, tolerance): centroids spaced from the upper to the lower histogram limit.
+    """(gate, centroid, tolerance): centroids spaced from the upper to the lower limit of a histogram of all bins, empty ones too.
 
-    A limit is the first bin from its end at which the mass beyond it is at most tail; everything after the histogram (of
-    bins rows) is over that many rows only.
+    The lower limit is the first bin such that it and all above hold at most tail of the rows, the upper the last such
+    that all below it do. If all values are equal there is one gate at that value, without tolerance (null); without
+    values there is none. Everything after the histogram is over `bins` rows.
     """
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    binned = df.crossJoin(F.broadcast(ends)).select(F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int").alias("bin"))  # one row
-    counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
-    up, down = Window.orderBy("bin"), Window.orderBy(F.desc("bin"))  # over at most `bins` rows
-    total = F.sum("n").over(Window.partitionBy())
-    shares = counts.select("bin", (F.sum("n").over(up) / total).alias("below"), (F.sum("n").over(down) / total).alias("above"))
-    limits = shares.agg(F.max(F.when(F.col("below") <= tail, F.col("bin"))).alias("top"), F.min(F.when(F.col("above") <= tail, F.col("bin"))).alias("bottom"))
     width = (F.col("hi") - F.col("lo")) / bins
-    limits = limits.crossJoin(ends).select((F.col("lo") + F.coalesce("top", F.lit(bins - 1)) * width).alias("top"), (F.col("lo") + F.coalesce("bottom", F.lit(0)) * width).alias("bottom"))
+    at = F.floor(F.try_divide(F.col(value) - F.col("lo"), width))
+    counts = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # ends: one row
+    dense = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    through, total = F.sum("n").over(Window.orderBy("bin")), F.sum("n").over(Window.partitionBy())  # over `bins` rows
+    shares = dense.select("bin", F.try_divide(through - F.col("n"), total).alias("below"), F.try_divide(total - through + F.col("n"), total).alias("from_here"))
+    limits = shares.agg(F.max(F.when(F.col("below") <= tail, F.col("bin"))).alias("top"), F.coalesce(F.min(F.when(F.col("from_here") <= tail, F.col("bin"))), F.lit(bins)).alias("bottom"))
+    limits = limits.crossJoin(ends).where("lo IS NOT NULL").select((F.col("lo") == F.col("hi")).alias("flat"), "lo", (F.col("lo") + F.col("top") * width).alias("top"), (F.col("lo") + F.col("bottom") * width).alias("bottom"))
     spacing = (F.col("top") - F.col("bottom")) / max(gates - 1, 1)
-    rows = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(gates - 1))).alias("gate"))
-    return rows.select("gate", (F.col("top") - F.col("gate") * spacing).alias("centroid"), (spacing * tolerance / 2).alias("tolerance"))
+    rows = limits.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("flat"), 0).otherwise(gates - 1))).alias("gate"))
+    centroid = F.when(F.col("flat"), F.col("lo")).otherwise(F.col("top") - F.col("gate") * spacing)
+    return rows.select("gate", centroid.alias("centroid"), F.when(~F.col("flat"), F.abs(spacing) * tolerance / 2).alias("tolerance"))
 
 
 def in_gates(df: DataFrame, gates: DataFrame, value: str, limit: int = 255) -> DataFrame:
@@ -83,6 +85,14 @@ def neighbours_2d(df: DataFrame, row: str, col: str, reach: int = 1, centre: boo
     return out.select(*df.columns, F.col("_s.dr").alias("dr"), F.col("_s.dc").alias("dc"))
 
 
+def dense_cells(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
+    """All cells from (0, 0) to the largest keys; absent ones are 0."""
+    ends = df.agg(F.max(row).alias("_r"), F.max(col).alias("_c"))  # one row
+    cells = ends.where("_r IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_r").cast("long"))).alias(row), "_c")
+    cells = cells.repartition(row).select(row, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c").cast("long"))).alias(col))
+    return cells.join(df.withColumns({k: F.col(k).cast("long") for k in (row, col)}), [row, col], "left").select(row, col, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
+
+
 def integral(df: DataFrame, row: str, col: str, value: str, by: list[str] | None = None) -> DataFrame:
     """Running sums over rows and columns from the first cell; df must be dense."""
     by = by or []

@@ -71,7 +71,8 @@ def fused(lam: float, lam2: float) -> Prox:
 
 
 def nonconvex(kind: str, lam: float, theta: float) -> Prox:
-    """Prox of capped, log, scad or mcp by the least objective over its stationary candidates."""
+    """Prox of capped, log, scad or mcp: the least objective over each piece's stationary point and ends."""
+    pieces = {"capped": [0.0, theta, np.inf], "log": [0.0, np.inf], "scad": [0.0, lam, theta * lam, np.inf], "mcp": [0.0, theta * lam, np.inf]}[kind]
 
     def value(a: np.ndarray) -> np.ndarray:
         if kind == "capped":
@@ -82,9 +83,25 @@ def nonconvex(kind: str, lam: float, theta: float) -> Prox:
             return np.where(a <= theta * lam, lam * a - a * a / (2 * theta), theta * lam * lam / 2)
         return np.where(a <= lam, lam * a, np.where(a <= theta * lam, (-a * a + 2 * theta * lam * a - lam * lam) / (2 * (theta - 1)), (theta + 1) * lam * lam / 2))
 
+    def stationary(piece: int, a: np.ndarray, step: float) -> list[np.ndarray]:
+        """Zeros of z - a + step·slope(z), the slope being that of one piece; concave ones may be maxima, which lose to the ends."""
+        t = step * lam
+        if kind == "log":  # (z - a)(z + theta) + t = 0
+            root = np.sqrt(np.maximum((a + theta) ** 2 - 4 * t, 0))
+            return [(a - theta + root) / 2, (a - theta - root) / 2]
+        if piece == len(pieces) - 2:  # the penalty is level there
+            return [a]
+        if piece == 0 and kind != "mcp":
+            return [a - t]
+        bend, push = (theta, 1.0) if kind == "mcp" else (theta - 1, theta / (theta - 1))  # slope: push·lam - z/bend
+        return [(a - push * t) / (1 - step / bend)] if step != bend else []
+
     def prox(x: np.ndarray, step: float) -> np.ndarray:
         a = np.abs(x)
-        grid = np.concatenate([np.zeros((1, len(a))), a[None], np.maximum(a - lam * step, 0)[None], np.full((1, len(a)), theta), np.linspace(0, 1, 201)[:, None] * a])
+        options = [np.full_like(a, end) for end in pieces[:-1]]
+        for i, (low, high) in enumerate(zip(pieces[:-1], pieces[1:], strict=True)):
+            options += [np.clip(z, low, high) for z in stationary(i, a, step)]
+        grid = np.stack(options)
         cost = (grid - a) ** 2 / 2 + step * value(grid)
         return np.sign(x) * grid[cost.argmin(0), np.arange(len(a))]
 
@@ -144,62 +161,6 @@ def multitask(df: DataFrame, features: list[str], target: str, task: str, lam: f
     return {k: x[:, i] for i, k in enumerate(names)}
 
 
-def gradient(df: DataFrame, columns: list[str], loss: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]], w: np.ndarray) -> tuple[float, np.ndarray]:
-    """(loss, gradient) over all rows; columns: features, then the label. One partial row per task."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, grad = 0.0, np.zeros(len(w))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            v, g = loss(x[:, :-1], x[:, -1], w)
-            value, grad = value + v, grad + g
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + 1), pa.int32()), pa.array(np.concatenate([[value], grad]))], names=["at", "v"])
-
-    rows = df.select(*columns).mapInArrow(task, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # one row per weight
-    out = np.zeros(len(w) + 1)
-    for r in rows:
-        out[r["at"]] = r["v"]
-    return out[0], out[1:]
-
-
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Labels ±1; the last weight is the intercept."""
-    m = y * (x @ w[:-1] + w[-1])
-    p = -y / (1 + np.exp(np.clip(m, -500, 500)))
-    return float(np.logaddexp(0, -m).sum()), np.append(x.T @ p, p.sum())
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-    gap = np.maximum(1 - y * (x @ w[:-1] + w[-1]), 0)
-    p = -2 * y * gap
-    return float((gap * gap).sum()), np.append(x.T @ p, p.sum())
-
-
-def fit(df: DataFrame, columns: list[str], loss, lam: float, prox: Prox | None = None, ridge: float = 0.0, steps: int = 40) -> tuple[np.ndarray, list[float]]:
-    """Mean loss + penalty by proximal gradient with back-tracking; (weights, objectives). The intercept is free."""
-    n = max(df.count(), 1)
-    prox = prox or (lambda x, s: shrink(x, lam * s))
-    w, step, history = np.zeros(len(columns)), 1.0, []
-    value, grad = gradient(df, columns, loss, w)
-    value, grad = value / n, grad / n
-    for _ in range(steps):
-        while True:
-            new = w - step * (grad + np.append(ridge * w[:-1], 0))
-            new = np.append(prox(new[:-1], step), new[-1])
-            after, after_grad = gradient(df, columns, loss, new)
-            after, after_grad = after / n, after_grad / n
-            d = new - w
-            if after <= value + grad @ d + d @ d / (2 * step) + 1e-12 or step < 1e-8:
-                break
-            step /= 2
-        w, value, grad = new, after, after_grad
-        history.append(value + lam * float(np.abs(w[:-1]).sum()) + ridge / 2 * float(w[:-1] @ w[:-1]))
-        step *= 1.5
-        if np.abs(d).max() < 1e-7:
-            break
-    return w, history
-
-
 def sparse_precision(cov: np.ndarray, lam: float, rounds: int = 200) -> np.ndarray:
     """Graphical lasso: block coordinate descent on the covariance."""
     p = len(cov)
@@ -221,8 +182,8 @@ def sparse_precision(cov: np.ndarray, lam: float, rounds: int = 200) -> np.ndarr
     return (out + out.T) / 2
 
 
-#: Loss of a row by its margin f and label y: (value, slope, curvature). hinge and l1 are rounded off over a width; their
-#: curvature is that of a parabola over the loss which touches it at f, as the second derivative is 0 almost everywhere.
+#: Loss of a row by its margin f and label y: (value, slope, curvature). hinge and l1 are rounded off over a width; to their
+#: curvature, which is 0 for most rows, a twentieth of that of a parabola over the loss which touches it at f is added.
 LOSSES: dict[str, Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
 
@@ -255,13 +216,13 @@ def _(f, y, _):
 def _(f, y, width):
     gap = 1 - y * f
     value = np.where(gap <= 0, 0, np.where(gap < width, gap * gap / (2 * width), gap - width / 2))
-    return value, -y * np.clip(gap / width, 0, 1), 1 / np.maximum(2 * np.abs(gap), width)
+    return value, -y * np.clip(gap / width, 0, 1), ((gap > 0) & (gap < width)) / width + 0.05 / np.maximum(2 * np.abs(gap), width)
 
 
 @_loss("l1")
 def _(f, y, width):
     r = f - y
-    return np.where(np.abs(r) < width, r * r / (2 * width), np.abs(r) - width / 2), np.clip(r / width, -1, 1), 1 / np.maximum(np.abs(r), width)
+    return np.where(np.abs(r) < width, r * r / (2 * width), np.abs(r) - width / 2), np.clip(r / width, -1, 1), (np.abs(r) < width) / width + 0.05 / np.maximum(np.abs(r), width)
 
 
 def partial_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, own: np.ndarray, w: np.ndarray, loss: str, mode: str, width: float) -> np.ndarray:
@@ -312,7 +273,8 @@ def newton_fit(df: DataFrame, features: list[str], target: str, loss: str = "log
 
     A step reads the table once; its penalised quadratic is solved on the driver, over as many numbers as there are weights.
     prox and penalty take the weights of all blocks in a row, without intercepts, which are free. hinge and l1 are rounded
-    off less and less; their objective is that of the last width, at most half of it below the true one.
+    off less and less; their objective is that of the last width, at most half of it below the true one. Raises if steps
+    don't settle a width.
     """
     p = len(features) + 1
     w = np.zeros((blocks, p)) if start is None else start.copy()
@@ -350,13 +312,17 @@ def newton_fit(df: DataFrame, features: list[str], target: str, loss: str = "log
                 at = w + share * d
                 value, g, h, _ = second_order(df, features, target, loss, at, mode, weight, width)
                 after = objective(value, total, at)
-                if after <= now + 1e-12 or share < 1e-3:
+                if after <= now + 1e-12 or share < 1e-6:
                     break
                 share /= 2
+            if after > now + 1e-12:
+                break  # no step along this line is better: rounding is all that is left
             moved, w, gain, now = np.abs(share * d).max(), at, now - after, after
             history.append(now)
             if moved < 1e-7 or abs(gain) < 1e-11 * max(1.0, abs(now)):
                 break
+        else:
+            raise RuntimeError(f"{loss}: not settled after {steps} steps at width {width}; objective {now}")
     return w, history
 
 

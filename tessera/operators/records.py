@@ -48,13 +48,24 @@ def trim_trailing_zeros(df: DataFrame, series: str, order: str, value: str) -> D
     return df.withColumn("_last", last).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
+def _picked(row: Column, n: int, total: int) -> Column:
+    """Whether row (from 1) is one of n uniform picks: pick i (from 0) is 1 + i(total - 1)/(n - 1), rounded half up, in whole numbers."""
+    if n == 1:
+        return row == total
+    steps, span = n - 1, total - 1
+    near = F.floor((row - 1) * F.lit(steps) / F.lit(max(span, 1))).cast("long")
+    hits = [((i >= 0) & (i <= steps) & (F.floor((i * F.lit(2 * span) + F.lit(steps)) / F.lit(2 * steps)) + 1 == row)) for i in (near - 1, near, near + 1, near + 2)]
+    return hits[0] | hits[1] | hits[2] | hits[3]
+
+
 def subset(df: DataFrame, how: str, n: float, order: list[str], place: list[str] | None = None) -> DataFrame:
     """n rows: first, last, uniform, largest or smallest by a total order; in that order, or by place (the rows' own order).
 
-    n below 1 is a share of the rows, rounded up.
+    n below 1 is a share of the rows, rounded half up. Uniform picks are 1 to the number of rows in n - 1 equal steps, rounded
+    half up; a single pick is the last row.
     """
     if 0 < n < 1:
-        n = math.ceil(df.count() * n)
+        n = math.floor(df.count() * n + 0.5)
     n = int(n)
     if how in ("first", "smallest"):
         out = df.orderBy(*order).limit(n)
@@ -64,10 +75,8 @@ def subset(df: DataFrame, how: str, n: float, order: list[str], place: list[str]
         total = df.count()
         if not total or n <= 0:
             return df.limit(0)
-        picks = {round(1 + i * (total - 1) / max(n - 1, 1)) for i in range(min(n, total))}
         numbered = global_row_number(df, [F.col(c) for c in order], "_row")
-        wanted = df.sparkSession.createDataFrame([(p,) for p in sorted(picks)], "_pick long")  # at most n rows
-        out = numbered.join(F.broadcast(wanted), F.col("_row") == F.col("_pick"), "left_semi").drop("_row")
+        out = numbered.where(_picked(F.col("_row"), min(n, total), total)).drop("_row")
     else:
         raise ValueError(how)
     return out.orderBy(*(place or order))

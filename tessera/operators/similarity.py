@@ -132,12 +132,11 @@ def kendall(joint: DataFrame) -> DataFrame:
 
 
 def zero_crossings(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """Sign changes of a - b along the key (zca), and their share (zcr); exact across partitions."""
-    from tessera.plans.prefix import global_row_number
-
-    numbered = global_row_number(pairs.select(key, (F.col(a) - F.col(b)).alias("d")), [F.asc(key)], "i")
-    joined = numbered.alias("x").join(numbered.select((F.col("i") + 1).alias("i"), F.col("d").alias("e")), "i")
-    return joined.agg(F.count_if(F.col("d") * F.col("e") < 0).alias("zca"), (F.count_if(F.col("d") * F.col("e") < 0) / F.count("*")).alias("zcr"))
+    """Sign changes of a - b along the key (zca), and their number by that of the rows (zcr); exact across partitions."""
+    numbered = materialize(global_row_number(pairs.select(key, (F.col(a) - F.col(b)).alias("d")), [F.asc(key)], "i"), "numbered")
+    joined = numbered.alias("x").join(numbered.select((F.col("i") + 1).alias("i"), F.col("d").alias("e")), "i", "left")
+    crossed = F.count_if(F.col("d") * F.col("e") < 0)
+    return joined.agg(crossed.alias("zca"), F.try_divide(crossed, F.count("*")).alias("zcr"))
 
 
 def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", levels: int = 255, size: int = 11, sigma: float = 1.5) -> DataFrame:
@@ -159,18 +158,49 @@ def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", level
     return m.agg(F.avg(value).alias("mssim"), F.count("*").alias("windows"))
 
 
-def gradient_entropy(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Entropy of the share of each cell in the Sobel gradient magnitude, one row; borders take absent neighbours as 0."""
+def edges(image: DataFrame, value: str) -> DataFrame:
+    """(row, col) of the edge cells of a dense image (row, col from 0, value): Sobel gradients with replicated borders, whose
+    square is above four times its mean and which is the largest along the axis of the larger component (rising to it or
+    level on the side of smaller keys, falling on the other)."""
     from tessera.operators.grid import neighbours_2d
 
-    near = neighbours_2d(df.select(row, col, value), row, col)
-    v = F.col(value)
-    gx = F.sum(-F.col("dc") * (F.lit(2) - F.abs("dr")) * v)
-    gy = F.sum(-F.col("dr") * (F.lit(2) - F.abs("dc")) * v)
-    g = near.groupBy(row, col).agg(gx.alias("gx"), gy.alias("gy")).join(df.select(row, col), [row, col], "left_semi").withColumn("g", F.hypot("gx", "gy")).where("g > 0")
-    total = g.agg(F.sum("g").alias("_t"))  # one row
-    p = F.col("g") / F.col("_t")
-    return g.crossJoin(F.broadcast(total)).agg((-F.sum(p * F.log2(p))).alias("gre"))
+    ends = image.agg(F.max("row").alias("_r"), F.max("col").alias("_c"))  # one row
+    sides = image.crossJoin(F.broadcast(ends))
+    # each border cell also stands in the frame outside, so that every cell has nine neighbours
+    out = F.array(F.lit(0), F.when(F.col("row") == 0, -1), F.when(F.col("row") == F.col("_r"), 1)), F.array(F.lit(0), F.when(F.col("col") == 0, -1), F.when(F.col("col") == F.col("_c"), 1))
+    framed = sides.withColumn("_i", F.explode(out[0])).withColumn("_j", F.explode(out[1])).where("_i IS NOT NULL AND _j IS NOT NULL")
+    framed = framed.select((F.col("row") + F.col("_i")).alias("row"), (F.col("col") + F.col("_j")).alias("col"), F.col(value).alias("v"))
+    near = neighbours_2d(framed, "row", "col")
+    gx = F.sum(F.col("dc") * (F.lit(2) - F.abs("dr")) * F.col("v")) / 8
+    gy = F.sum(F.col("dr") * (F.lit(2) - F.abs("dc")) * F.col("v")) / 8
+    g = near.groupBy("row", "col").agg(F.abs(gx).alias("gx"), F.abs(gy).alias("gy")).join(image.select("row", "col"), ["row", "col"], "left_semi")
+    g = materialize(g.withColumn("g", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "gradients")
+    cut = g.agg((4 * F.avg("g")).alias("cut"))  # one row
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, -1), (0, 1), (-1, 0), (1, 0))))
+    sent = g.select("row", "col", "g", F.explode(steps).alias("s")).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "s", "g")
+    side = {n: F.max(F.when((F.col("s.i") == i) & (F.col("s.j") == j), F.col("g"))).alias(n) for n, i, j in (("left", 0, 1), ("right", 0, -1), ("up", 1, 0), ("down", -1, 0))}
+    around = sent.groupBy("row", "col").agg(*side.values())
+    met = g.join(around, ["row", "col"], "left").crossJoin(F.broadcast(cut)).withColumns({n: F.coalesce(n, "g") for n in side})
+    slack = 2.220446049250313e-14
+    peak = ((F.col("gx") >= F.col("gy") - slack) & (F.col("left") <= F.col("g")) & (F.col("g") > F.col("right"))) | ((F.col("gy") >= F.col("gx") - slack) & (F.col("up") <= F.col("g")) & (F.col("g") > F.col("down")))
+    return met.where((F.col("g") > F.col("cut")) & peak).select("row", "col")
+
+
+def gradient_entropy(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Half the entropies of both images' edges by the entropy of their absolute difference's edges, one row (gre).
+
+    The images are dense from 0 to their largest keys, absent cells being 0. Edge cells share their mass evenly, so an
+    entropy is the binary logarithm of their number. Null if the difference has fewer than two edge cells.
+    """
+    from tessera.operators.grid import dense_cells
+
+    dense = materialize(dense_cells(pairs.select(F.col(row).alias("row"), F.col(col).alias("col"), F.col(a).alias("a"), F.col(b).alias("b")), "row", "col", ["a", "b"]), "image")
+    images = {"ha": F.col("a"), "hb": F.col("b"), "hab": F.abs(F.col("a") - F.col("b"))}
+    one = None
+    for name, image in images.items():
+        h = edges(dense.select("row", "col", image.alias("v")), "v").agg(F.log2(F.count("*").cast("double")).alias(name))
+        one = h if one is None else one.crossJoin(h)  # single rows
+    return one.select(F.try_divide(F.lit(0.5) * (F.coalesce("ha", F.lit(0.0)) + F.coalesce("hb", F.lit(0.0))), F.col("hab")).alias("gre"))
 
 
 def cropped_psnr(pairs: DataFrame, row: str, col: str, border: int, a: str = "a", b: str = "b", peak: float = 255.0, by: list[str] | None = None) -> DataFrame:
@@ -181,14 +211,34 @@ def cropped_psnr(pairs: DataFrame, row: str, col: str, border: int, a: str = "a"
     return inner.groupBy(*(by or [])).agg((10 * F.log10(F.lit(peak * peak) / F.avg(d * d))).alias("csnr"))
 
 
-def besov(df: DataFrame, key: str, value: str, levels: int = 3, beta: float = 4 / 9) -> DataFrame:
-    """Besov norm (p = 1) of rows in key order (0, 1, ...): Haar details of each level, weighed by 2^(beta · level), one row."""
-    low, parts = df.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v")), None
+def besov(df: DataFrame, axes: list[str], value: str, levels: int = 3, p: float = 1.0, beta: float = 4 / 9, gamma: float = 4.0) -> DataFrame:
+    """Besov norm of a 1-, 2- or 3-D image (keys from 0, absent cells 0), one row.
+
+    Each level halves every axis by the Haar wavelet; all its detail coefficients d give s = (sum of |d|^beta)^(1/beta), the
+    last level's approximation counts as one level more; the norm is the gamma-norm of 2^(-level(p + 1/2 - 1/beta)) s.
+    """
+    low = df.select(*(F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(axes)), F.col(value).cast("double").alias("v"))
+    keys, bands = [f"k{i}" for i in range(len(axes))], range(1 << len(axes))
+    scale = 2.0 ** (-len(axes) / 2)
+
+    def sign(band: int):
+        out = F.lit(scale)
+        for i, k in enumerate(keys):
+            if band >> i & 1:
+                out = out * (1 - 2 * (F.col(k) % 2))
+        return out
+
+    def part(level: int, mass):
+        return (F.pow(F.coalesce(mass, F.lit(0.0)), F.lit(1 / beta)) * 2.0 ** (-level * (p + 0.5 - 1 / beta))).alias("s")
+
+    parts = []
     for level in range(1, levels + 1):
-        pair = F.floor(F.col("k") / 2)
-        odd = F.col("k") % 2 == 1
-        halves = low.groupBy(pair.alias("k")).agg(F.sum(F.when(odd, 0.0).otherwise(F.col("v"))).alias("x"), F.sum(F.when(odd, F.col("v")).otherwise(0.0)).alias("y"))
-        detail = halves.agg((F.lit(2.0 ** (beta * level)) * F.sum(F.abs(F.col("x") - F.col("y")) / F.sqrt(F.lit(2.0)))).alias("b"))
-        parts = detail if parts is None else parts.unionByName(detail)
-        low = halves.select("k", ((F.col("x") + F.col("y")) / F.sqrt(F.lit(2.0))).alias("v"))
-    return parts.unionByName(low.agg(F.sum(F.abs("v")).alias("b"))).agg(F.sum("b").alias("besov"))
+        halves = low.groupBy(*(F.shiftright(k, 1).alias(k) for k in keys)).agg(*(F.sum(sign(band) * F.col("v")).alias(f"d{band}") for band in bands))
+        halves = materialize(halves, "level")
+        parts.append(halves.agg(part(level, F.sum(sum((F.pow(F.abs(f"d{band}"), F.lit(beta)) for band in bands if band), F.lit(0.0))))))
+        low = halves.select(*keys, F.col("d0").alias("v"))
+    parts.append(low.agg(part(levels + 1, F.sum(F.pow(F.abs("v"), F.lit(beta))))))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.agg(F.pow(F.sum(F.pow("s", F.lit(gamma))), F.lit(1 / gamma)).alias("besov"))

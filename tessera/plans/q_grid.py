@@ -219,10 +219,11 @@ def _(t):
 
 
 CENTROIDS = """ends AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
-h AS (SELECT least(floor((value - lo) / (hi - lo) * 256), 255)::INT AS bin, count(*) AS n FROM events, ends GROUP BY 1),
-s AS (SELECT bin, sum(n) OVER (ORDER BY bin) / (SELECT sum(n) FROM h) AS below, sum(n) OVER (ORDER BY bin DESC) / (SELECT sum(n) FROM h) AS above FROM h),
-lim AS (SELECT lo + coalesce(max(CASE WHEN below <= 0.9 THEN bin END), 255) * (hi - lo) / 256 AS top, lo + coalesce(min(CASE WHEN above <= 0.9 THEN bin END), 0) * (hi - lo) / 256 AS bottom FROM s, ends GROUP BY lo, hi),
-gates AS (SELECT gate, top - gate * (top - bottom) / 3 AS centroid, (top - bottom) / 3 / 2 AS tolerance FROM lim, range(4) g(gate))"""
+b AS (SELECT least(floor((value - lo) / ((hi - lo) / 256)), 255)::INT AS bin, count(*) AS n FROM events, ends GROUP BY 1),
+h AS (SELECT i AS bin, coalesce(n, 0) AS n FROM range(256) r(i) LEFT JOIN b ON b.bin = i),
+lim AS (SELECT lo + (hi - lo) / 256 * (SELECT max(u.bin) FROM h u WHERE (SELECT coalesce(sum(n), 0) FROM h x WHERE x.bin < u.bin) <= 0.9 * (SELECT sum(n) FROM h)) AS top,
+  lo + (hi - lo) / 256 * (SELECT min(u.bin) FROM h u WHERE (SELECT sum(n) FROM h x WHERE x.bin >= u.bin) <= 0.9 * (SELECT sum(n) FROM h)) AS bottom FROM ends),
+gates AS (SELECT gate, top - gate * (top - bottom) / 3 AS centroid, abs(top - bottom) / 3 / 2 AS tolerance FROM lim, range(4) g(gate))"""
 
 
 @query("a18_gate_centroids", f"WITH {CENTROIDS} SELECT gate, round(centroid, 6) AS centroid, round(tolerance, 6) AS tolerance FROM gates")

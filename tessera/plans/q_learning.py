@@ -77,8 +77,9 @@ def _(t):
     from tessera.plans.scratch import materialize
 
     rows = materialize(quality_rows(t), "rows")
-    w, history = L.fit(rows, ["size", "en", "place", "label"], L.logistic, 0.01, steps=15)
-    return t.spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(["size", "en", "place", "intercept", "objective"], [*w, history[-1]], strict=True)], "name string, value double")
+    prox, penalty = L.lasso_penalty(0.01)
+    w, history = L.newton_fit(rows, ["size", "en", "place"], "label", "logistic", prox, penalty)
+    return t.spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(["size", "en", "place", "intercept", "objective"], [*w[0], history[-1]], strict=True)], "name string, value double")
 
 
 @query("l7_linear_svm")
@@ -87,8 +88,8 @@ def _(t):
 
     n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
     rows = materialize(t.embeddings.select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("y")), "rows")
-    w, history = L.fit(rows, [*(f"x{i}" for i in range(n)), "y"], L.squared_hinge, 0.0, prox=lambda x, s: x, ridge=0.1, steps=12)
-    return t.spark.createDataFrame([(f"w{i}", round(float(v), 4)) for i, v in enumerate(w)] + [("objective", round(float(history[-1]), 5))], "name string, value double")
+    w, history = L.newton_fit(rows, [f"x{i}" for i in range(n)], "y", "hinge2", ridge=0.1)
+    return t.spark.createDataFrame([(f"w{i}", round(float(v), 4)) for i, v in enumerate(w[0])] + [("objective", round(float(history[-1]), 5))], "name string, value double")
 
 
 @query("l15_sparse_precision")

@@ -63,7 +63,7 @@ def _(t):
 def _(t):
     """The best of three starts."""
     v = vectors(t)
-    centres, _ = V.kmeans_repeated(v, "vector", "id", 5, 5, 3)
+    centres, _ = V.kmeans_repeated(v, "vector", "id", 10, 8, 3)
     return V.assign(v, "vector", centres).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
@@ -118,7 +118,7 @@ def _(t):
     return C.pr(scores(t), "label", "score", "doc_id", prior=0.3).select("rank", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
-@query("k1_subset_share", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT (SELECT ceil(count(*) * 0.01)::BIGINT FROM orders)")
+@query("k1_subset_share", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT (SELECT floor(count(*) * 0.01 + 0.5)::BIGINT FROM orders)")
 def _(t):
     """The dearest hundredth of the orders, in the order of their keys."""
     return R.subset(t.orders.select("o_orderkey", "o_totalprice"), "largest", 0.01, ["o_totalprice", "o_orderkey"], place=["o_orderkey"])

@@ -151,7 +151,7 @@ for how, text in (("smallest", ""), ("largest", "DESC")):
         return R.subset(t.orders.select("o_orderkey", "o_totalprice"), how, 25, ["o_totalprice", "o_orderkey"])
 
 
-@query("k1_subset_uniform", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM r WHERE i IN (SELECT round_even(1 + k * (n - 1) / 24.0, 0)::BIGINT FROM range(25) g(k), (SELECT max(n) AS n FROM r))")
+@query("k1_subset_uniform", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM r WHERE i IN (SELECT floor(1 + k * (n - 1) / 24.0 + 0.5)::BIGINT FROM range(25) g(k), (SELECT max(n) AS n FROM r))")
 def _(t):
     return R.subset(t.orders.select("o_orderkey"), "uniform", 25, ["o_orderkey"])
 

@@ -80,7 +80,7 @@ def _(t):
     return M.kendall(joint(t)).select(F.round("ket", 8).alias("ket"))
 
 
-@query("m18_zero_crossings", f"WITH {PAIRS}, d AS (SELECT (a - b) * lag(a - b) OVER (ORDER BY line * 64 + part) AS s FROM p) SELECT count(*) FILTER (s < 0) AS zca, round(count(*) FILTER (s < 0) / count(s), 6) AS zcr FROM d")
+@query("m18_zero_crossings", f"WITH {PAIRS}, d AS (SELECT (a - b) * lag(a - b) OVER (ORDER BY line * 64 + part) AS s FROM p) SELECT count(*) FILTER (s < 0) AS zca, round(count(*) FILTER (s < 0) / count(*), 6) AS zcr FROM d")
 def _(t):
     return M.zero_crossings(pairs(t).withColumn("key", F.col("line") * 64 + F.col("part")), "key").select("zca", F.round("zcr", 6).alias("zcr"))
 
@@ -90,9 +90,19 @@ def _(t):
     return M.ssim(pairs(t), "line", "part").select(F.round("mssim", 6).alias("mssim"), "windows")
 
 
-@query("m7_gradient_entropy", f"WITH raw AS ({RAW}), g AS (SELECT x.line, x.part, sum(-(x.part - y.part) * (2 - abs(x.line - y.line)) * y.a) AS gx, sum(-(x.line - y.line) * (2 - abs(x.part - y.part)) * y.a) AS gy FROM raw x JOIN raw y ON abs(x.line - y.line) <= 1 AND abs(x.part - y.part) <= 1 AND (x.line <> y.line OR x.part <> y.part) GROUP BY ALL), h AS (SELECT sqrt(gx * gx + gy * gy) AS v FROM g WHERE gx <> 0 OR gy <> 0) SELECT round(-sum(v / s * log2(v / s)), 6) AS gre FROM h, (SELECT sum(v) AS s FROM h)")
+def edge_cells(name: str, v: str) -> str:
+    """SQL of an image's edge cells: nine neighbours by clamped keys, gradient, threshold, peak along the steeper axis."""
+    return f"""{name}_g AS (SELECT c.line, c.part, abs(sum(j * (2 - abs(i)) * {v.format('n.')}) / 8) AS gx, abs(sum(i * (2 - abs(j)) * {v.format('n.')}) / 8) AS gy
+  FROM p c, range(-1, 2) y(i), range(-1, 2) x(j) JOIN p n ON n.line = greatest(0, least(63, c.line + i)) AND n.part = greatest(0, least(63, c.part + j)) GROUP BY ALL),
+{name}_s AS (SELECT *, gx * gx + gy * gy AS g FROM {name}_g),
+{name}_n AS (SELECT *, coalesce(lag(g) OVER l, g) AS w, coalesce(lead(g) OVER l, g) AS e, coalesce(lag(g) OVER u, g) AS n, coalesce(lead(g) OVER u, g) AS s FROM {name}_s
+  WINDOW l AS (PARTITION BY line ORDER BY part), u AS (PARTITION BY part ORDER BY line)),
+{name}_h AS (SELECT log2(count(*)) AS h FROM {name}_n WHERE g > 4 * (SELECT avg(g) FROM {name}_s) AND ((gx >= gy - 2.220446049250313e-14 AND w <= g AND g > e) OR (gy >= gx - 2.220446049250313e-14 AND n <= g AND g > s)))"""
+
+
+@query("m7_gradient_entropy", f"WITH {PAIRS}, {edge_cells('a', '{}a')}, {edge_cells('b', '{}b')}, {edge_cells('d', 'abs({0}a - {0}b)')} SELECT round(0.5 * (a_h.h + b_h.h) / d_h.h, 6) AS gre FROM a_h, b_h, d_h")
 def _(t):
-    return M.gradient_entropy(raw(t), "line", "part", "a").select(F.round("gre", 6).alias("gre"))
+    return M.gradient_entropy(pairs(t), "line", "part").select(F.round("gre", 6).alias("gre"))
 
 
 @query("m29_cropped_psnr", f"WITH {PAIRS}, q AS (SELECT *, part % 3 AS channel FROM p), f AS (SELECT min(line) + 4 AS r0, max(line) - 4 AS r1, min(part) + 4 AS c0, max(part) - 4 AS c1 FROM p) SELECT channel, round(10 * log10(65025 / avg((a - b) * (a - b))), 5) AS csnr FROM q, f WHERE line BETWEEN r0 AND r1 AND part BETWEEN c0 AND c1 GROUP BY 1")
@@ -100,6 +110,19 @@ def _(t):
     return M.cropped_psnr(pairs(t).withColumn("channel", F.col("part") % 3), "line", "part", 4, by=["channel"]).withColumn("csnr", F.round("csnr", 5))
 
 
-@query("m27_besov", f"WITH raw AS ({RAW}), l0 AS (SELECT line * 64 + part AS k, a AS v FROM raw), h1 AS (SELECT k // 2 AS k, sum(CASE WHEN k % 2 = 0 THEN v ELSE 0 END) AS x, sum(CASE WHEN k % 2 = 1 THEN v ELSE 0 END) AS y FROM l0 GROUP BY 1), h2 AS (SELECT k // 2 AS k, sum(CASE WHEN k % 2 = 0 THEN (x + y) / sqrt(2) ELSE 0 END) AS x, sum(CASE WHEN k % 2 = 1 THEN (x + y) / sqrt(2) ELSE 0 END) AS y FROM h1 GROUP BY 1) SELECT round((SELECT pow(2, 4 / 9.0) * sum(abs(x - y)) / sqrt(2) FROM h1) + (SELECT pow(2, 8 / 9.0) * sum(abs(x - y)) / sqrt(2) FROM h2) + (SELECT sum(abs(x + y)) / sqrt(2) FROM h2), 4) AS besov")
+def haar_levels(levels: int) -> str:
+    out = ["w0 AS (SELECT line AS r, part AS c, a AS v FROM p)"]
+    for j in range(1, levels + 1):
+        out.append(f"w{j}_ AS (SELECT r // 2 AS r, c // 2 AS c, " + ", ".join(f"sum(v * {s} / 2) AS {n}" for n, s in (("v", "1"), ("h", "(1 - 2 * (r % 2))"), ("x", "(1 - 2 * (c % 2))"), ("d", "(1 - 2 * (r % 2)) * (1 - 2 * (c % 2))")) ) + f" FROM w{j - 1} GROUP BY ALL)")
+        out.append(f"w{j} AS (SELECT r, c, v FROM w{j}_)")
+    return ", ".join(out)
+
+
+WEIGHT = "pow(2, -{0} * (1 + 0.5 - 2.25))"
+BESOV = " + ".join([f"pow({WEIGHT.format(j)} * (SELECT pow(sum(pow(abs(h), 4 / 9.0) + pow(abs(x), 4 / 9.0) + pow(abs(d), 4 / 9.0)), 2.25) FROM w{j}_), 4)" for j in (1, 2, 3)] + [f"pow({WEIGHT.format(4)} * (SELECT pow(sum(pow(abs(v), 4 / 9.0)), 2.25) FROM w3), 4)"])
+
+
+@query("m27_besov", f"WITH {PAIRS}, {haar_levels(3)} SELECT round(log10(pow({BESOV}, 0.25)), 6) AS log_besov")
 def _(t):
-    return M.besov(raw(t).withColumn("key", F.col("line") * 64 + F.col("part")), "key", "a", levels=2).withColumn("besov", F.round("besov", 4))
+    """As a logarithm: the norm itself has ten digits before the point."""
+    return M.besov(pairs(t), ["line", "part"], "a").select(F.round(F.log10("besov"), 6).alias("log_besov"))
