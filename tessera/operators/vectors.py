@@ -99,39 +99,6 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", vec
     return best.select("a", F.posexplode("best").alias("rank", "r")).select("a", "r.b", "r.distance", (F.col("rank") + 1).alias("rank"))
 
 
-def bucket_blocks(df: DataFrame, key: str, vector: str, hashes: str, size: int) -> DataFrame:
-    """(at, bucket, block, keys, vectors): the rows of each hash bucket, whole, in blocks of about size rows; hashes is an array with one bucket for each table."""
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.posexplode(hashes).alias("at", "bucket"))
-    sizes = rows.groupBy("at", "bucket").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = rows.join(sizes, ["at", "bucket"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    return dealt.groupBy("at", "bucket", "block").agg(F.collect_list(F.struct("k", "v")).alias("rows"), F.first("blocks").alias("blocks")).select("at", "bucket", "block", "blocks", F.col("rows.k").alias("keys"), F.col("rows.v").alias("vectors"))
-
-
-def nearest_in_buckets(queries: DataFrame, data: DataFrame, k: int, hashes: str = "hashes", vector: str = "vector", size: int = BLOCK) -> DataFrame:
-    """(a, b, distance, rank): the k nearest (squared L2) of each query among the rows that share a hash bucket with it in any table.
-
-    Buckets are read whole, block by block, and each pair of blocks keeps its k best; queries that find fewer than k rows are compared with all.
-    """
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ka, va, kb, vb in zip(*(batch[c].to_pylist() for c in ("keys_a", "vectors_a", "keys_b", "vectors_b")), strict=True):
-                yield k_best(ka, va, kb, vb, k)
-
-    queries, data = (df.where(F.col(vector).isNotNull()) for df in (queries, data))
-    own = bucket_blocks(data, "id", vector, hashes, size).select("at", "bucket", "block", F.col("keys").alias("keys_b"), F.col("vectors").alias("vectors_b"))
-    blocks_of = own.groupBy("at", "bucket").agg(F.max("block").alias("last"))
-    asking = bucket_blocks(queries, "id", vector, hashes, size).select("at", "bucket", F.col("keys").alias("keys_a"), F.col("vectors").alias("vectors_a"))
-    sent = asking.join(blocks_of, ["at", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-    pairs = sent.join(own, ["at", "bucket", "block"]).select("keys_a", "vectors_a", "keys_b", "vectors_b").mapInArrow(task, "a long, b long, distance double")
-    once = pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))  # a pair may meet in several tables
-    best = once.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "b", "distance"))), 1, k).alias("best"))  # k rows for each block of a bucket
-    found = materialize(best, "found")
-    short = queries.join(found.where(F.size("best") == k).select(F.col("a").alias("id")), "id", "left_anti")
-    rows = found.where(F.size("best") == k).select("a", F.posexplode("best").alias("rank", "r")).select("a", "r.b", "r.distance", (F.col("rank") + 1).alias("rank"))
-    return rows if short.isEmpty() else rows.unionByName(nearest(short, data, k, vector=vector))
-
-
 def ratio_match(queries: DataFrame, data: DataFrame, ratio: float = 1.5, vector: str = "vector") -> DataFrame:
     """(a, b, distance) where the nearest is closer than every other by ratio."""
     two = nearest(queries, data, 2, vector=vector).groupBy("a").agg(F.min_by("b", "rank").alias("b"), F.min("distance").alias("distance"), F.max("distance").alias("second"), F.count("*").alias("n"))
