@@ -88,9 +88,9 @@ class Trainer:
 
     def __init__(self, model: Parameters, unigram: np.ndarray, rate: float, noise: int, seed: int) -> None:
         m = model
-        self.context, self.first, self.second = m.context.copy(), m.first.copy(), m.second.copy()
+        self.context, self.turn = m.context.copy(), np.vstack([m.first, m.second])
         self.out = np.column_stack([m.out, m.bias])  # the bias is the weight of a constant
-        self.square = {id(a): np.ones_like(a) for a in (self.context, self.out, self.first, self.second)}
+        self.square = {id(a): np.ones_like(a) for a in (self.context, self.out, self.turn)}
         self.rate, self.noise, self.rng = rate, noise, np.random.default_rng(seed)
         self.odds = np.log(noise * unigram).astype(np.float32)
         self.cumulative = np.cumsum(unigram)
@@ -98,7 +98,8 @@ class Trainer:
 
     @property
     def m(self) -> Parameters:
-        return Parameters(self.context, self.out[:, :-1].copy(), self.out[:, -1].copy(), self.first, self.second)
+        dim = self.context.shape[1]
+        return Parameters(self.context, self.out[:, :-1].copy(), self.out[:, -1].copy(), self.turn[:dim], self.turn[dim:])
 
     def move(self, array: np.ndarray, gradient: np.ndarray) -> None:
         """Uphill."""
@@ -106,25 +107,34 @@ class Trainer:
         square += gradient * gradient
         array += gradient * (self.rate / np.sqrt(square))
 
-    def step(self, before: np.ndarray, previous: np.ndarray, word: np.ndarray) -> None:
+    def step(self, contexts: np.ndarray, word: np.ndarray) -> None:
+        """contexts: (previous, one before) of each word."""
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(self.odds) - 1)
-        r1, r2 = self.context.take(previous, 0), self.context.take(before, 0)
-        guess = np.ones((len(word), r1.shape[1] + 1), np.float32)
-        guess[:, :-1] = r1 @ self.first + r2 @ self.second
+        n, dim = len(word), self.context.shape[1]
+        seen = self.context.take(contexts, 0).reshape(n, 2 * dim)
+        guess = np.ones((n, dim + 1), np.float32)
+        np.matmul(seen, self.turn, out=guess[:, :-1])
         target, others = self.out.take(word, 0), self.out.take(noise, 0)
         up = sigmoid(self.odds[word] - np.einsum("ij,ij->i", guess, target))  # how far true words are from certainty
-        down = -sigmoid(guess @ others.T - self.odds[noise])
+        down = guess @ others.T
+        down -= self.odds[noise]
+        down *= 0.5
+        np.tanh(down, out=down)
+        down *= -0.5
+        down -= 0.5
         target *= up[:, None]
         target += down @ others
         d_guess = np.ascontiguousarray(target[:, :-1])
-        d_first, d_second = r1.T @ d_guess, r2.T @ d_guess
-        contexts = row_sums(len(self.context), (previous, d_guess @ self.first.T), (before, d_guess @ self.second.T))
-        outs = row_sums(len(self.out), (word, up[:, None] * guess), (noise, down.T @ guess))
-        self.move(self.context, contexts)
-        self.move(self.out, outs)
-        self.move(self.first, d_first)
-        self.move(self.second, d_second)
-        self.tokens += len(word)
+        d_turn = seen.T @ d_guess
+        d_seen = (d_guess @ self.turn.T).reshape(2 * n, dim)
+        d_out = down.T @ guess
+        guess *= up[:, None]
+        context = row_sums(len(self.context), (contexts.ravel(), d_seen))
+        out = row_sums(len(self.out), (word, guess), (noise, d_out))
+        self.move(self.context, context)
+        self.move(self.out, out)
+        self.move(self.turn, d_turn)
+        self.tokens += n
 
 
 def contexts_of(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,8 +370,9 @@ def trained(encoded: DataFrame, corpus: Corpus, dim: int = DIM, rounds: int = RO
 
             def run():
                 before, previous, word = (np.concatenate(x) for x in zip(*kept, strict=True))
+                contexts = np.column_stack([previous, before])
                 for i in range(0, len(word), batch):
-                    t.step(before[i : i + batch], previous[i : i + batch], word[i : i + batch])
+                    t.step(contexts[i : i + batch], word[i : i + batch])
 
             for b in batches:
                 for a in range(0, b.num_rows, 256):

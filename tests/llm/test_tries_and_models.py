@@ -283,6 +283,6 @@ def test_training_raises_the_likelihood_of_what_follows():
     t = lm_scoring.Trainer(start, unigram, 0.2, 20, 1)
     for _ in range(20):
         for i in range(0, 4000, 500):
-            t.step(before[i : i + 500], previous[i : i + 500], word[i : i + 500])
+            t.step(np.column_stack([previous, before])[i : i + 500], word[i : i + 500])
     gained = lm_scoring.Tables(t.m).log10(before, previous, word).mean() - lm_scoring.Tables(start).log10(before, previous, word).mean()
     assert gained > 0.5
