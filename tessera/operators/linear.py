@@ -174,6 +174,8 @@ def sparse_precision(cov: np.ndarray, lam: float, rounds: int = 200) -> np.ndarr
             w[rest, j] = w[j, rest] = w[np.ix_(rest, rest)] @ betas[j]
         if np.abs(w - before).max() < 1e-9:
             break
+    else:
+        raise RuntimeError(f"precision matrix: not settled after {rounds} rounds")
     out = np.zeros((p, p))
     for j in range(p):
         rest = np.delete(np.arange(p), j)
@@ -182,6 +184,25 @@ def sparse_precision(cov: np.ndarray, lam: float, rounds: int = 200) -> np.ndarr
     return (out + out.T) / 2
 
 
+def sparse_precision_by_parts(cov: np.ndarray, lam: float) -> np.ndarray:
+    """The graphical lasso of each connected part of the covariances above lam, apart: outside these parts its solution is 0."""
+    p = len(cov)
+    linked = np.abs(cov) > lam
+    np.fill_diagonal(linked, True)
+    low = np.arange(p)
+    while True:
+        new = np.where(linked, low[None, :], p).min(1)
+        if (new == low).all():
+            break
+        low = new
+    out = np.zeros((p, p))
+    for part in np.unique(low):
+        own = np.flatnonzero(low == part)
+        at = np.ix_(own, own)
+        out[at] = sparse_precision(cov[at], lam) if len(own) > 1 else 1 / (cov[at] + lam)
+    return out
+
+
 #: Loss of a row by its margin f and label y: (value, slope, curvature). hinge and l1 are rounded off over a width; to their
 #: curvature, which is 0 for most rows, a twentieth of that of a parabola over the loss which touches it at f is added.
 LOSSES: dict[str, Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}

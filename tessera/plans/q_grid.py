@@ -27,15 +27,9 @@ for keep, pick in (("last", "arg_max"), ("first", "arg_min")):
         return G.grid_cells(cells(t), ["line", "part", "channel"], ["re", "im"], ORDER, keep)
 
 
-@query("j2_dense_zero_fill", f"WITH c AS (SELECT line, part, round(sum(q), 2) AS q FROM ({CELLS}) WHERE channel = 0 AND line % 3 = 0 GROUP BY ALL), g AS (SELECT l.line, p.part FROM range(0, 64) l(line), range(0, 9) p(part)) SELECT g.line, g.part, coalesce(c.q, 0) AS q FROM g LEFT JOIN c ON g.line = c.line AND g.part = c.part")
+@query("j2_dense_zero_fill", f"WITH c AS (SELECT line, part, channel, round(sum(q), 2) AS q FROM ({CELLS}) GROUP BY ALL), g AS (SELECT l.line, p.part, h.channel FROM range(0, 64) l(line), range(0, 9) p(part), range(0, 8) h(channel)) SELECT g.line, g.part, g.channel, coalesce(c.q, 0) AS q FROM g LEFT JOIN c ON g.line = c.line AND g.part = c.part AND g.channel = c.channel")
 def _(t):
-    some = cells(t).where("channel = 0 and line % 3 = 0").groupBy("line", F.col("part").cast("long").alias("part")).agg(F.round(F.sum("q"), 2).alias("q"))
-    return G.dense_grid(some, {"line": (0, 63), "part": (0, 8)})
-
-
-@query("j2_dense_zero_fill_whole", f"WITH c AS (SELECT line, part, channel, round(sum(q), 2) AS q FROM ({CELLS}) GROUP BY ALL), g AS (SELECT l.line, p.part, h.channel FROM range(0, 64) l(line), range(0, 9) p(part), range(0, 8) h(channel)) SELECT g.line, g.part, g.channel, coalesce(c.q, 0) AS q FROM g LEFT JOIN c ON g.line = c.line AND g.part = c.part AND g.channel = c.channel")
-def _(t):
-    """j2_dense_zero_fill over all channels and lines; parts without records are the holes."""
+    """All channels and lines; parts without records are the holes."""
     every = cells(t).groupBy("line", F.col("part").cast("long").alias("part"), "channel").agg(F.round(F.sum("q"), 2).alias("q"))
     return G.dense_grid(every, {"line": (0, 63), "part": (0, 8), "channel": (0, 7)})
 
@@ -243,7 +237,7 @@ def _(t):
     return r.groupBy("user_id", F.floor(F.col("i") / 8).alias("block")).agg(F.count("*").alias("n"), F.max(F.when(F.col("i") % 8 == 4, F.col("event_id"))).alias("middle")).where("n = 8").drop("n")
 
 
-A25 = "WITH g AS (SELECT DISTINCT l_orderkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT a.x, b.y, g.x IS NOT NULL AS hit, pow((a.x - 31.5) / 32, 2) + pow((b.y - 31.5) / 32, 2) <= 1 AS disc, abs(a.x - 31.5) < 8 AND abs(b.y - 31.5) < 8 AS box FROM range(64) a(x) CROSS JOIN range(64) b(y) LEFT JOIN g ON g.x = a.x AND g.y = b.y), r AS (SELECT avg(CASE WHEN disc AND NOT box THEN hit::INT END) AS share FROM c) SELECT x, y, round(CASE WHEN box THEN 1 ELSE 1 / share END, 6) AS weight FROM c, r WHERE hit"
+A25 = "WITH g AS (SELECT DISTINCT l_orderkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem), c AS (SELECT a.x, b.y, g.x IS NOT NULL AS hit, pow((a.x - 31.5) / 32, 2) + pow((b.y - 31.5) / 32, 2) <= 1 AS disc, abs(a.x - 31.5) < 8 AND abs(b.y - 31.5) < 8 AS box FROM range(64) a(x) CROSS JOIN range(64) b(y) LEFT JOIN g ON g.x = a.x AND g.y = b.y), r AS (SELECT avg(CASE WHEN disc AND NOT box THEN hit::INT END) AS share FROM c) SELECT x, y, round(CASE WHEN box THEN 1 ELSE 1 / share END, 6) AS weight FROM c, r WHERE hit"
 
 
 def sampled(rows):
@@ -262,12 +256,6 @@ def density_weights(hits):
 
 @query("a25_density_compensation", A25)
 def _(t):
-    return density_weights(sampled(t.lineitem.where("l_orderkey % 5 = 0")))
-
-
-@query("a25_density_compensation_whole", A25.replace(" WHERE l_orderkey % 5 = 0", ""))
-def _(t):
-    """a25_density_compensation over all rows."""
     return density_weights(sampled(t.lineitem))
 
 

@@ -94,9 +94,24 @@ def _(t):
 
 @query("l15_sparse_precision")
 def _(t):
-    n, mean, second = V.gram(t.embeddings.select(F.slice("embedding", 1, 16).alias("v")), "v")
-    precision = L.sparse_precision((second - n * np.outer(mean, mean)) / (n - 1), 0.002)
-    return t.spark.createDataFrame([(i, j, round(float(precision[i, j]), 5)) for i in range(16) for j in range(16)], "i int, j int, value double")
+    """Of all components; the lightest penalty leaves few parts, a stronger one many."""
+    n, mean, second = V.gram(t.embeddings.select(F.col("embedding").alias("v")).where("v is not null"), "v")
+    cov = (second - n * np.outer(mean, mean)) / (n - 1)
+    precision = L.sparse_precision_by_parts(cov, 0.002)
+    return t.spark.createDataFrame([(i, j, round(float(v), 5)) for i, row in enumerate(precision) for j, v in enumerate(row)], "i int, j int, value double")  # a row a pair of components
+
+
+@query("l15_precision_optimal", "SELECT true AS diagonal_met, true AS within_penalty, true AS signs_met FROM (SELECT count(*) AS n FROM embeddings) WHERE n > 1")
+def _(t):
+    """Optimality: the inverse differs from the covariance by the penalty on the diagonal and where the precision isn't 0, by at most it elsewhere."""
+    n, mean, second = V.gram(t.embeddings.select(F.col("embedding").alias("v")).where("v is not null"), "v")
+    cov, lam = (second - n * np.outer(mean, mean)) / (n - 1), 0.002
+    precision = L.sparse_precision_by_parts(cov, lam)
+    gap = np.linalg.inv(precision) - cov
+    off = ~np.eye(len(cov), dtype=bool)
+    used = off & (np.abs(precision) > 1e-6)
+    holds = (np.abs(np.diag(gap) - lam).max() < 1e-5, np.abs(gap[off]).max() < lam + 1e-5, not used.any() or np.abs(gap[used] - lam * np.sign(precision[used])).max() < 1e-4)
+    return t.spark.createDataFrame([tuple(map(bool, holds))], "diagonal_met boolean, within_penalty boolean, signs_met boolean")
 
 
 @query("a26_information_merge")

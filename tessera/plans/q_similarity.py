@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import bins as B
 from tessera.operators import similarity as M
+from tessera.operators import windows as X
 
 from .registry import query
 
@@ -126,3 +127,26 @@ BESOV = " + ".join([f"pow({WEIGHT.format(j)} * (SELECT pow(sum(pow(abs(h), 4 / 9
 def _(t):
     """As a logarithm: the norm itself has ten digits before the point."""
     return M.besov(pairs(t), ["line", "part"], "a").select(F.round(F.log10("besov"), 6).alias("log_besov"))
+
+
+CHANNELS = f"g AS ({RAW}), two AS (SELECT line AS r, part AS c, 0 AS ch, a AS v FROM g UNION ALL SELECT line, part, 1, b / 1000 FROM g)"
+
+
+def two_channels(t):
+    g = raw(t)
+    return g.select(F.col("line").alias("r"), F.col("part").alias("c"), F.lit(0).alias("ch"), F.col("a").alias("v")).unionByName(g.select(F.col("line").alias("r"), F.col("part").alias("c"), F.lit(1).alias("ch"), (F.col("b") / 1000).alias("v")))
+
+
+@query("x14_grid_windows", f"WITH {CHANNELS}, w AS (SELECT r - i AS r, c - j AS c, sum(v * pow(0.9, ch * 9 + i * 3 + j)) AS y FROM two, range(3) x(i), range(3) z(j) WHERE r - i BETWEEN 0 AND 61 AND c - j BETWEEN 0 AND 61 GROUP BY ALL) SELECT r, c, round(y, 3) AS y FROM w")
+def _(t):
+    """All 3 by 3 windows of two channels, each weighed to one number."""
+    rows = X.window_rows(two_channels(t), "r", "c", "ch", "v", 3, 3)
+    weighed = F.aggregate(F.transform("window", lambda v, i: v * F.pow(F.lit(0.9), i)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("r", "c", F.round(weighed, 3).alias("y"))
+
+
+@query("x14_grid_gram", f"WITH {CHANNELS}, w AS (SELECT r - i AS r, c - j AS c, ch * 9 + i * 3 + j AS k, v FROM two, range(3) x(i), range(3) z(j) WHERE r - i BETWEEN 0 AND 61 AND c - j BETWEEN 0 AND 61) SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v) / 1000, 3) AS g FROM w a JOIN w b USING (r, c) GROUP BY ALL")
+def _(t):
+    """The Gramian of all those windows, from lag products."""
+    _names, gram = X.window_gram(two_channels(t), "r", "c", "ch", "v", 3, 3, tile=16)
+    return t.spark.createDataFrame([(i, j, round(float(v) / 1000, 3)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i long, j long, g double")  # a row a pair of components

@@ -73,11 +73,11 @@ def _(t):
 
 @query("x12_motion_signal")
 def _(t):
-    """Hourly means per user, smoothed, least value removed, interpolated to the half hours."""
+    """Means per user and six hours, smoothed, least value removed, interpolated to the middle of each six hours."""
     from tessera.operators import series as Q
 
-    hour = F.floor(F.unix_timestamp("ts") / 21600).cast("double")
-    knots = t.events.groupBy("user_id", hour.alias("x")).agg(F.avg("value").alias("y"))
+    at = F.floor(F.unix_timestamp("ts") / 21600).cast("double")
+    knots = t.events.groupBy("user_id", at.alias("x")).agg(F.avg("value").alias("y"))
     w = Q.along("user_id", "x")
     smooth = knots.withColumn("y", Q.smooth("y", w, Q.gaussian_taps(5)))
     least = smooth.groupBy("user_id").agg(F.min("y").alias("low"))

@@ -67,14 +67,7 @@ def _(t):
     return rows.select("vec_id", F.col("row").cast("long").alias("row"), F.round(total(F.slice("e", F.col("row") * 8 + 1, F.lit(8))), 6).alias("total"))
 
 
-@query("x1_dft", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings) SELECT vec_id, k, round(list_sum(list_transform(e, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))), 6) AS re, round(-list_sum(list_transform(e, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))), 6) AS im FROM e, range(1, 20) g(k)")
-def _(t):
-    out = T.dft(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e")
-    rows = out.select("vec_id", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).where("k between 1 and 19")
-    return rows.select("vec_id", F.col("k").cast("long").alias("k"), F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"))
-
-
-@query("x1_dft_whole", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings) SELECT vec_id, k, round(list_sum(list_transform(e, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))), 6) AS re, round(-list_sum(list_transform(e, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))), 6) AS im FROM e, range(64) g(k)")
+@query("x1_dft", f"WITH e AS (SELECT vec_id, {E} AS e FROM embeddings) SELECT vec_id, k, round(list_sum(list_transform(e, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))), 6) AS re, round(-list_sum(list_transform(e, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))), 6) AS im FROM e, range(64) g(k)")
 def _(t):
     """All coefficients of x1_dft."""
     out = T.dft(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e")
