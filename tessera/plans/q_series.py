@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import curves as C
 from tessera.operators import grid as G
+from tessera.operators import selection as Q
 from tessera.operators import series as S
 
 from .registry import query
@@ -217,3 +218,15 @@ def _(t):
     rows = nav(t).select("user_id", S.sliding("value", order(), 4).alias("a")).where("a is not null")
     pairs = rows.select(F.posexplode("a").alias("i", "x"), "a").select("i", "x", F.posexplode("a").alias("j", "y"))
     return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.round(F.sum(F.col("x") * F.col("y")), 1).alias("g"))
+
+
+@query("a27_selected_deviation", "WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY 1) SELECT user_id, round(any_value(m), 6) AS median, round(median(abs(value - m)), 6) AS deviation FROM events JOIN m USING (user_id) GROUP BY 1")
+def _(t):
+    """Medians and median deviations of all users at once, by counting bits instead of sorting."""
+    return Q.absolute_deviation(t.events.select("user_id", "value"), ["user_id"], "value").select("user_id", F.round("median", 6).alias("median"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("w13_selected_range", "SELECT share::DOUBLE AS share, round(q, 6) AS quantile FROM (SELECT unnest([0.1, 0.5, 0.9]) AS share, unnest(quantile_cont(l_extendedprice::DOUBLE, [0.1, 0.5, 0.9])) AS q FROM lineitem)")
+def _(t):
+    """Quantiles of a whole column: one group that holds all rows."""
+    return Q.quantiles(t.lineitem, [], "l_extendedprice", [0.1, 0.5, 0.9]).select("share", F.round("quantile", 6).alias("quantile"))
