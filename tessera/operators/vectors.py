@@ -209,26 +209,47 @@ def hierarchical(df: DataFrame, vector: str, key: str, branch: int, depth: int,
     return rows
 
 
+def _matrix(x: pa.Array) -> np.ndarray:
+    """Vectors of one length, none of them null, as rows."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def _by_node(paths: pa.Array, known: dict[tuple[int, ...], int]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """(node, rows of it): paths are of one length, so their distinct rows are the nodes."""
+    steps = paths.flatten().to_numpy(zero_copy_only=False).reshape(len(paths), -1) if len(paths) else np.empty((0, 0), np.int32)
+    if not steps.shape[1]:
+        nodes, own = np.empty((min(len(paths), 1), 0), np.int32), np.zeros(len(paths), np.int64)
+    else:
+        nodes, own = np.unique(steps, axis=0, return_inverse=True)
+    order = np.argsort(own.ravel(), kind="stable")
+    edges = np.searchsorted(own.ravel()[order], np.arange(len(nodes) + 1))
+    for i, node in enumerate(map(tuple, nodes.tolist())):
+        if node in known:
+            yield node, order[edges[i] : edges[i + 1]]
+
+
 def node_sums(rows: DataFrame, vector: str, centres: dict[tuple[int, ...], np.ndarray]) -> dict[tuple[tuple[int, ...], int], tuple[float, np.ndarray]]:
-    """(node, centre) -> (rows, sum of vectors), for the rows whose path is one of the nodes, in one pass."""
+    """(node, centre) -> (rows, sum of vectors), for the rows whose path is one of the nodes, in one pass; a task gives one sum each."""
+    nodes = sorted(centres)
+    number = {p: i for i, p in enumerate(nodes)}
+    branch, dims = centres[nodes[0]].shape
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        total = np.zeros((len(nodes), branch, dims + 1))
         for batch in batches:
-            paths, x = [tuple(p) for p in batch["path"].to_pylist()], np.array(batch["x"].to_pylist(), float)
-            for p in set(paths) & set(centres):
-                own = x[[q == p for q in paths]]
-                at = distances(own, centres[p], "l2").argmin(1)
-                for c in np.unique(at).tolist():
-                    n, total = found.get((p, c), (0.0, 0.0))
-                    found[p, c] = n + float((at == c).sum()), total + own[at == c].sum(0)
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([list(k[0]) for k in keys], pa.list_(pa.int32())), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.float64()), pa.array([found[k][1].tolist() for k in keys], pa.list_(pa.float64()))], names=["path", "c", "n", "total"])
-
-    part = rows.where(F.col(vector).isNotNull()).select("path", F.col(vector).cast("array<double>").alias("x")).mapInArrow(task, "path array<int>, c int, n double, total array<double>")
-    dims = len(next(iter(centres.values()))[0])
-    summed = part.groupBy("path", "c").agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dims))).collect()  # branch rows a node
-    return {(tuple(r["path"]), r["c"]): (r["n"], np.array([r[f"t{i}"] for i in range(dims)])) for r in summed}
+            x = _matrix(batch["x"])
+            for p, own in _by_node(batch["path"], number):
+                near = np.eye(branch)[distances(x[own], centres[p], "l2").argmin(1)]
+                total[number[p]] += near.T @ np.column_stack([x[own], np.ones(len(own))])
+        flat = total.ravel()
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(flat[some])], names=["at", "v"])
+
+    part = rows.where(F.col(vector).isNotNull()).select("path", F.col(vector).cast("array<double>").alias("x")).mapInArrow(task, "at long, v double")
+    sums = np.zeros((len(nodes), branch, dims + 1))
+    for at, v in part.groupBy("at").agg(F.sum("v")).collect():  # branch x (dims + 1) rows a node
+        sums.ravel()[at] = v
+    return {(p, c): (sums[i, c, dims], sums[i, c, :dims]) for p, i in number.items() for c in range(branch) if sums[i, c, dims]}
 
 
 def nearest_of_node(vector: str, centres: dict[tuple[int, ...], np.ndarray]) -> Column:
@@ -236,12 +257,12 @@ def nearest_of_node(vector: str, centres: dict[tuple[int, ...], np.ndarray]) ->
 
     @F.arrow_udf("int")
     def own(path: pa.Array, x: pa.Array) -> pa.Array:
-        paths, known = [tuple(p) for p in path.to_pylist()], np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
-        out, values = np.zeros(len(x), np.int32), np.array(x.take(pa.array(known)).to_pylist(), float)
-        for p in {paths[i] for i in known.tolist()}:
-            own = np.array([paths[i] == p for i in known.tolist()])
-            out[known[own]] = distances(values[own], centres[p], "l2").argmin(1)
-        return pa.array(out, mask=~x.is_valid().to_numpy(zero_copy_only=False))
+        known = x.is_valid()
+        at = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+        out, values = np.zeros(len(x), np.int32), _matrix(x.filter(known))
+        for p, rows in _by_node(path.filter(known), centres):
+            out[at[rows]] = distances(values[rows], centres[p], "l2").argmin(1)
+        return pa.array(out, mask=~known.to_numpy(zero_copy_only=False))
 
     return own(F.col("path"), F.col(vector).cast("array<double>"))
 
