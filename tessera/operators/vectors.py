@@ -86,16 +86,48 @@ def k_best(ka: list, va: list, kb: list, vb: list, k: int, metric: str = "l2", o
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ka, best.shape[1])[good], pa.int64()), pa.array(kb[best].ravel()[good], pa.int64()), pa.array(value.ravel()[good], pa.float64())], names=["a", "b", "distance"])
 
 
+#: Neighbours that a task holds before it keeps each query's best.
+HELD = 500_000
+
+
+def keep_best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, distance) of many blocks -> each query's k best, ties by key, so that a task gives k rows a query, not k rows a block.
+
+    Where a task meets so many queries that even their best are more than HELD, it gives those and goes on."""
+    held, rows = [], 0
+
+    def best() -> pa.RecordBatch:
+        a, b, d = (np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in held]) for c in ("a", "b", "distance"))
+        order = np.lexsort((b, np.round(d, 9), a))
+        a, b, d = a[order], b[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        good = place < k
+        return pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64()), pa.array(d[good], pa.float64())], names=["a", "b", "distance"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > HELD:
+            held = [best()]
+            rows = held[0].num_rows
+            if rows > HELD // 2:
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield best()
+
+
 def nearest(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", vector: str = "vector", others_only: bool = False) -> DataFrame:
-    """(a, b, distance, rank): the k nearest of each query, ties by key; each pair of blocks keeps its k best first."""
+    """(a, b, distance, rank): the k nearest of each query, ties by key; each pair of blocks keeps its k best first, then each task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ka, va, kb, vb in zip(*(batch[c].to_pylist() for c in ("keys_a", "vectors_a", "keys_b", "vectors_b")), strict=True):
                 yield k_best(ka, va, kb, vb, k, metric, others_only)
 
-    partial = block_pairs(queries, data, vector=vector).mapInArrow(task, "a long, b long, distance double")
-    best = partial.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "b", "distance"))), 1, k).alias("best"))  # k rows for each block of data
+    partial = block_pairs(queries, data, vector=vector).mapInArrow(lambda batches: keep_best(task(batches), k), "a long, b long, distance double")
+    best = partial.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "b", "distance"))), 1, k).alias("best"))  # k rows for each task
     return best.select("a", F.posexplode("best").alias("rank", "r")).select("a", "r.b", "r.distance", (F.col("rank") + 1).alias("rank"))
 
 

@@ -68,3 +68,18 @@ def test_bins_come_in_the_order_of_their_distance():
     middle = {int(tree.leaf_of(np.array([[v]]))[0]): v for v in np.arange(0.5, 16, 2)}
     gaps = [max(abs(5.2 - middle[b]) - 1.0, 0) for b in seen]
     assert len(seen) == 8 and gaps == sorted(gaps)
+
+
+def test_a_task_keeps_each_querys_best(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), float(d)) for a, b, d in zip(rng.integers(0, 20, 3000), rng.permutation(3000), rng.integers(0, 50, 3000), strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[j : j + 100]]) for i in range(3)], ["a", "b", "distance"]) for j in range(0, 3000, 100)]
+    want = sorted(r for a in range(20) for r in sorted((x for x in rows if x[0] == a), key=lambda x: (x[2], x[1]))[:4])
+    for limit, exact in ((10**6, True), (500, True), (60, False)):
+        monkeypatch.setattr(V, "HELD", limit)
+        out = [tuple(r.values()) for b in V.keep_best(iter(batches), 4) for r in b.to_pylist()]
+        again = sorted(r for a in range(20) for r in sorted((x for x in out if x[0] == a), key=lambda x: (x[2], x[1]))[:4])
+        assert again == want and (not exact or len(out) == 80)
+    assert list(V.keep_best(iter([]), 4)) == []
