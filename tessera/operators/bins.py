@@ -25,14 +25,16 @@ def weighted_histogram(df: DataFrame, value: str, weight: str, edges: list[float
     return df.where((x >= edges[0]) & (x <= edges[-1]) & ~F.isnan(x)).groupBy(bin_of(x, edges).alias("bin")).agg(F.sum(weight).alias("weight"))
 
 
-def joint_histogram(df: DataFrame, x: str, y: str, levels: int) -> DataFrame:
-    """Counts (a, b, n) of the nearest of so many equally spaced levels on each axis."""
-    ends = df.agg(F.min(x).alias("_lx"), F.max(x).alias("_hx"), F.min(y).alias("_ly"), F.max(y).alias("_hy"))  # one row
+def joint_histogram(df: DataFrame, x: str, y: str, levels: int, by: list[str] | None = None) -> DataFrame:
+    """Counts (a, b, n) of the nearest of so many equally spaced levels on each axis, by group's own range where by is given."""
+    by = by or []
+    ends = df.groupBy(*by).agg(F.min(x).alias("_lx"), F.max(x).alias("_hx"), F.min(y).alias("_ly"), F.max(y).alias("_hy"))  # one row a group
 
     def level(v, lo, hi):
         return F.when(F.col(hi) == F.col(lo), 0).otherwise(F.round((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * (levels - 1))).cast("int")
 
-    return df.crossJoin(F.broadcast(ends)).groupBy(level(x, "_lx", "_hx").alias("a"), level(y, "_ly", "_hy").alias("b")).agg(F.count("*").alias("n"))
+    met = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))
+    return met.groupBy(*by, level(x, "_lx", "_hx").alias("a"), level(y, "_ly", "_hy").alias("b")).agg(F.count("*").alias("n"))
 
 
 def box_counts(counts: DataFrame, label: str, row: str, col: str, value: str, boxes: DataFrame) -> DataFrame:

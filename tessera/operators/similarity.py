@@ -30,7 +30,7 @@ def moments(pairs: DataFrame, a: str = "a", b: str = "b", levels: int = 256, by:
     """All moment measures, one row (or one per group); b is the reference."""
     x, y = F.col(a), F.col(b)
     means = pairs.groupBy(*(by or [])).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"))  # one row per group
-    joined = pairs.join(F.broadcast(means), by) if by else pairs.crossJoin(F.broadcast(means))
+    joined = pairs.join(means, by) if by else pairs.crossJoin(F.broadcast(means))
     d, n = x - y, F.count("*")
     mse, sq = F.avg(d * d), F.sum(d * d)
     return joined.groupBy(*(by or [])).agg(
@@ -60,15 +60,20 @@ def medians(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out.select("msd", "mad", "nssd")
 
 
-def entropies(joint: DataFrame, r: float = 0.5, q: float = 0.5) -> DataFrame:
-    """Entropy measures of a joint histogram (a, b, n), one row."""
-    total = joint.agg(F.sum("n").alias("_t"))  # one row
+def entropies(joint: DataFrame, r: float = 0.5, q: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Entropy measures of a joint histogram (a, b, n), one row, or one per group."""
+    by = by or []
+    total = joint.groupBy(*by).agg(F.sum("n").alias("_t"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, by) if by else left.crossJoin(F.broadcast(right))  # single rows
 
     def of(counts: DataFrame, name: str) -> DataFrame:
         p = F.col("n") / F.col("_t")
-        return counts.crossJoin(F.broadcast(total)).agg((-F.sum(p * F.log2(p))).alias(f"h{name}"), F.sum(F.pow(p, F.lit(r))).alias(f"r{name}"), F.sum(F.pow(p, F.lit(q))).alias(f"q{name}"), F.sum(p * p).alias(f"e{name}"))
+        return beside(counts, total).groupBy(*by).agg((-F.sum(p * F.log2(p))).alias(f"h{name}"), F.sum(F.pow(p, F.lit(r))).alias(f"r{name}"), F.sum(F.pow(p, F.lit(q))).alias(f"q{name}"), F.sum(p * p).alias(f"e{name}"))
 
-    one = of(joint, "ab").crossJoin(of(joint.groupBy("a").agg(F.sum("n").alias("n")), "a")).crossJoin(of(joint.groupBy("b").agg(F.sum("n").alias("n")), "b"))  # three single rows
+    margins = {c: of(joint.groupBy(*by, c).agg(F.sum("n").alias("n")), c) for c in ("a", "b")}
+    one = beside(beside(of(joint, "ab"), margins["a"]), margins["b"])
 
     def renyi(name: str) -> Column:
         return F.log2(F.col(f"r{name}")) / (1 - r)
@@ -78,7 +83,7 @@ def entropies(joint: DataFrame, r: float = 0.5, q: float = 0.5) -> DataFrame:
 
     h = {k: F.col(f"h{k}") for k in ("a", "b", "ab")}
     return one.select(
-        (h["a"] + h["b"] - h["ab"]).alias("smi"), ((h["a"] + h["b"]) / h["ab"]).alias("snmi"), (2 * h["ab"] - h["a"] - h["b"]).alias("efinfo"),
+        *by, (h["a"] + h["b"] - h["ab"]).alias("smi"), ((h["a"] + h["b"]) / h["ab"]).alias("snmi"), (2 * h["ab"] - h["a"] - h["b"]).alias("efinfo"),
         (renyi("a") + renyi("b") - renyi("ab")).alias("rmi"), ((renyi("a") + renyi("b")) / renyi("ab")).alias("rnmi"),
         (tsallis("a") + tsallis("b") - tsallis("ab")).alias("tmi"), ((tsallis("a") + tsallis("b")) / tsallis("ab")).alias("tnmi"), F.col("eab").alias("ejp"),
     )
@@ -139,8 +144,8 @@ def zero_crossings(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> Da
     return joined.agg(crossed.alias("zca"), F.try_divide(crossed, F.count("*")).alias("zcr"))
 
 
-def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", levels: int = 255, size: int = 11, sigma: float = 1.5) -> DataFrame:
-    """Mean structural similarity over the area where the Gaussian window fits, one row: weighted moments go along columns, then along rows."""
+def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", levels: int = 255, size: int = 11, sigma: float = 1.5, by: list[str] | None = None) -> DataFrame:
+    """Mean structural similarity over the area where the Gaussian window fits, one row, or one per group: weighted moments go along columns, then along rows."""
     import math
 
     half = size // 2
@@ -150,12 +155,13 @@ def ssim(pairs: DataFrame, row: str, col: str, a: str = "a", b: str = "b", level
     # the window is a product, so each cell goes to its column's neighbours first and their sums to the rows'
     x, y, w = F.col(a), F.col(b), F.col("_t.w")
     sums = ("mx", "my", "xx", "yy", "xy")
-    across = pairs.withColumn("_t", F.explode(taps)).groupBy(F.col(row).alias("r0"), (F.col(col) + F.col("_t.i")).alias("c")).agg(F.count("*").alias("k0"), *(F.sum(w * v).alias(n) for n, v in zip(sums, (x, y, x * x, y * y, x * y), strict=True)))
-    m = across.withColumn("_t", F.explode(taps)).groupBy((F.col("r0") + F.col("_t.i")).alias("r"), "c").agg(F.sum("k0").alias("k"), *(F.sum(w * F.col(n)).alias(n) for n in sums)).where(F.col("k") == size * size)
+    by = by or []
+    across = pairs.withColumn("_t", F.explode(taps)).groupBy(*by, F.col(row).alias("r0"), (F.col(col) + F.col("_t.i")).alias("c")).agg(F.count("*").alias("k0"), *(F.sum(w * v).alias(n) for n, v in zip(sums, (x, y, x * x, y * y, x * y), strict=True)))
+    m = across.withColumn("_t", F.explode(taps)).groupBy(*by, (F.col("r0") + F.col("_t.i")).alias("r"), "c").agg(F.sum("k0").alias("k"), *(F.sum(w * F.col(n)).alias(n) for n in sums)).where(F.col("k") == size * size)
     c1, c2 = (0.01 * levels) ** 2, (0.03 * levels) ** 2
     mx, my = F.col("mx"), F.col("my")
     value = ((2 * mx * my + c1) * (2 * (F.col("xy") - mx * my) + c2)) / ((mx * mx + my * my + c1) * (F.col("xx") - mx * mx + F.col("yy") - my * my + c2))
-    return m.agg(F.avg(value).alias("mssim"), F.count("*").alias("windows"))
+    return m.groupBy(*by).agg(F.avg(value).alias("mssim"), F.count("*").alias("windows"))
 
 
 def edges(image: DataFrame, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import special
+from tessera.operators import bins as B
 from tessera.operators import curves as C
 from tessera.operators import lanczos as Z
 from tessera.operators import records as R
@@ -223,6 +224,33 @@ def _(t):
     return M.moments(p, by=["iteration", "channel"]).select("iteration", "channel", *(F.round(c, 4).alias(c) for c in MOMENTS_SQL))
 
 
+M31 = f"""WITH {PAIRS}, q AS (SELECT line % 2 AS iteration, (part % 4)::VARCHAR AS channel, line // 2 AS r, part // 4 AS c, a, b FROM p),
+v AS (SELECT * FROM q UNION ALL SELECT iteration, 'combined', r, c, sqrt(sum(a * a)), sqrt(sum(b * b)) FROM q GROUP BY ALL),
+k AS (SELECT i, j, exp(-(i * i + j * j) / 4.5) / sum(exp(-(i * i + j * j) / 4.5)) OVER () AS w FROM range(-5, 6) x(i), range(-5, 6) y(j)),
+m AS (SELECT iteration, channel, r + i AS r, c + j AS c, count(*) AS n, sum(w * a) AS mx, sum(w * b) AS my, sum(w * a * a) AS xx, sum(w * b * b) AS yy, sum(w * a * b) AS xy FROM v, k GROUP BY ALL),
+s AS (SELECT iteration, channel, avg((2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (xx - mx * mx + yy - my * my + 58.5225))) AS mssim FROM m WHERE n = 121 GROUP BY ALL),
+ends AS (SELECT iteration, channel, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM v GROUP BY ALL),
+j AS (SELECT iteration, channel, round((a - la) / (ha - la) * 15)::INT AS a, round((b - lb) / (hb - lb) * 15)::INT AS b, count(*) AS n FROM v JOIN ends USING (iteration, channel) GROUP BY ALL),
+t AS (SELECT iteration, channel, sum(n) AS t FROM j GROUP BY ALL),
+hab AS (SELECT iteration, channel, -sum(n / t * log2(n / t)) AS h FROM j JOIN t USING (iteration, channel) GROUP BY ALL),
+ha AS (SELECT iteration, channel, -sum(n / t * log2(n / t)) AS h FROM (SELECT iteration, channel, a, sum(n) AS n FROM j GROUP BY ALL) JOIN t USING (iteration, channel) GROUP BY ALL),
+hb AS (SELECT iteration, channel, -sum(n / t * log2(n / t)) AS h FROM (SELECT iteration, channel, b, sum(n) AS n FROM j GROUP BY ALL) JOIN t USING (iteration, channel) GROUP BY ALL),
+d AS (SELECT iteration, channel, avg((a - b) * (a - b)) AS mse FROM v GROUP BY ALL)
+SELECT d.iteration, d.channel, round(mse, 4) AS mse, round(mssim, 6) AS mssim, round((ha.h + hb.h) / hab.h, 6) AS snmi
+FROM d JOIN s USING (iteration, channel) JOIN hab USING (iteration, channel) JOIN ha USING (iteration, channel) JOIN hb USING (iteration, channel)"""
+
+
+@query("m31_structure_by_iteration", M31)
+def _(t):
+    """Error, structural similarity and shared information for each iteration and channel, and for the channels' root of sums of squares."""
+    p = pairs(t).select((F.col("line") % 2).alias("iteration"), (F.col("part") % 4).cast("string").alias("channel"), F.floor(F.col("line") / 2).alias("r"), F.floor(F.col("part") / 4).alias("c"), "a", "b")
+    root = {k: F.sqrt(F.sum(F.col(k) * F.col(k))).alias(k) for k in ("a", "b")}
+    v = materialize(p.unionByName(p.groupBy("iteration", "r", "c").agg(*root.values()).withColumn("channel", F.lit("combined"))), "values")
+    by = ["iteration", "channel"]
+    out = M.moments(v, by=by).select(*by, F.round("mse", 4).alias("mse")).join(M.ssim(v, "r", "c", by=by).select(*by, F.round("mssim", 6).alias("mssim")), by)
+    return out.join(M.entropies(B.joint_histogram(v, "a", "b", 16, by), by=by).select(*by, F.round("snmi", 6).alias("snmi")), by)
+
+
 @query("s7_folder_manifest", "SELECT event_type AS series, 1::BIGINT AS files FROM events GROUP BY 1")
 def _(t):
     """Events written to a folder for each type, and the folder's files by type."""
