@@ -71,20 +71,41 @@ class Parameters:
 
 
 def row_sums(size: int, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A matrix of size rows: the values of each row number, summed."""
+    """A matrix of size rows: the values of each row number, summed. Columns are added in pairs, as complex numbers."""
     width = parts[0][1].shape[1]
-    out = np.zeros(size * width, np.float32)
+    out = np.zeros((size, width), np.float32)
+    lanes = out if width % 2 else out.view(np.complex64)
+    places = np.arange(lanes.size).reshape(lanes.shape)
     for rows, values in parts:
-        np.add.at(out, ((rows * width)[:, None] + np.arange(width)).ravel(), values.ravel())
-    return out.reshape(size, width)
+        np.add.at(lanes.reshape(-1), places.take(rows, 0).ravel(), values.view(lanes.dtype).ravel())
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def logistics(first: np.ndarray, second: np.ndarray, previous: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(first[previous] + second[before])). Where no exponential nears the ends of single precision, the exponentials
+    of the rows are multiplied, which takes one a distinct symbol instead of one a token."""
+    with np.errstate(over="ignore"):  # exp may be infinite, its logistic is 0 then
+        if max(np.abs(first).max(), np.abs(second).max()) < 80:
+            out = np.exp(first).take(previous, 0)
+            out *= np.exp(second).take(before, 0)
+        else:
+            out = first.take(previous, 0)
+            out += second.take(before, 0)
+            np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad; noise symbols are drawn once a batch and shared by its tokens."""
+    """Noise-contrastive estimation by AdaGrad; noise symbols are drawn once a batch and shared by its tokens.
+
+    A step's work follows its batch: products with the two matrices are made once a distinct symbol, equal noise symbols count
+    as one with a weight, and rows without a gradient, which AdaGrad leaves as they are, aren't touched.
+    """
 
     def __init__(self, model: Parameters, unigram: np.ndarray, rate: float, noise: int, seed: int) -> None:
         m = model
@@ -94,6 +115,7 @@ class Trainer:
         self.rate, self.noise, self.rng = rate, noise, np.random.default_rng(seed)
         self.odds = np.log(noise * unigram).astype(np.float32)
         self.cumulative = np.cumsum(unigram)
+        self.marked, self.number = np.zeros(len(unigram), bool), np.zeros(len(unigram), np.int64)
         self.tokens = 0
 
     @property
@@ -101,39 +123,57 @@ class Trainer:
         dim = self.context.shape[1]
         return Parameters(self.context, self.out[:, :-1].copy(), self.out[:, -1].copy(), self.turn[:dim], self.turn[dim:])
 
-    def move(self, array: np.ndarray, gradient: np.ndarray) -> None:
-        """Uphill."""
+    def distinct(self, *symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(all symbols once, ascending; where in these each is)."""
+        for x in symbols:
+            self.marked[x] = True
+        rows = np.flatnonzero(self.marked)
+        self.marked[rows] = False
+        self.number[rows] = np.arange(len(rows))
+        return rows, [self.number.take(x) for x in symbols]
+
+    def move(self, array: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Uphill, in these rows."""
         square = self.square[id(array)]
-        square += gradient * gradient
-        array += gradient * (self.rate / np.sqrt(square))
+        now = square.take(rows, 0)
+        now += gradient * gradient
+        square[rows] = now
+        array[rows] += gradient * (self.rate / np.sqrt(now))
 
     def step(self, contexts: np.ndarray, word: np.ndarray) -> None:
         """contexts: (previous, one before) of each word."""
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(self.odds) - 1)
+        noise, times = np.unique(noise, return_counts=True)
+        times = times.astype(np.float32)[:, None]
         n, dim = len(word), self.context.shape[1]
-        seen = self.context.take(contexts, 0).reshape(n, 2 * dim)
-        guess = np.ones((n, dim + 1), np.float32)
-        np.matmul(seen, self.turn, out=guess[:, :-1])
+        first, second = self.turn[:dim], self.turn[dim:]
+        near, (previous, before) = self.distinct(contexts[:, 0], contexts[:, 1])
+        seen = self.context.take(near, 0)
+        by_first, by_second = seen @ first, seen @ second
+        guess = by_first.take(previous, 0)
+        guess += by_second.take(before, 0)
         target, others = self.out.take(word, 0), self.out.take(noise, 0)
-        up = sigmoid(self.odds[word] - np.einsum("ij,ij->i", guess, target))  # how far true words are from certainty
-        down = guess @ others.T
-        down -= self.odds[noise]
-        down *= 0.5
-        np.tanh(down, out=down)
-        down *= -0.5
-        down -= 0.5
-        target *= up[:, None]
-        target += down @ others
-        d_guess = np.ascontiguousarray(target[:, :-1])
-        d_turn = seen.T @ d_guess
-        d_seen = (d_guess @ self.turn.T).reshape(2 * n, dim)
-        d_out = down.T @ guess
+        target, bias = target[:, :-1], target[:, -1]
+        up = sigmoid(self.odds.take(word) - bias - np.einsum("ij,ij->i", guess, target))  # how far true words are from certainty
+        against = -others[:, :-1].T
+        down = logistics(by_first @ against, by_second @ against + (self.odds.take(noise) - others[:, -1]), previous, before)
+        d_guess = target * up[:, None]
+        d_guess -= down @ (others[:, :-1] * times)
+        d_noise = np.column_stack([down.T @ guess, np.ones(n, np.float32) @ down])
+        d_noise *= -times
+        sums = row_sums(2 * len(near), (previous, d_guess), (before + len(near), d_guess))
+        d_first, d_second = sums[: len(near)], sums[len(near) :]
+        d_seen = d_first @ first.T + d_second @ second.T
+        d_turn = np.vstack([seen.T @ d_first, seen.T @ d_second])
+        far, (word, noise) = self.distinct(word, noise)
+        d_out = np.empty((len(far), dim + 1), np.float32)
         guess *= up[:, None]
-        context = row_sums(len(self.context), (contexts.ravel(), d_seen))
-        out = row_sums(len(self.out), (word, guess), (noise, d_out))
-        self.move(self.context, context)
-        self.move(self.out, out)
-        self.move(self.turn, d_turn)
+        d_out[:, :-1] = row_sums(len(far), (word, guess))
+        d_out[:, -1] = np.bincount(word, up, len(far))
+        d_out[noise] += d_noise
+        self.move(self.context, near, d_seen)
+        self.move(self.out, far, d_out)
+        self.move(self.turn, np.arange(2 * dim), d_turn)
         self.tokens += n
 
 
@@ -280,7 +320,7 @@ class Reader:
         ends = at[1:]
         end_count = int(corpus.counts[0])
         total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[word])])[at])
-        exact = lambda values: np.array([math.fsum(values[word[a:b]]) for a, b in zip(at[:-1].tolist(), ends.tolist(), strict=True)])
+        exact = lambda values: np.array([math.fsum(values[word[a:b]].tolist()) for a, b in zip(at[:-1].tolist(), ends.tolist(), strict=True)])
         symbols = symbol[word].astype("<u2")
         blobs = [symbols[a:b].tobytes() + b"\0\0" for a, b in zip(at[:-1].tolist(), ends.tolist(), strict=True)]
         ids = docs["doc_id"].to_pylist()

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -286,3 +287,64 @@ def test_training_raises_the_likelihood_of_what_follows():
             t.step(np.column_stack([previous, before])[i : i + 500], word[i : i + 500])
     gained = lm_scoring.Tables(t.m).log10(before, previous, word).mean() - lm_scoring.Tables(start).log10(before, previous, word).mean()
     assert gained > 0.5
+
+
+def plain_step(t, contexts, word, noise):
+    """(context, out with the bias, both matrices) after one step of the trainer t, token by token in double precision."""
+    dim = t.context.shape[1]
+    context, out, turn = t.context.astype(float), t.out.astype(float), t.turn.astype(float)
+    d_context, d_out, d_turn = np.zeros_like(context), np.zeros_like(out), np.zeros_like(turn)
+    for (previous, before), w in zip(contexts, word, strict=True):
+        seen = np.concatenate([context[previous], context[before]])
+        guess = np.append(seen @ turn, 1)
+        d_guess = np.zeros(dim + 1)
+        for symbol, true in [(w, 1), *((k, 0) for k in noise)]:
+            x = out[symbol] @ guess - t.odds[symbol]
+            error = 1 / (1 + math.exp(x)) if true else -1 / (1 + math.exp(-x))
+            d_guess += error * out[symbol]
+            d_out[symbol] += error * guess
+        d_turn += np.outer(seen, d_guess[:-1])
+        d_context[previous] += turn[:dim] @ d_guess[:-1]
+        d_context[before] += turn[dim:] @ d_guess[:-1]
+    return [a + t.rate * d / np.sqrt(1 + d * d) for a, d in ((context, d_context), (out, d_out), (turn, d_turn))]
+
+
+@pytest.mark.parametrize(("dim", "scale"), [(8, 1), (7, 1), (8, 120)])
+def test_a_step_of_training_is_the_plain_one(dim, scale):
+    rng = np.random.default_rng(dim)
+    unigram = rng.dirichlet(np.ones(20))
+    m = lm_scoring.Parameters(*(rng.normal(0, 0.5, s).astype(np.float32) for s in ((20, dim), (20, dim), (20,), (dim, dim), (dim, dim))))
+    m.context *= scale  # far out, exponentials leave single precision
+    t = lm_scoring.Trainer(m, unigram, 0.1, 30, 4)
+    drawn = np.minimum(np.searchsorted(t.cumulative, np.random.default_rng(4).random(30)), 19)
+    contexts, word = rng.integers(0, 9, (50, 2)), rng.integers(0, 12, 50)
+    assert len(set(drawn.tolist())) < 30
+    want = plain_step(t, contexts, word, drawn)
+    t.step(contexts, word)
+    for got, plain in zip((t.context, t.out, t.turn), want, strict=True):
+        assert got == pytest.approx(plain, rel=1e-4, abs=1e-4)
+
+
+def test_logistics_by_products_and_where_exponentials_leave_single_precision():
+    rng = np.random.default_rng(8)
+    previous, before = rng.integers(0, 5, 40), rng.integers(0, 5, 40)
+    for scale in (1, 60, 300):
+        first, second = (rng.uniform(-scale, scale, (5, 6)).astype(np.float32) for _ in range(2))
+        got = lm_scoring.logistics(first, second, previous, before)
+        x = np.minimum(first[previous].astype(float) + second[before], 700)
+        assert got == pytest.approx(1 / (1 + np.exp(x)), rel=1e-4, abs=1e-30)
+
+
+def test_a_step_of_training_works_on_its_batch_not_on_the_whole_table():
+    """Rows without a gradient stay as they are, so a step needs no room of the table's size."""
+    symbols, dim = 200_000, 32
+    unigram = np.full(symbols, 1 / symbols)
+    t = lm_scoring.Trainer(lm_scoring.Parameters.start(unigram, dim), unigram, 0.1, 20, 1)
+    rng = np.random.default_rng(3)
+    tracemalloc.start()
+    try:
+        t.step(rng.integers(0, symbols, (64, 2)), rng.integers(0, symbols, 64))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < t.context.nbytes / 10
