@@ -76,10 +76,9 @@ def _(t):
 def _(t):
     """Vectors restored from the modes that hold nine tenths of the variance, without the first."""
     v = vectors(t).where("vector is not null")
-    _n, mean, _second = V.gram(v, "vector")
-    out, modes, values = V.pca(v, "vector", len(mean))
+    mean, modes, values = V.principal(v, "vector")
     k = V.modes_for(values, 0.9)
-    restored = V.pca_back(out, "projected", modes, mean, keep=list(range(1, k)))
+    restored = V.pca_back(V.project(v, "vector", modes, mean), "projected", modes, mean, keep=list(range(1, k)))
     return restored.select("id", F.lit(k).alias("modes"), weighed(F.col("restored")).alias("y"))
 
 
