@@ -86,9 +86,8 @@ def _(t):
 def _(t):
     """Forward and back over all modes gives the vectors again."""
     v = vectors(t).where("vector is not null")
-    _n, mean, _second = V.gram(v, "vector")
-    out, modes, _values = V.pca(v, "vector", len(mean))
-    return V.pca_back(out, "projected", modes, mean).select("id", weighed(F.col("restored")).alias("y"))
+    mean, modes, _values = V.principal(v, "vector")
+    return V.pca_back(V.project(v, "vector", modes, mean), "projected", modes, mean).select("id", weighed(F.col("restored")).alias("y"))
 
 
 @query("a21_singular_vectors")
