@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pytest
 
 from tessera.operators import vectors
 from tessera.plans.catalog import QUERIES
@@ -38,3 +39,47 @@ def test_projections_of_missing_vectors(spark):
     back = vectors.pca_back(out, "projected", modes, np.array([4, 3, 6]) / 3).orderBy("id").collect()
     assert back[1]["restored"] is None and np.allclose(back[0]["restored"], [1, 2, 5])
     assert vectors.project(df.where("v is null"), "v", modes, np.zeros(3)).first()["projected"] is None
+
+
+def shifted(x, y, w, of):
+    """(density, parent) of some points by all pairs."""
+    d2 = (x[of, None] - x) ** 2 + (y[of, None] - y) ** 2
+    return d2, np.round(np.where(d2 <= 2.25, np.exp(-d2 / 0.5), 0) @ w, 9)
+
+
+def parents(d2, density, mine, of):
+    far = (d2 > 1) | (density < mine[:, None]) | ((density == mine[:, None]) & (np.arange(len(density)) >= of[:, None]))
+    d2 = np.where(far, np.inf, d2)
+    return [int(r.argmin()) if np.isfinite(r).any() else None for r in d2]
+
+
+@pytest.mark.parametrize("crowd", [16, 4096])
+def test_shift_in_crowded_cells(spark, monkeypatch, crowd):
+    """Points on a grid, so that densities and distances tie; the fine cells and the parts of a cell are taken at 16."""
+    monkeypatch.setattr(vectors, "CROWD", crowd)
+    rng = np.random.default_rng(12)
+    x, y = np.round(rng.normal(size=(2, 700)) * 2, 1)
+    x[:150], y[:150], x[150:160], y[150:160] = rng.integers(0, 4, 150) / 10, rng.integers(0, 4, 150) / 10, rng.uniform(-60, 60, 10), -40.0
+    w = rng.integers(1, 4, 700).astype(float)
+    rows = [(i, float(x[i]), float(y[i]), int(w[i])) for i in range(700)] + [(900, None, 0.0, 1), (901, float("nan"), 0.0, 1), (902, float("inf"), 0.0, 1)]
+    got = {r["id"]: r for r in vectors.quick_shift(spark.createDataFrame(rows, "id long, x double, y double, w long"), "id", "x", "y", 0.5, 1.0, "w").collect()}
+    every = np.arange(700)
+    d2, density = shifted(x, y, w, every)
+    assert sorted(got) == list(range(700))
+    assert np.allclose([got[i]["density"] for i in range(700)], density, rtol=0, atol=2e-9)
+    density = np.array([got[i]["density"] for i in range(700)])  # whose last digits decide ties
+    assert [got[i]["parent"] for i in range(700)] == parents(d2, density, density, every)
+
+
+def test_shift_of_many_points_in_a_few_cells(spark):
+    """By rows of pairs, 15,000 points took minutes."""
+    rng = np.random.default_rng(13)
+    x, y = rng.uniform(0, 1.5, size=(2, 15_000))
+    df = spark.createDataFrame([(i, float(x[i]), float(y[i])) for i in range(15_000)], "id long, x double, y double")
+    began = time.monotonic()
+    got = {r["id"]: r for r in vectors.quick_shift(df, "id", "x", "y", 0.5, 1.0).collect()}
+    assert time.monotonic() - began < 90 and len(got) == 15_000
+    density, some = np.array([got[i]["density"] for i in range(15_000)]), np.arange(0, 15_000, 75)
+    d2, want = shifted(x, y, np.ones(15_000), some)
+    assert np.allclose(density[some], want, rtol=0, atol=2e-9)
+    assert [got[i]["parent"] for i in some] == parents(d2, density, density[some], some)
