@@ -83,3 +83,23 @@ def test_shift_of_many_points_in_a_few_cells(spark):
     d2, want = shifted(x, y, np.ones(15_000), some)
     assert np.allclose(density[some], want, rtol=0, atol=2e-9)
     assert [got[i]["parent"] for i in some] == parents(d2, density, density[some], some)
+
+
+@pytest.fixture(scope="module")
+def close_vectors(spark, tmp_path_factory):
+    """15,000 vectors (by rows of pairs, minutes) whose plane is a few cells wide, and where they lie in it."""
+    x = np.random.default_rng(14).normal(size=(15_000, 3)) * [0.01, 0.06, 0.05]
+    c = x - x.mean(0)
+    return written(spark, tmp_path_factory.mktemp("close"), x), np.round(c @ np.linalg.svd(c, full_matrices=False)[2][:2].T * 10, 2)
+
+
+def test_shift_of_thousands_of_vectors(spark, close_vectors):
+    folder, p = close_vectors
+    began = time.monotonic()
+    got = {r["id"]: r for r in QUERIES["l16_quick_shift_pca"](spark, folder).collect()}
+    assert time.monotonic() - began < 90 and len(got) == len(p)
+    some = np.arange(0, len(p), 75)
+    d2, want = shifted(*p.T, np.ones(len(p)), some)
+    assert np.allclose([got[i]["density"] for i in some], want, rtol=0, atol=1e-6)
+    density = np.array([got[i]["density"] for i in range(len(p))])
+    assert [got[i]["parent"] for i in some] == parents(d2, density, density[some], some)
