@@ -103,3 +103,21 @@ def test_shift_of_thousands_of_vectors(spark, close_vectors):
     assert np.allclose([got[i]["density"] for i in some], want, rtol=0, atol=1e-6)
     density = np.array([got[i]["density"] for i in range(len(p))])
     assert [got[i]["parent"] for i in some] == parents(d2, density, density[some], some)
+
+
+def test_cut_trees_of_thousands_of_vectors(spark, close_vectors):
+    """Every place's root is where its links end that are no longer than half the reach."""
+    folder, p = close_vectors
+    links = {r["id"]: r["parent"] for r in QUERIES["l16_quick_shift_pca"](spark, folder).collect()}
+    began = time.monotonic()
+    got = {r["id"]: r["root"] for r in QUERIES["l16_tree_cut"](spark, folder).collect()}
+    assert time.monotonic() - began < 90
+    _places, first = np.unique(p, axis=0, return_index=True)  # the least id of a place
+    assert sorted(got) == sorted(first.tolist())
+
+    def end(i):
+        while links[i] is not None and ((p[i] - p[links[i]]) ** 2).sum() <= 0.25:
+            i = links[i]
+        return i
+
+    assert all(got[i] == end(i) for i in got)
